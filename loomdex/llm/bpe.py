@@ -221,10 +221,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def digests(encoded: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 from doc_id, ids; the bytes come from decoding the ids."""
+def digests(encoded: DataFrame, vocabulary: tuple[str, str] | None = None, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 from doc_id, ids; the bytes come from decoding the ids. keep_ids: ids too."""
     how = vocabulary or default_codec()
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*how)
@@ -237,9 +237,9 @@ def digests(encoded: DataFrame, vocabulary: tuple[str, str] | None = None) -> Da
                 counts.append(e - s)
                 listed.append(hashlib.sha256(b",".join(map(decimal.__getitem__, ids.tolist()))).hexdigest())
                 decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield batch(schema, b.column(0), counts, listed, decoded)
+            yield batch(schema, b.column(0), counts, listed, decoded, *[b.column(1)] * keep_ids)
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

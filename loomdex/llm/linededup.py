@@ -147,8 +147,9 @@ def _without():
     return without
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, gram: int = GRAM, removed_as: str | None = None) -> DataFrame:
-    """docs with the repeated runs deleted from the text; removed_as: a column for the number of lines deleted."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, gram: int = GRAM, removed_as: str | None = None, keep_emptied: bool = True) -> DataFrame:
+    """docs with the repeated runs deleted from the text; removed_as: a column for the number of lines deleted;
+    keep_emptied: whether documents that lose all their lines stay, with an empty text."""
     names, own = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
     i, t = own[names.index(id_col)], own[names.index(text_col)]
     drop = repeated_lines(docs, id_col, text_col, min_run, gram).withColumnsRenamed({"id": "_id", "version": "_version", "lines": "_drop"})
@@ -157,6 +158,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.when(F.col("_drop").isNull(), F.col(t)).otherwise(_without()(F.when(F.col("_drop").isNotNull(), F.col(t)), F.col("_drop")))
     out = [text.alias(o) if o == t else F.col(o) for o in own]
     got = rows.select(*out, F.coalesce(F.size("_drop"), F.lit(0)).alias("_n"))
+    if not keep_emptied:
+        got = got.filter((F.col("_n") == 0) | (F.col(t) != ""))
     return got.toDF(*names, removed_as) if removed_as else got.drop("_n").toDF(*names)
 
 

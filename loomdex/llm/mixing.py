@@ -59,7 +59,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EP
     the whole repetitions and the place in the seeded order up to which documents are taken once more."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), seeded(id_col, text_col, seed).alias("ord"))
     rows = materialize(rows.withColumn("skey", source_key(F.col("source"))), "mix-rows")
-    part = F.pmod(F.shiftrightunsigned("ord", 8), F.lit(buckets)).cast("int")
+    part = part_of("ord", F.lit(buckets))
     shares = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     shares = shares.withColumn("whole", F.floor(ratio).cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -78,12 +78,18 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EP
 
 
 def seeded(id_col: str, text_col: str, seed: int) -> Column:
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col), F.lit(seed))
+    """The place of a row in the seeded order: 32 hexadecimal digits."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))).cast("binary"))
+
+
+def part_of(ord_col: str, buckets: Column) -> Column:
+    """Which of the equal parts of the seeded order a place lies in, by its first seven digits."""
+    return F.floor(F.conv(F.substring(ord_col, 1, 7), 16, 10).cast("long") * buckets / F.lit(float(1 << 28))).cast("int")
 
 
 def copies(ord_col: str = "ord", id_col: str = "doc_id") -> Column:
     """How often a row joined with its source's cut is taken."""
-    part = F.pmod(F.shiftrightunsigned(ord_col, 8), F.col("buckets")).cast("int")
+    part = part_of(ord_col, F.col("buckets"))
     upto = (F.col(ord_col) < F.col("cut_ord")) | ((F.col(ord_col) == F.col("cut_ord")) & (id_key(id_col) <= F.col("cut_id")))
     more = F.when(part < F.col("cut_part"), True).when(part == F.col("cut_part"), F.coalesce(upto, F.lit(False))).otherwise(False)
     return F.least(F.col("whole") + F.coalesce(more, F.lit(False)).cast("long"), F.col("epochs").cast("long"))

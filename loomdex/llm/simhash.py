@@ -28,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from loomdex.llm.common import as_bytes, batch, materialize, remove, store
+from loomdex.llm.common import as_bytes, batch, id_key, materialize, remove, store
 
 SEED = 42
 WORDS = 3
@@ -49,15 +50,17 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long): a row for each row of docs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, version: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long): a row for each row of docs; version: also a hash of the text."""
+    fields = [("doc_id", pa.int64()), ("fp", pa.int64())] + [("version", pa.int64())] * version
+    schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(schema, b.column(0), [fingerprint(t or b"", words) for t in as_bytes(b.column(1))])
+            yield batch(schema, b.column(0), [fingerprint(t or b"", words) for t in as_bytes(b.column(1))], *b.columns[2:])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *[F.xxhash64(text_col)] * version)
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n, _ in fields))
 
 
 def segments(radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -132,16 +135,32 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("f").alias("node"), F.col("g").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """doc_id, fp, component_id: a row for each row of docs."""
-    rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
+def linked(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, root, component_id for each distinct fp of rows (doc_id, fp)."""
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    links = edges(classes.select("fp"), radius)
-    roots = components(links)
+    roots = components(edges(classes.select("fp"), radius))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """doc_id, fp, component_id: a row for each row of docs."""
+    rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    return rows.join(linked(rows, radius), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """docs with one row of each component: that with the smallest id, then the smallest hash of its text."""
+    names, own = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
+    i, t = own[names.index(id_col)], own[names.index(text_col)]
+    row = docs.toDF(*own).withColumn("_id", id_key(i)).withColumn("_version", F.xxhash64(t))
+    keyed = docs.toDF(*own).select(F.col(i).alias("doc_id"), F.col(t).alias("text"))
+    rows = materialize(fingerprints(keyed, "doc_id", "text", words, version=True), "fingerprints")
+    kept = rows.join(linked(rows, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(id_key("doc_id").alias("_id"), F.col("version").alias("_version"))).alias("k")).select("k.*")
+    rest = [F.col(c) for c, f in zip(own, docs.schema, strict=True) if c not in (i, t) and isinstance(f.dataType, AtomicType)]
+    place = F.row_number().over(Window.partitionBy("_id", "_version").orderBy(F.col(t), *rest))  # of rows that repeat
+    return row.join(kept, ["_id", "_version"], "left_semi").withColumn("_place", place).filter("_place = 1").select(*own).toDF(*names)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,8 @@ class Cell:
 
     def suffixes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first half, second half) of the windows that start there, as hashes."""
+        if not len(starts):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         half = self.length // 2
         g = rolling(mixed(self.hashes), half)
         rest = g if self.length == 2 * half else rolling(mixed(self.hashes), self.length - half)
