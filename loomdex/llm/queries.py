@@ -23,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _OP1 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT page_id, html, CAST(octet_length(CAST(html AS BLOB)) AS BIGINT) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+d AS (SELECT page_id, html, strlen(html) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
 SELECT page_id, payload_bytes,
   list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + CAST((CAST('0x' || substr(h, CAST(1 + 5 * (k // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
@@ -36,9 +36,9 @@ _OP2 = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 w AS (SELECT doc_id, unnest(range(1, len(lines) - 1)) AS pos, lines FROM d),
 g AS (SELECT doc_id, pos, min((doc_id, pos)) OVER (PARTITION BY lines[pos:pos + 2]) AS first FROM w),
-gone AS (SELECT doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS at FROM g WHERE (doc_id, pos) > first GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(len(at), 0) AS BIGINT) AS n_removed,
-  sha256(CASE WHEN at IS NULL THEN text ELSE coalesce(array_to_string(list_filter(lines, lambda x, k: NOT list_contains(at, k)), chr(10)), '') END) AS kept_sha256
+gone AS (SELECT doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS spots FROM g WHERE (doc_id, pos) > first GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(spots), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN spots IS NULL THEN text ELSE coalesce(array_to_string(list_filter(lines, lambda x, k: NOT list_contains(spots, k)), chr(10)), '') END) AS kept_sha256
 FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
 """
 
@@ -66,9 +66,9 @@ _OP10 = """
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
 w AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS pos, words FROM d),
 g AS (SELECT doc_id, pos, min((doc_id, pos)) OVER (PARTITION BY md5(array_to_string(words[pos:pos + 19], ' '))) AS first FROM w),
-gone AS (SELECT doc_id, list_distinct(flatten(list(range(pos, pos + 20)))) AS at FROM g WHERE (doc_id, pos) > first GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(at), 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(array_to_string(CASE WHEN at IS NULL THEN words ELSE list_filter(words, lambda x, k: NOT list_contains(at, k)) END, ' '), '')) AS kept_sha256
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(pos, pos + 20)))) AS spots FROM g WHERE (doc_id, pos) > first GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(spots), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN spots IS NULL THEN words ELSE list_filter(words, lambda x, k: NOT list_contains(spots, k)) END, ' '), '')) AS kept_sha256
 FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
 """
 
