@@ -4,8 +4,8 @@ A window is ``length`` (20) consecutive words of one document. A word goes if a
 sequence that also starts earlier: in a document with a smaller id, or earlier in the same one. Windows are judged
 on the input.
 
-1. Documents are gathered into cells of a few megabytes, stored compressed with a sketch: of the hashes of each
-   ``GRAM`` words, the minima of every length - GRAM + 1 of them. Two equal windows hold the same minimum, so only
+1. Documents are gathered into cells of a few megabytes, stored compressed. A cell's sketch holds, of the
+   hashes of each ``GRAM`` words, the minima of every length - GRAM + 1 of them. Two equal windows hold the same minimum, so only
    windows around a minimum that occurs twice can repeat. Minima are counted in groups by hash, a cell sends each
    of its own once, and a bit for each comes back.
 2. The suffixes of a cell that start such windows, cut at ``length`` words, are dealt out by their prefix. A prefix is
@@ -17,7 +17,7 @@ on the input.
    union of their words; overlapping windows join to maximal repeats.
 
 Edges of the tree are labelled by 64-bit hashes of ten words, not by the words, so two windows are taken for equal
-if 128 bits of hash agree. Nothing is paired or expanded: a passage that a third of all documents share costs a row
+if 128 bits of hash agree (64 within one cell). Nothing is paired or expanded: a passage that a third of all documents share costs a row
 for each cell that holds it.
 
 Defined results: a null text has no words. Rows that share a doc_id count as one document: none of them is earlier
@@ -145,16 +145,15 @@ def decompress(data: bytes) -> list[bytes]:
 
 
 def cells(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """cell, ids, texts (compressed), minima: documents gathered as they are read."""
-    schema = pa.schema([("cell", pa.int64()), ("ids", pa.binary()), ("texts", pa.binary()), ("minima", pa.binary())])
+    """cell, words, ids, texts (compressed): documents gathered as they are read."""
+    schema = pa.schema([("cell", pa.int64()), ("words", pa.int64()), ("ids", pa.binary()), ("texts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
         ids, texts, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            _, minima = Cell(texts, length).sketch()
-            return batch(schema, [part << 32 | k], [np.array(ids, np.int64).tobytes()], [compress(texts)], [minima.tobytes()])
+            return batch(schema, [part << 32 | k], [sum(len(t.split()) for t in texts)], [np.array(ids, np.int64).tobytes()], [compress(texts)])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
@@ -168,7 +167,7 @@ def cells(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
             yield flush()
 
     rows = docs.select(id_key(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "cell long, ids binary, texts binary, minima binary")
+    return rows.mapInArrow(run, "cell long, words long, ids binary, texts binary")
 
 
 def dealt(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,25 +178,25 @@ def dealt(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return order, found, at
 
 
-def by_group(rows, groups: int, schema: pa.Schema):
-    """A map over batches of rows: each row's records go, group by group, into binary values."""
+def by_group(rows, schema: pa.Schema):
+    """rows, whose batches hold a cell's records group by group, with larger batches."""
     from loomdex.llm.linededup import coalesced
 
     return coalesced(rows, schema, 4096)
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_size: int = 400_000) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_size: int = 150_000) -> tuple[DataFrame, DataFrame]:
     """(the cells, for each cell what repeats from elsewhere): see remove_repeats."""
-    spark = docs.sparkSession
     held = materialize(cells(docs, id_col, text_col, length), "cells")
-    n_minima = held.agg(F.sum(F.length("minima")) / 8).first()[0] or 0
-    groups = max(12, int(n_minima // group_size) + 1)
+    # of w values in a row about two in w + 1 are minima
+    n_minima = (held.agg(F.sum("words")).first()[0] or 0) * 2 // (length - GRAM + 2)
+    groups = max(64, n_minima // group_size + 1)
     minima_schema = pa.schema([("grp", pa.int32()), ("cell", pa.int64()), ("data", pa.binary())])
 
     def send_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for cell, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = np.frombuffer(data, np.uint64)
+            for cell, texts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                _, v = Cell(decompress(texts), length).sketch()
                 order, found, at = dealt(v & np.uint64(_M64 >> 1), groups)
                 v = v[order]
                 parts = [p.tobytes() for p in np.split(v, at[1:])] if len(found) else []
@@ -214,24 +213,23 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         bits = [np.packbits(x).tobytes() for x in np.split(again, ends[:-1])]
         return pa.table([table.column("grp"), table.column("cell"), pa.array(bits, pa.binary())], schema=minima_schema)
 
-    sent = held.select("cell", "minima").mapInArrow(by_group(send_minima, groups, minima_schema), "grp int, cell long, data binary")
+    sent = held.select("cell", "texts").mapInArrow(by_group(send_minima, minima_schema), "grp int, cell long, data binary")
     # the bits of a cell are an eighth of a byte for each of its minima
     bits = sent.groupBy("grp").applyInArrow(twice, "grp int, cell long, data binary")
     bits = bits.groupBy("cell").agg(F.collect_list(F.struct("grp", "data")).alias("bits"))
-    suffix_schema = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
     record = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("pos", "<u4")])
 
     def send_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for cell, ids, texts, minima, flags in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                v = np.frombuffer(minima, np.uint64) & np.uint64(_M64 >> 1)
+            for cell, ids, texts, flags in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                c = Cell(decompress(texts), length)
+                least, v = c.sketch()
+                v = v & np.uint64(_M64 >> 1)
                 order, found, at = dealt(v, groups)
                 again = np.zeros(len(v), bool)
                 told = {f["grp"]: f["data"] for f in flags}
                 for g, k in zip(found.tolist(), np.split(order, at[1:]), strict=True):
                     again[k] = np.unpackbits(np.frombuffer(told[g], np.uint8), count=len(k))
-                c = Cell(decompress(texts), length)
-                least, _ = c.sketch()
                 starts = c.windows[again[np.searchsorted(v, least)]]
                 first, second = c.suffixes(starts)
                 where = np.frombuffer(ids, np.int64)[c.doc[starts]]
@@ -242,21 +240,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 lead[1:] = (a[1:] != a[:-1]) | (z[1:] != z[:-1])
                 out = np.empty(int(lead.sum()), record)
                 out["a"], out["b"], out["id"], out["pos"] = a[lead], z[lead], where[by][lead], pos[by][lead]
-                yield batch(suffix_schema, [cell], [len(out)], [out.tobytes()])
-
-    joined = held.join(bits, "cell").select("cell", "ids", "texts", "minima", "bits")
-    suffixes = materialize(joined.mapInArrow(send_suffixes, "cell long, n long, data binary"), "suffixes")
-    n_suffixes = suffixes.agg(F.sum("n")).first()[0] or 0
-    trees = max(12, int(n_suffixes // group_size) + 1)
-
-    def deal_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for cell, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                r = np.frombuffer(data, record)
-                order, found, at = dealt(r["a"], trees)
-                parts = [p.tobytes() for p in np.split(r[order], at[1:])] if len(found) else []
+                order, found, at = dealt(out["a"], trees)
+                parts = [p.tobytes() for p in np.split(out[order], at[1:])] if len(found) else []
                 yield batch(minima_schema, found.astype(np.int32), [cell] * len(found), parts)
 
+    trees = 2 * groups
+    joined = held.join(bits, "cell").select("cell", "ids", "texts", "bits")
+
     def tree(table: pa.Table) -> pa.Table:
         """The suffix tree of a group of prefixes: for each cell the suffixes whose deep node has an earlier leaf."""
         data = [np.frombuffer(d, record) for d in table.column("data").to_pylist()]
@@ -272,7 +262,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         kept = [np.ascontiguousarray(d["a"][m] ^ mixed(d["b"][m])).tobytes() for d, m in zip(data, np.split(later, ends[:-1]), strict=True)]
         return pa.table([table.column("grp"), table.column("cell"), pa.array(kept, pa.binary())], schema=minima_schema)
 
-    leaves = suffixes.select("cell", "data").mapInArrow(by_group(deal_suffixes, trees, minima_schema), "grp int, cell long, data binary")
+    leaves = joined.mapInArrow(by_group(send_suffixes, minima_schema), "grp int, cell long, data binary")
     later = leaves.groupBy("grp").applyInArrow(tree, "grp int, cell long, data binary").filter(F.length("data") > 0)
     return held, later.groupBy("cell").agg(F.collect_list("data").alias("elsewhere"))
 
