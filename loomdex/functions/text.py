@@ -8,7 +8,7 @@ import json
 import math
 import re
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -229,6 +229,17 @@ def stem_of(words: pa.Array) -> pa.Array:
     return pa.array([None if w is None else porter(w) for w in words.to_pylist()], pa.string())
 
 
+_memoised = lru_cache(1 << 17)(porter)
+
+
+@F.arrow_udf(StringType())
+def stem_stream(texts: pa.Array) -> pa.Array:
+    """The stems of a text's terms, joined by a space; a worker stems each of its frequent words once."""
+    from loomdex.functions.text import _memoised as stem  # the memo is the worker's own
+
+    return pa.array([None if t is None else " ".join(map(stem, re.findall(r"\w+", t.lower()))) for t in texts.to_pylist()], pa.string())
+
+
 def stems(terms: DataFrame, column: str = "term") -> DataFrame:
     """term, stem: each distinct term is stemmed once, whatever its occurrences."""
     return terms.select(column).distinct().withColumn("stem", stem_of(F.col(column)))

@@ -14,7 +14,7 @@ from loomdex.functions import text as X
 from loomdex.operators import chats, evaluation, graph, lexical, lifecycle, retrieval
 from loomdex.plans import planner
 from loomdex.plans.search import Settings, search
-from loomdex.sources import tables
+from loomdex.sources import html, markdown, tables
 from loomdex.sources.tables import table
 from loomdex.streaming import watch
 
@@ -376,6 +376,29 @@ def identifier_symbols_fold(spark, sf_dir):
     return graph.fold_symbols(p).select("symbol", "kind", "defined_in", F.size("doc_refs").cast("long").alias("refs"))
 
 
+# Compiled pages: HTML blocks, their Markdown, and its nodes and chunks
+
+
+@query()
+def page_blocks(spark, sf_dir):
+    return html.blocks(table(spark, sf_dir, "pages"))
+
+
+def _page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html.to_markdown(html.blocks(table(spark, sf_dir, "pages")))
+    return text.select(F.concat(F.lit("evidence/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), "text")
+
+
+@query()
+def page_node_kinds(spark, sf_dir):
+    return markdown.nodes(_page_markdown(spark, sf_dir)).groupBy("path", "kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def page_chunks(spark, sf_dir):
+    return markdown.chunks(_page_markdown(spark, sf_dir)).select("anchor", "kind", "tokens", "chunk_digest")
+
+
 # Evaluation: a benchmark item is a case; a chunk that holds the first eight tokens of one of its lines is relevant
 
 EVAL = f"""@CORPUS@, il AS (SELECT item_id AS case_id, unnest(string_split(text, chr(10))) AS line FROM benchmark),

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: Fixed value: the schema of Spark's binary file source.
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
 
 def sessions(events: DataFrame, key: str, ts: str, quiet: float, ceiling: float | None = None) -> DataFrame:
     """key, session, started, ended, events: batches closed by ``quiet`` seconds without an event; with a ceiling a
@@ -33,7 +36,7 @@ def streamed_sessions(events: DataFrame, key: str, ts: str, quiet: str, late: st
 def watch_folder(spark: SparkSession, folder: str, pattern: str, state: str, checkpoint: str, seconds: float | None = None) -> StreamingQuery:
     """Follow new files of a folder; each micro-batch upserts (path, source_digest, length) into the state table's next
     version. Without seconds, all that is there is read and the query ends."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     found = files.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("source_digest"), "length", F.col("modificationTime").alias("modified"))
 
     def upsert(batch: DataFrame, epoch: int) -> None:
