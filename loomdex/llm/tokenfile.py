@@ -16,6 +16,7 @@ text are ordinary text. An empty table makes no files' rows. Other columns of th
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -159,39 +160,78 @@ def from_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, counts, unpack(words, first, total)
 
 
+#: Latin letters up to U+024F, but for the dotted capital I, which is two characters in lower case.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+
+
+def byte_chars() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is printable in Latin-1,
+    else the next from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+BYTE_CHARS = byte_chars()
+
+
 class WordTokenizer:
-    """The tokenizers library, asked once for each word that is new to a bounded memo.
+    """The tokenizers library, asked once for each word that is new to a bounded memo of two generations.
 
     The vocabulary's normaliser and splitting rules never look across white space, so words may be encoded apart. A
-    word without non-ASCII characters is lower-cased before it is looked up, as the library would do itself.
+    text without non-ASCII characters is lower-cased before it is looked up, as the library would do itself.
     """
 
-    def __init__(self, path: str, memo: int = 400_000) -> None:
+    def __init__(self, path: str, memo: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.memo_size = memo
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as 32-bit little-endian integers."""
-        split = [t.lower().split() if t.isascii() else t.split() for t in texts]
-        memo = self.memo
-        new = list({w for words in split for w in words if w not in memo})
-        if len(memo) + len(new) > self.memo_size:
-            memo.clear()
-            new = list({w for words in split for w in words})
-        # ASCII letters and the marks after them are separate pre-tokens, so they are looked up apart
-        parts = {w: (core, w[len(core) :]) for w in new if len(core := w.rstrip(b".,;:!?")) < len(w) and core.isalpha()}
-        ask = list({x for w in new for x in parts.get(w, (w,)) if x not in memo})
-        for at in range(0, len(ask), 4096):
-            some = ask[at : at + 4096]
+    def ask(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word. Latin letters are one pre-token, and lower-casing them is all that the normaliser does:
+        they go to the library's model at once, as the characters that stand for their bytes."""
+        merge, out, rest = self.library.model.tokenize, {}, []
+        for w in words:
+            text = w.decode("utf-8")
+            if LATIN.fullmatch(text):
+                text = text.lower() if w.isascii() else "".join(map(BYTE_CHARS.__getitem__, text.lower().encode("utf-8")))
+                out[w] = np.array([t.id for t in merge(text)], np.uint32).tobytes()
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
             for w, e in zip(some, self.library.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, np.uint32).tobytes()
+                out[w] = np.array(e.ids, np.uint32).tobytes()
+        return [out[w] for w in words]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Put words that the memo lacks into it."""
+        memo, older = self.memo, self.older
+        new = []
+        for w in words:
+            if (known := older.get(w)) is None:
+                new.append(w)
+            else:
+                memo[w] = known
+        # letters and the marks after them are separate pre-tokens, so they are looked up apart
+        parts = {w: (core, w[len(core) :]) for w in new if len(core := w.rstrip(b".,;:!?")) < len(w) and LATIN.fullmatch(core.decode("utf-8"))}
+        ask = list({x for w in new for x in parts.get(w, (w,)) if x not in memo})
+        memo.update(zip(ask, self.ask(ask), strict=True))
         for w, (core, marks) in parts.items():
             memo[w] = memo[core] + memo[marks]
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as 32-bit little-endian integers."""
+        split = [t.lower().split() if t.isascii() else t.split() for t in texts]
+        words = set().union(*split)
+        if len(self.memo) > self.memo_size:
+            self.older, self.memo = self.memo, {}
+        self.learn(words.difference(self.memo))
+        return [b"".join(map(self.memo.__getitem__, ws)) for ws in split]
 
 
 @cache
@@ -218,7 +258,7 @@ def shard_bounds(docs: DataFrame, id_col: str, rows: int) -> list[int]:
     return sorted({int(q) for q in ids.approxQuantile("id", [k / shards for k in range(1, shards)], 0.2 / shards)})
 
 
-def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1, shard_rows: int = 8192, block_ids: int = 1 << 17) -> None:
+def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1, shard_rows: int = 8192, block_ids: int = 1 << 19) -> None:
     """Encode docs and write the blocks (shard, block, data) to path, in ascending doc_id order."""
     where = vocabulary or default_vocabulary()
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
