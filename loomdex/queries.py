@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
-from loomdex.operators import chats, evaluation, graph, lexical, lifecycle, retrieval
+from loomdex.operators import chats, citations, evaluation, graph, lexical, lifecycle, retrieval
 from loomdex.plans import planner
 from loomdex.plans.search import Settings, search
 from loomdex.sources import html, markdown, tables
@@ -588,6 +588,23 @@ def citation_drift(spark, sf_dir):
     return lifecycle.drift(cited, now).select(F.col("anchor").cast("long").alias("doc_id"), "drift")
 
 
+@query("WITH @CORPUS@ SELECT anchor, 1 AS first, CAST(length(text) AS INTEGER) AS last, substr(sha256(text), 1, 12) AS digest, 'ok' AS status FROM chunks")
+def citation_uris(spark, sf_dir):
+    """Every chunk's citation, written and parsed again."""
+    c = _corpus(spark, sf_dir)[1]
+    written = c.select(citations.uri(F.col("anchor"), F.lit(1), F.length("text"), F.col("chunk_digest")).alias("uri"))
+    return citations.parse(written).select("anchor", "first", "last", "digest", "status")
+
+
+@query("""WITH @CORPUS@, lost AS (SELECT anchor FROM chunks WHERE ordinal % 5 = 4) SELECT count(*) AS lost, count(*) FILTER (WHERE regexp_replace(anchor, '/[^/]*$', '') IN (SELECT regexp_replace(anchor, '/[^/]*$', '') FROM chunks WHERE ordinal % 5 <> 4)) AS found FROM lost""")
+def fetch_nearest(spark, sf_dir):
+    """Every fifth chunk of each document is cited and gone; the nearest section above answers."""
+    c = _corpus(spark, sf_dir)[1]
+    lost, left = c.filter("ordinal % 5 = 4").select("anchor"), c.filter("ordinal % 5 <> 4").select("anchor", "text")
+    got = citations.fetch(lost, left)
+    return lost.join(got.select("anchor", F.lit(1).alias("f")), "anchor", "left").agg(F.count("*").alias("lost"), F.count("f").alias("found"))
+
+
 def _re2(p: str) -> str:
     return p.replace("'", "''")
 
