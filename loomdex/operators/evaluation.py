@@ -79,7 +79,7 @@ def regression_gate(ours: DataFrame, blessed: DataFrame, group: str, value: str,
 
 
 def sign_test(pairs: DataFrame, group: str, ours: str, theirs: str) -> DataFrame:
-    """group, wins, losses, p: the exact one-sided sign test, from log factorials so that any count is exact to a double."""
+    """group, wins, losses, p: the exact one-sided sign test, in whole numbers."""
     n = pairs.groupBy(group).agg(F.count_if(F.col(ours) > F.col(theirs)).alias("wins"), F.count_if(F.col(ours) < F.col(theirs)).alias("losses"))
 
     @F.arrow_udf("double")
@@ -89,7 +89,11 @@ def sign_test(pairs: DataFrame, group: str, ours: str, theirs: str) -> DataFrame
         out = []
         for w, x in zip(wins.to_pylist(), losses.to_pylist(), strict=True):
             m = w + x
-            out.append(1.0 if not m else round(min(1.0, sum(math.comb(m, k) for k in range(w, m + 1)) / 2**m), 9))
+            term, total = math.comb(m, w), 0
+            for k in range(w, m + 1):  # each term from the one before
+                total += term
+                term = term * (m - k) // (k + 1)
+            out.append(round(total / 2**m, 9) if m else 1.0)
         return pa.array(out, pa.float64())
 
     return n.withColumn("p", tail("wins", "losses"))

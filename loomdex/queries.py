@@ -200,7 +200,7 @@ def grep_baseline_topk(spark, sf_dir):
 
 _KNN = """u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 e AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM u),
-p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, round(list_inner_product(q.v, c.v), 6) AS score FROM e q JOIN e c ON q.vec_id < 10),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, round(list_inner_product(q.v, c.v), 6) AS score FROM e q CROSS JOIN e c),
 knn AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)"""
 
 
@@ -211,7 +211,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_KNN} SELECT query_id, vec_id, score, rank FROM knn WHERE rank <= 10")
 def knn_cosine_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return retrieval.knn(v.filter("id < 10"), v, 10)
+    return retrieval.knn(v, v, 10)
 
 
 @query("SELECT DISTINCT sha256(text) AS digest FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -227,18 +227,18 @@ def orphan_vectors_semi(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "label").join(live, "vec_id", "left_semi")
 
 
-@query(f"""WITH {_KNN}, legs AS (SELECT query_id, 'vector' AS leg, vec_id AS anchor, rank FROM knn WHERE rank <= 50
-UNION ALL SELECT query_id, 'reverse', vec_id, rank FROM (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS INTEGER) AS rank FROM knn) WHERE rank <= 50),
-s AS (SELECT query_id, anchor, CAST(sum(CAST(round((CASE WHEN leg = 'reverse' THEN 0.9 ELSE 1.0 END)::DOUBLE / (60 + rank), 12) AS DECIMAL(20, 12))) AS DOUBLE) AS score, count(*) AS n_legs FROM legs GROUP BY query_id, anchor),
+@query(f"""WITH {_KNN}, v50 AS (SELECT query_id, vec_id AS anchor, rank FROM knn WHERE rank <= 50), legs AS (SELECT query_id, 'vector' AS leg, anchor, rank FROM v50
+UNION ALL SELECT query_id, 'label', anchor, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) FROM v50 JOIN embeddings q ON q.vec_id = query_id JOIN embeddings c ON c.vec_id = anchor AND c.label = q.label),
+s AS (SELECT query_id, anchor, CAST(sum(CAST(round((CASE WHEN leg = 'label' THEN 0.9 ELSE 1.0 END)::DOUBLE / (60 + rank), 12) AS DECIMAL(20, 12))) AS DOUBLE) AS score, count(*) AS n_legs FROM legs GROUP BY query_id, anchor),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, anchor) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 20""")
 def rrf_fusion(spark, sf_dir):
+    """The vector leg, and a leg of those of its hits that have the query's label."""
     v = _vectors(spark, sf_dir)
-    hits = retrieval.knn(v.filter("id < 10"), v, 50).select("query_id", F.lit("vector").alias("leg"), F.col("vec_id").alias("anchor"), "rank")
-    by_id = F.row_number().over(Window.partitionBy("query_id").orderBy("anchor"))
-    asked = v.filter("id < 10").select(F.col("id").alias("query_id"))
-    first = v.select(F.col("id").alias("anchor")).orderBy("anchor").limit(50)
-    other = asked.join(F.broadcast(first)).withColumn("rank", by_id).select("query_id", F.lit("reverse").alias("leg"), "anchor", "rank")  # 50 rows
-    return retrieval.rrf(hits.unionByName(other), 20, {"reverse": 0.9})
+    hits = retrieval.knn(v, v, 50).select("query_id", F.col("vec_id").alias("anchor"), "rank")
+    label = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    same = hits.join(label.withColumnsRenamed({"vec_id": "query_id", "label": "ql"}), "query_id").join(label.withColumnsRenamed({"vec_id": "anchor", "label": "al"}), "anchor").filter("ql = al")
+    other = same.select("query_id", F.lit("label").alias("leg"), "anchor", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
+    return retrieval.rrf(hits.select("query_id", F.lit("vector").alias("leg"), "anchor", "rank").unionByName(other), 20, {"label": 0.9})
 
 
 @query()
@@ -476,10 +476,9 @@ def enforceable_slice_size(spark, sf_dir):
     return evaluation.needed_cases(m, "slice", "ndcg")
 
 
-@query("""WITH w AS (SELECT l_returnflag AS grp, count(*) FILTER (WHERE l_quantity > 42) AS wins, count(*) FILTER (WHERE l_quantity < 3) AS losses FROM lineitem WHERE l_linenumber = 7 GROUP BY 1)
-SELECT grp, wins, losses FROM w""")
+@query("""SELECT l_returnflag AS grp, count(*) FILTER (WHERE (l_quantity > 25) AND NOT (l_discount > 0.05)) AS wins, count(*) FILTER (WHERE NOT (l_quantity > 25) AND (l_discount > 0.05)) AS losses FROM lineitem GROUP BY 1""")
 def sign_test_counts(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem").filter("l_linenumber = 7").select(F.col("l_returnflag").alias("grp"), (F.col("l_quantity") > 42).cast("int").alias("a"), (F.col("l_quantity") < 3).cast("int").alias("b"))
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), (F.col("l_quantity") > 25).cast("int").alias("a"), (F.col("l_discount") > 0.05).cast("int").alias("b"))
     return evaluation.sign_test(pairs, "grp", "a", "b").select("grp", "wins", "losses")
 
 
@@ -557,18 +556,27 @@ def debounced_sessions(spark, sf_dir):
 
 
 def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = table(spark, sf_dir, "documents")
-    row = d.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").cast("string").alias("doc_id"), F.sha2("text", 256).alias("source_digest"), F.lit("env1").alias("env_digest"), F.col("doc_id").alias("n"))
-    cur = row.filter("n % 7 <> 0")
-    prev = row.filter("n % 5 <> 0").withColumn("source_digest", F.when(F.col("n") % 3 == 0, "changed").otherwise(F.col("source_digest")))
-    return cur.drop("n"), prev.drop("n")
+    """The current state is every document; the previous one every labelled document, in which toxic ones differ, and
+    every page, none of which is a document any more."""
+    d, env = table(spark, sf_dir, "documents"), F.lit("env1").alias("env_digest")
+    key = F.col("doc_id").cast("string").alias("doc_id")
+    digest = F.sha2("text", 256)
+    cur = d.select(F.concat(F.lit("doc/"), key).alias("path"), key, digest.alias("source_digest"), env)
+    old = d.join(_labelled(spark, sf_dir), "doc_id").select(F.concat(F.lit("doc/"), key).alias("path"), key, F.when(F.col("toxic") == 1, "changed").otherwise(digest).alias("source_digest"), env)
+    page = F.concat(F.lit("page/"), F.col("page_id").cast("string"))
+    return cur, old.unionByName(table(spark, sf_dir, "pages").select(page.alias("path"), page.alias("doc_id"), F.sha2("html", 256).alias("source_digest"), env))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+
+
+_LAB = "lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id)"
 
 
-@query("""WITH c AS (SELECT * FROM documents WHERE doc_id % 7 <> 0), p AS (SELECT * FROM documents WHERE doc_id % 5 <> 0)
-SELECT 'doc/' || coalesce(c.doc_id, p.doc_id) AS path, CAST(coalesce(c.doc_id, p.doc_id) AS VARCHAR) AS doc_id, CASE WHEN c.doc_id IS NULL THEN 'removed' WHEN p.doc_id IS NULL THEN 'new' WHEN p.doc_id % 3 <> 0 THEN 'reused' ELSE 'rebuilt' END AS action
-FROM c FULL OUTER JOIN p ON c.doc_id = p.doc_id""")
+@query(f"""WITH {_LAB} SELECT 'doc/' || doc_id AS path, CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN lab.doc_id IS NULL THEN 'new' WHEN toxic = 1 THEN 'rebuilt' ELSE 'reused' END AS action FROM documents LEFT JOIN lab USING (doc_id)
+UNION ALL SELECT 'page/' || page_id, 'page/' || page_id, 'removed' FROM pages""")
 def incremental_plan(spark, sf_dir):
-    """The previous and the current state are both made of the whole table, with some rows missing and some changed."""
     return lifecycle.incremental_plan(*_states(spark, sf_dir))
 
 
@@ -579,12 +587,12 @@ def duplicate_identity_quarantine(spark, sf_dir):
     return d.join(first, "identity").select("doc_id", "identity", (F.col("doc_id") != F.col("first")).alias("quarantined"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'gone' WHEN doc_id % 4 = 1 AND doc_id % 3 = 1 THEN 'moved and rewritten' WHEN doc_id % 4 = 1 THEN 'moved' WHEN doc_id % 3 = 1 THEN 'rewritten' ELSE 'current' END AS drift FROM documents""")
+@query(f"""WITH {_LAB} SELECT doc_id, CASE WHEN lab.doc_id IS NULL THEN 'gone' WHEN quality = 1 AND toxic = 1 THEN 'moved and rewritten' WHEN quality = 1 THEN 'moved' WHEN toxic = 1 THEN 'rewritten' ELSE 'current' END AS drift FROM documents LEFT JOIN lab USING (doc_id)""")
 def citation_drift(spark, sf_dir):
-    """Every document is cited; a fixed part of them has since moved, changed or gone."""
+    """Every document is cited; those of quality have since moved, toxic ones have changed, unlabelled ones are gone."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("anchor"), F.sha2("text", 256).alias("full"))
     cited = d.select("anchor", F.substring("full", 1, 12).alias("digest"), F.lit(1).alias("first"), F.lit(5).alias("last"))
-    now = d.filter("doc_id % 4 <> 3").select("anchor", F.when(F.col("doc_id") % 3 == 1, F.lit("-")).otherwise(F.col("full")).alias("digest"), F.when(F.col("doc_id") % 4 == 1, 2).otherwise(1).alias("first"), F.lit(5).alias("last"))
+    now = d.join(_labelled(spark, sf_dir), "doc_id").select("anchor", F.when(F.col("toxic") == 1, F.lit("-")).otherwise(F.col("full")).alias("digest"), F.when(F.col("quality") == 1, 2).otherwise(1).alias("first"), F.lit(5).alias("last"))
     return lifecycle.drift(cited, now).select(F.col("anchor").cast("long").alias("doc_id"), "drift")
 
 
@@ -596,11 +604,11 @@ def citation_uris(spark, sf_dir):
     return citations.parse(written).select("anchor", "first", "last", "digest", "status")
 
 
-@query("""WITH @CORPUS@, lost AS (SELECT anchor FROM chunks WHERE ordinal % 5 = 4) SELECT count(*) AS lost, count(*) FILTER (WHERE regexp_replace(anchor, '/[^/]*$', '') IN (SELECT regexp_replace(anchor, '/[^/]*$', '') FROM chunks WHERE ordinal % 5 <> 4)) AS found FROM lost""")
+@query("""WITH @CORPUS@, lost AS (SELECT anchor FROM chunks WHERE length(text) < 40) SELECT count(*) AS lost, count(*) FILTER (WHERE regexp_replace(anchor, '/[^/]*$', '') IN (SELECT regexp_replace(anchor, '/[^/]*$', '') FROM chunks WHERE length(text) >= 40)) AS found FROM lost""")
 def fetch_nearest(spark, sf_dir):
-    """Every fifth chunk of each document is cited and gone; the nearest section above answers."""
+    """Short chunks are cited and gone; the nearest section above answers."""
     c = _corpus(spark, sf_dir)[1]
-    lost, left = c.filter("ordinal % 5 = 4").select("anchor"), c.filter("ordinal % 5 <> 4").select("anchor", "text")
+    lost, left = c.filter("length(text) < 40").select("anchor"), c.filter("length(text) >= 40").select("anchor", "text")
     got = citations.fetch(lost, left)
     return lost.join(got.select("anchor", F.lit(1).alias("f")), "anchor", "left").agg(F.count("*").alias("lost"), F.count("f").alias("found"))
 
