@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import cache
@@ -675,13 +674,14 @@ def custody_merge(spark, sf_dir):
 @query()
 def stream_sessions(spark, sf_dir):
     """The sessions of a stream that has read all of the events table, from the stream's own state."""
-    name = f"sessions_{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    at = f"{base.rstrip('/')}/sessions-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = watch.streamed_sessions(stream, "user_id", "ts", "6 hours", "1 day")
-    run = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    run = out.writeStream.format("parquet").option("path", f"{at}/rows").outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{at}/rows")
 
 
 def _expanded(sql: str) -> str:
