@@ -80,7 +80,7 @@ class PerfectHash:
 
 
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 500_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 200_000) -> None:
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -96,8 +96,11 @@ class Codec:
                     self.follows[left][right] = r
         self.byte_id = [ranks.get(bytes([b]), -1) for b in range(256)]
         self.split = regex.compile(rust_classes(pattern)).findall
+        #: Two generations of what was met lately: words with the space before them, and pre-tokens.
         self.chunks: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
         self.memo_size = memo
         self.spaced = pattern == SPACED
 
@@ -141,31 +144,35 @@ class Codec:
 
     def piece(self, token: str) -> bytes:
         """The ids of one pre-token as 32-bit little-endian integers."""
-        data = token.encode("utf-8")
-        r = self.lookup(data)
-        out = r.to_bytes(4, "little") if r >= 0 else np.array(self.merge(data), np.uint32).tobytes()
-        if len(data) <= 64:
+        out = self.older_pieces.get(token)
+        if out is None:
+            data = token.encode("utf-8")
+            r = self.lookup(data)
+            out = r.to_bytes(4, "little") if r >= 0 else np.array(self.merge(data), np.uint32).tobytes()
+        if len(token) <= 64:
             if len(self.pieces) >= self.memo_size:
-                self.pieces.clear()
+                self.older_pieces, self.pieces = self.pieces, {}
             self.pieces[token] = out
         return out
 
     def whole(self, text: str) -> bytes:
-        get, piece = self.pieces.get, self.piece
-        return b"".join([get(t) or piece(t) for t in self.split(text)])
+        piece = self.piece
+        return b"".join([self.pieces.get(t) or piece(t) for t in self.split(text)])
 
     def chunk(self, word: str) -> bytes:
         """The ids of a space and the word after it."""
-        if word.isalpha():
-            out = self.piece(" " + word)
-        elif word[-1] in ".,;:!?" and word[:-1].isalpha():
-            get = self.pieces.get
-            out = (get(" " + word[:-1]) or self.piece(" " + word[:-1])) + (get(word[-1]) or self.piece(word[-1]))
-        else:
-            out = self.whole(" " + word)
+        out = self.older_chunks.get(word)
+        if out is None:
+            marks = word[-1] in ".,;:!?"
+            if (core := word[:-1] if marks else word).isalpha():
+                out = self.pieces.get(" " + core) or self.piece(" " + core)
+                if marks:
+                    out += self.pieces.get(word[-1]) or self.piece(word[-1])
+            else:
+                out = self.whole(" " + word)
         if len(word) <= 64:
             if len(self.chunks) >= self.memo_size:
-                self.chunks.clear()
+                self.older_chunks, self.chunks = self.chunks, {}
             self.chunks[word] = out
         return out
 
@@ -175,11 +182,15 @@ class Codec:
         if not self.spaced or not text or text[0] == " " or text[-1] == " " or any(w + " " in text or " " + w in text for w in WHITE):
             return np.frombuffer(self.whole(text), np.uint32)
         first, *rest = text.split(" ")
-        get, chunk = self.chunks.get, self.chunk
-        return np.frombuffer(self.whole(first) + b"".join([get(t) or chunk(t) for t in rest]), np.uint32)
+        chunk = self.chunk
+        return np.frombuffer(self.whole(first) + b"".join([self.chunks.get(t) or chunk(t) for t in rest]), np.uint32)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        return decode(self.bytes_of, ids)
+
+
+def decode(bytes_of: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(bytes_of.__getitem__, ids.tolist()))
 
 
 def rust_classes(pattern: str) -> str:
@@ -198,6 +209,16 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
+@cache
+def vocabulary_bytes(path: str) -> list[bytes]:
+    """The bytes of each id: all that decoding needs."""
+    ranks = load_ranks(path)
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 def default_codec() -> tuple[str, str]:
     import public_tokenizers
 
@@ -227,8 +248,8 @@ def digests(encoded: DataFrame, vocabulary: tuple[str, str] | None = None, keep_
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(*how)
-        decimal = [b"%d" % k for k in range(len(c.bytes_of))]
+        bytes_of = vocabulary_bytes(how[0])
+        decimal = [b"%d" % k for k in range(len(bytes_of))]
         for b in batches:
             flat, ends = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
             counts, listed, decoded = [], [], []
@@ -236,7 +257,7 @@ def digests(encoded: DataFrame, vocabulary: tuple[str, str] | None = None, keep_
                 ids = flat[s:e]
                 counts.append(e - s)
                 listed.append(hashlib.sha256(b",".join(map(decimal.__getitem__, ids.tolist()))).hexdigest())
-                decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                decoded.append(hashlib.sha256(decode(bytes_of, ids)).hexdigest())
             yield batch(schema, b.column(0), counts, listed, decoded, *[b.column(1)] * keep_ids)
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
