@@ -242,26 +242,55 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def digests(encoded: DataFrame, vocabulary: tuple[str, str] | None = None, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 from doc_id, ids; the bytes come from decoding the ids. keep_ids: ids too."""
+def decimals(bytes_of: list[bytes]) -> list[bytes]:
+    return [b"%d" % k for k in range(len(bytes_of))]
+
+
+def digest(ids: np.ndarray, bytes_of: list[bytes], decimal: list[bytes]) -> tuple[int, str, str]:
+    """(number of ids, SHA-256 of the listed ids, SHA-256 of the bytes that they decode to)."""
+    listed = b",".join(map(decimal.__getitem__, ids.tolist()))
+    return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decode(bytes_of, ids)).hexdigest()
+
+
+DIGESTS = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+DIGESTS_SQL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(encoded: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 from doc_id, ids; the bytes come from decoding the ids."""
     how = vocabulary or default_codec()
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
+    schema = pa.schema(DIGESTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = vocabulary_bytes(how[0])
-        decimal = [b"%d" % k for k in range(len(bytes_of))]
+        decimal = decimals(bytes_of)
         for b in batches:
             flat, ends = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
-            counts, listed, decoded = [], [], []
-            for s, e in zip(ends, ends[1:], strict=False):
-                ids = flat[s:e]
-                counts.append(e - s)
-                listed.append(hashlib.sha256(b",".join(map(decimal.__getitem__, ids.tolist()))).hexdigest())
-                decoded.append(hashlib.sha256(decode(bytes_of, ids)).hexdigest())
-            yield batch(schema, b.column(0), counts, listed, decoded, *[b.column(1)] * keep_ids)
+            got = [digest(flat[s:e], bytes_of, decimal) for s, e in zip(ends, ends[1:], strict=False)]
+            yield batch(schema, b.column(0), *([g[k] for g in got] for k in range(3)))
+
+    return encoded.mapInArrow(run, DIGESTS_SQL)
+
+
+def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None, keep_ids: bool = False) -> DataFrame:
+    """The digests of encode(docs), and with keep_ids the ids, in one pass: each text is encoded and its ids decoded by
+    the same worker, so a task holds one codec and the ids don't pass through the JVM in between."""
+    how = vocabulary or default_codec()
+    schema = pa.schema(DIGESTS + [("ids", pa.list_(pa.int32()))] * keep_ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(*how)
+        decimal = decimals(c.bytes_of)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
+                got = [digest(x, c.bytes_of, decimal) for x in ids]
+                lists = [long_lists(np.concatenate(ids).astype(np.int32), [len(x) for x in ids], pa.int32())] if keep_ids else []
+                yield batch(schema, part.column(0), *([g[k] for g in got] for k in range(3)), *lists)
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, DIGESTS_SQL + ", ids array<int>" * keep_ids)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -226,6 +226,9 @@ def test_bpe_table(docs, none, own):
         expect.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert rows(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(expect, key=repr)
     assert bpe.digests(bpe.encode(none)).count() == 0
+    once = bpe.encode_decode(docs, keep_ids=True)
+    assert rows(once, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(expect, key=repr)
+    assert rows(once, "doc_id", "ids") == rows(bpe.encode(docs), "doc_id", "ids") and bpe.encode_decode(none).count() == 0
 
 
 @settings(max_examples=80, deadline=None)
