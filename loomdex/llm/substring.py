@@ -187,7 +187,8 @@ def by_group(rows, schema: pa.Schema):
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_size: int = 150_000) -> tuple[DataFrame, DataFrame]:
     """(the cells, for each cell what repeats from elsewhere): see remove_repeats."""
-    held = materialize(cells(docs, id_col, text_col, length), "cells")
+    # the same filter in both joins below, so that they share one exchange of the cells
+    held = materialize(cells(docs, id_col, text_col, length), "cells").filter("cell is not null")
     # of w values in a row about two in w + 1 are minima
     n_minima = (held.agg(F.sum("words")).first()[0] or 0) * 2 // (length - GRAM + 2)
     groups = max(64, n_minima // group_size + 1)
@@ -245,7 +246,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 yield batch(minima_schema, found.astype(np.int32), [cell] * len(found), parts)
 
     trees = 2 * groups
-    joined = held.join(bits, "cell").select("cell", "ids", "texts", "bits")
+    joined = held.select("cell", "ids", "texts").join(bits, "cell").select("cell", "ids", "texts", "bits")
 
     def tree(table: pa.Table) -> pa.Table:
         """The suffix tree of a group of prefixes: for each cell the suffixes whose deep node has an earlier leaf."""
@@ -314,7 +315,7 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, length: int, digest: boo
                     kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8"))
                 yield batch(schema, pa.array(ids, mask=ids == NULL_ID), c.counts, removed, kept)
 
-    rows = held.join(elsewhere, "cell", "left").select("ids", "texts", "elsewhere")
+    rows = held.select("cell", "ids", "texts").join(elsewhere, "cell", "left").select("ids", "texts", "elsewhere")
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
