@@ -10,11 +10,15 @@ each is extended both ways into the runs of min_run lines that hold it. Of equal
 grouping, all others are deleted, and the runs of a document overlap into its maximal deleted runs. Nothing is
 paired, so a run that a third of all documents share costs a row for each of them.
 
+With ``words``, shorter runs (single lines, pairs) count too if all their lines have a word and they have so many
+words together; each is a fingerprint and a run of its own. Runs are written as position * min_run + length, with
+length 0 for min_run.
+
 Only hashes move before the last step: 64 bits a line for fingerprints, 128 bits for equal runs.
 
 Defined results: a null or empty text has one empty line at most and stays as it is. Rows that share a doc_id count
 as one document with several texts: none of them is earlier than another at the same line. A null doc_id comes last.
-Documents of fewer than min_run lines are untouched. Columns besides id and text pass through, whatever their names.
+Documents of fewer than min_run lines are untouched without ``words``. Columns besides id and text pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,32 +69,59 @@ def line_hashes(text: bytes) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
 
 
-def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, version, hashes of the lines of each document that has some; version tells texts of one id apart."""
-    schema = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("lines", pa.binary())])
+def word_counts(text: bytes, most: int) -> np.ndarray:
+    """The words of each line, counted as far as most + 1."""
+    lines = text.split(b"\n")
+    return np.fromiter((len(x.split(None, most)) for x in lines), np.uint8, len(lines))
+
+
+def short_runs(counts: np.ndarray, n: int, words: int) -> np.ndarray:
+    """Where n consecutive lines that each have a word have ``words`` or more together."""
+    if len(counts) < n:
+        return np.zeros(0, np.int64)
+    w = np.lib.stride_tricks.sliding_window_view(counts, n)
+    return np.flatnonzero((w.sum(axis=1) >= words) & (w.min(axis=1) > 0))
+
+
+def hashed(docs: DataFrame, id_col: str, text_col: str, words: int | None = None) -> DataFrame:
+    """id, version, hashes of the lines of each document that has some, words of each line (empty unless asked);
+    version tells texts of one id apart."""
+    schema = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("lines", pa.binary()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(schema, b.column(0), b.column(1), [line_hashes(t).tobytes() for t in as_bytes(b.column(2))])
+            texts = as_bytes(b.column(2))
+            counts = [b"" if words is None else word_counts(t, words).tobytes() for t in texts]
+            yield batch(schema, b.column(0), b.column(1), [line_hashes(t).tobytes() for t in texts], counts)
 
     rows = docs.filter(F.col(text_col) != "").select(id_key(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "id long, version long, lines binary").dropDuplicates(["id", "version"])
+    return rows.mapInArrow(run, "id long, version long, lines binary, words binary").dropDuplicates(["id", "version"])
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, gram: int = GRAM) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """id, version, lines (array<int>, ascending): the lines to delete of each document that has any."""
     if not 1 <= gram <= min_run:
         raise ValueError("gram is between 1 and min_run")
-    lines = materialize(hashed(docs, id_col, text_col), "line-hashes")
+    if words is not None and not 1 <= words < 255:
+        raise ValueError("words is between 1 and 254")
+    shorter = range(1, min_run) if words is not None else ()
+    lines = materialize(hashed(docs, id_col, text_col, words), "line-hashes")
     marks = pa.schema([("fp", pa.int64()), ("id", pa.int64()), ("version", pa.int64()), ("pos", pa.int32())])
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, v, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                g = grams(np.frombuffer(data, np.uint64), gram)
+            for i, v, data, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h, counts = np.frombuffer(data, np.uint64), np.frombuffer(counts, np.uint8)
+                g = grams(h, gram)
                 at = winnow(g, min_run - gram + 1)
+                fp, at = [g[at]], [at * min_run]
+                for n in shorter:
+                    p = short_runs(counts, n, words)
+                    fp.append(mixed(grams(h, n)[p] + np.uint64(n)))
+                    at.append(p * min_run + n)
+                fp, at = np.concatenate(fp), np.concatenate(at)
                 if len(at):
-                    yield batch(marks, g[at].view(np.int64), [i] * len(at), [v] * len(at), at.astype(np.int32))
+                    yield batch(marks, fp.view(np.int64), [i] * len(at), [v] * len(at), at.astype(np.int32))
 
     found = lines.mapInArrow(coalesced(fingerprints, marks), "fp long, id long, version long, pos int")
     twice = found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
@@ -102,17 +133,23 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             for i, v, data, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = np.frombuffer(data, np.uint64)
-                starts = np.unique(np.add.outer(np.array(at, np.int64), np.arange(gram - min_run, 1)))
-                starts = starts[(starts >= 0) & (starts <= len(h) - min_run)]
-                if len(starts):
-                    yield batch(runs_schema, grams(h, min_run)[starts].view(np.int64), grams(mixed(h), min_run, _B2)[starts].view(np.int64), [i] * len(starts), [v] * len(starts), starts.astype(np.int32))
+                at = np.array(at, np.int64)
+                for n in (min_run, *shorter):
+                    starts = at[at % min_run == n % min_run] // min_run
+                    if n == min_run:
+                        starts = np.unique(np.add.outer(starts, np.arange(gram - min_run, 1)))
+                        starts = starts[(starts >= 0) & (starts <= len(h) - min_run)]
+                    if len(starts):
+                        run = (starts * min_run + n % min_run).astype(np.int32)
+                        yield batch(runs_schema, grams(h, n)[starts].view(np.int64), grams(mixed(h), n, _B2)[starts].view(np.int64), [i] * len(starts), [v] * len(starts), run)
 
     runs = lines.join(held, ["id", "version"]).select("id", "version", "lines", "at").mapInArrow(coalesced(extend, runs_schema), "h1 long, h2 long, id long, version long, pos int")
     runs = materialize(runs, "line-runs")
     first = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).filter("n > 1")
     later = runs.join(first, ["h1", "h2"]).filter(F.struct("id", "pos") > F.col("first"))
     covered = later.groupBy("id", "version").agg(F.collect_list("pos").alias("starts"))
-    reach = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (min_run - 1))))
+    begin, length = (lambda s: F.floor(s / min_run).cast("int")), (lambda s: F.when(s % min_run == 0, min_run).otherwise(s % min_run))
+    reach = F.flatten(F.transform("starts", lambda s: F.sequence(begin(s), begin(s) + length(s) - 1)))
     return covered.select("id", "version", F.array_sort(F.array_distinct(reach)).alias("lines"))
 
 
@@ -147,12 +184,12 @@ def _without():
     return without
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, gram: int = GRAM, removed_as: str | None = None, keep_emptied: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, gram: int = GRAM, removed_as: str | None = None, keep_emptied: bool = True, words: int | None = None) -> DataFrame:
     """docs with the repeated runs deleted from the text; removed_as: a column for the number of lines deleted;
-    keep_emptied: whether documents that lose all their lines stay, with an empty text."""
+    keep_emptied: whether documents that lose all their lines stay, with an empty text; words: of shorter runs that count."""
     names, own = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
     i, t = own[names.index(id_col)], own[names.index(text_col)]
-    drop = repeated_lines(docs, id_col, text_col, min_run, gram).withColumnsRenamed({"id": "_id", "version": "_version", "lines": "_drop"})
+    drop = repeated_lines(docs, id_col, text_col, min_run, gram, words).withColumnsRenamed({"id": "_id", "version": "_version", "lines": "_drop"})
     rows = docs.toDF(*own).withColumn("_id", id_key(i)).withColumn("_version", F.xxhash64(t)).join(drop, ["_id", "_version"], "left")
     # only the texts that lose lines go through Python
     text = F.when(F.col("_drop").isNull(), F.col(t)).otherwise(_without()(F.when(F.col("_drop").isNotNull(), F.col(t)), F.col("_drop")))
