@@ -679,7 +679,13 @@ def stream_sessions(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = watch.streamed_sessions(stream, "user_id", "ts", "6 hours", "1 day")
-    run = out.writeStream.format("parquet").option("path", f"{at}/rows").outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    spark.createDataFrame([], out.schema).write.parquet(f"{at}/rows")
+
+    def held(batch: DataFrame, epoch: int) -> None:
+        """All sessions of the state, those still open too; each epoch replaces the one before."""
+        batch.write.mode("overwrite").parquet(f"{at}/rows")
+
+    run = out.writeStream.foreachBatch(held).outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/rows")
 
