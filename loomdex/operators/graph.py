@@ -130,7 +130,7 @@ def entity_mentions(entities: DataFrame, rows: DataFrame, shortest: int = 4) ->
     """
     names = entities.select("slug", X.index_tokens(F.col("name")).alias("tokens"), F.length("name").alias("letters")).filter((F.col("letters") >= shortest) & (F.size("tokens") > 0))
     names = names.select("slug", F.array_join("tokens", " ").alias("gram"), F.size("tokens").alias("n")).distinct()
-    lengths = [r[0] for r in names.select("n").distinct().orderBy("n").limit(16).collect()]
+    lengths = [r[0] for r in names.select("n").distinct().orderBy("n").collect()]
     tokens = rows.select("doc_id", "anchor", "ordinal", X.index_tokens(F.col("text")).alias("t"))
     grams = None
     for n in lengths:
