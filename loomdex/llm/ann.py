@@ -191,13 +191,13 @@ def search_shard(shard: dict, q: np.ndarray, q_ids: np.ndarray, k: int, beam: in
     for i, found in enumerate(nodes):
         found = found[found >= 0]
         scores = (x[found] * q[i]).sum(axis=1)
-        order = np.argsort(-scores, kind="stable")[: 2 * k + 2]
+        order = np.argsort(-scores, kind="stable")
         at, to = [], []
         for f, s in zip(found[order], scores[order], strict=True):
             if len(at) > k and s < to[-1]:
                 break
-            members = np.arange(begins[f], min(ends[f], begins[f] + k + 1))
-            members = members[nulls[members] | (ids[members] != q_ids[i])]
+            members = np.arange(begins[f], ends[f])
+            members = members[nulls[members] | (ids[members] != q_ids[i])][:k]
             at += members.tolist()
             to += [s] * len(members)
         at, to = np.array(at, np.int64), np.array(to)
