@@ -9,31 +9,35 @@ the n of ``COUNTS``. Ids are cut into runs of ``RUN``; each run starts a new wor
 run starts at. An id of over 60 bits is an escape: a word with selector 15, then a word with the id itself. Encoding
 advances all runs of a block by one word at a time; decoding unpacks all words of one selector at a time.
 
-Defined results: a null text is empty; a document without ids has the end id alone. Documents come by doc_id, then by
-text; a null doc_id comes last, as the largest long (which is reserved for it). Rows that repeat a doc_id are documents of their own. Special tokens' strings in a
-text are ordinary text. An empty table makes no files' rows. Other columns of the input are not read.
+Defined results: a null text is empty; a document without ids has the end id alone. Documents come by doc_id, then in
+the order in which they are read; a null doc_id comes last, as the largest long (which is reserved for it). Rows that
+repeat a doc_id are documents of their own. The string of a special token is that token, wherever it stands in a text.
+An empty table makes no files' rows. Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import string
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import NULL_ID, as_bytes, batch, id_key, materialize, work_dir
+from loomdex.llm.common import NULL_ID, as_bytes, batch, id_key, work_dir
 
 #: Ids in a word, by selector from 0; 60 // n bits for each.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
-RUN = 240
+RUN = 120
 #: Magic, version, documents, ids, runs, words.
 HEAD = struct.Struct("<8sIIQII")
 MAGIC = b"LOOMS8B\0"
@@ -46,13 +50,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     runs = -(-len(ids) // RUN)
     starts = np.arange(runs, dtype=np.int64) * RUN
     ends = np.minimum(starts + RUN, len(ids))
-    width = np.zeros(len(ids) + max(COUNTS), np.int64)  # bits each id needs
-    for shift in (32, 16, 8, 4, 2, 1):
-        high = (ids >> np.uint64(shift)) >> (width[: len(ids)].astype(np.uint64)) > 0
-        width[: len(ids)] += shift * high
-    width[: len(ids)] += (ids >> width[: len(ids)].astype(np.uint64)) > 0
+    # bits each id needs; an id that a double rounds up to a power of two may be given one more, which it can take
+    width = np.zeros(len(ids) + max(COUNTS), np.uint8)
+    width[: len(ids)] = np.frexp(ids.astype(np.float64))[1]
     # the widest id among the next n, for each n of COUNTS, by growing windows
-    chosen = np.full(len(ids), ESCAPE, np.int64)
+    chosen = np.full(len(ids), ESCAPE, np.uint8)
     grown, n = width.copy(), 1
     for selector in range(len(COUNTS) - 1, -1, -1):
         while n < COUNTS[selector]:
@@ -175,63 +177,71 @@ def byte_chars() -> list[str]:
 BYTE_CHARS = byte_chars()
 
 
-class WordTokenizer:
+PUNCTUATION = string.punctuation.encode()
+
+
+class WordTokenizer(dict):
     """The tokenizers library, asked once for each word that is new to a bounded memo of two generations.
 
     The vocabulary's normaliser and splitting rules never look across white space, so words may be encoded apart. A
-    text without non-ASCII characters is lower-cased before it is looked up, as the library would do itself.
+    text without non-ASCII characters is lower-cased before it is looked up, as the library would do itself. The
+    library finds its special tokens in the text as it is, before any rule; a text that holds one goes to it whole.
     """
 
-    def __init__(self, path: str, memo: int = 250_000) -> None:
+    def __init__(self, path: str, memo: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
+        self.whole = Tokenizer.from_file(path)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.memo: dict[bytes, bytes] = {}
+        self.library.encode_special_tokens = True  # in a word that was lower-cased their strings are ordinary text
+        self.merge = self.library.model.tokenize
+        special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special))).search if special else lambda _: None
         self.older: dict[bytes, bytes] = {}
         self.memo_size = memo
 
-    def ask(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word. Latin letters are one pre-token, and lower-casing them is all that the normaliser does:
-        they go to the library's model at once, as the characters that stand for their bytes."""
-        merge, out, rest = self.library.model.tokenize, {}, []
-        for w in words:
-            text = w.decode("utf-8")
-            if LATIN.fullmatch(text):
-                text = text.lower() if w.isascii() else "".join(map(BYTE_CHARS.__getitem__, text.lower().encode("utf-8")))
-                out[w] = np.array([t.id for t in merge(text)], np.uint32).tobytes()
+    def __missing__(self, word: bytes) -> bytes:
+        """The ids of a word that the memo lacks. Letters, and the signs before and after them, are pre-tokens of their
+        own (but for an apostrophe before letters, which may begin a contraction); letters go to the library's model at
+        once, in lower case, as the characters that stand for their bytes."""
+        out = self.older.get(word)
+        if out is None:
+            core = word.strip(PUNCTUATION)
+            if core.isalpha():  # of bytes: ASCII letters
+                text = core.decode("ascii").lower()
+            elif LATIN.fullmatch(text := core.decode("utf-8")):
+                text = "".join(map(BYTE_CHARS.__getitem__, text.lower().encode("utf-8")))
             else:
-                rest.append(w)
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            for w, e in zip(some, self.library.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-                out[w] = np.array(e.ids, np.uint32).tobytes()
-        return [out[w] for w in words]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Put words that the memo lacks into it."""
-        memo, older = self.memo, self.older
-        new = []
-        for w in words:
-            if (known := older.get(w)) is None:
-                new.append(w)
+                text = None
+            if len(core) == len(word) and text is not None:
+                out = array("I", [t.id for t in self.merge(text)]).tobytes()
+            elif text is None or word[: (at := word.index(core))].endswith(b"'"):
+                out = array("I", self.library.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
             else:
-                memo[w] = known
-        # letters and the marks after them are separate pre-tokens, so they are looked up apart
-        parts = {w: (core, w[len(core) :]) for w in new if len(core := w.rstrip(b".,;:!?")) < len(w) and LATIN.fullmatch(core.decode("utf-8"))}
-        ask = list({x for w in new for x in parts.get(w, (w,)) if x not in memo})
-        memo.update(zip(ask, self.ask(ask), strict=True))
-        for w, (core, marks) in parts.items():
-            memo[w] = memo[core] + memo[marks]
+                before, after = word[:at], word[at + len(core) :]
+                out = (self.sign(before) if before else b"") + self[core] + (self.sign(after) if after else b"")
+        self[word] = out
+        return out
+
+    def sign(self, marks: bytes) -> bytes:
+        """The ids of signs that stand before or after letters."""
+        if (out := self.get(marks)) is None:
+            out = self[marks] = array("I", self.library.encode(marks.decode("ascii"), add_special_tokens=False).ids).tobytes()
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as 32-bit little-endian integers."""
-        split = [t.lower().split() if t.isascii() else t.split() for t in texts]
-        words = set().union(*split)
-        if len(self.memo) > self.memo_size:
-            self.older, self.memo = self.memo, {}
-        self.learn(words.difference(self.memo))
-        return [b"".join(map(self.memo.__getitem__, ws)) for ws in split]
+        if len(self) > self.memo_size:
+            self.older = dict(self)
+            self.clear()
+        out, get = [], self.__getitem__
+        for t in texts:
+            if self.special(t):
+                out.append(array("I", self.whole.encode(t.decode("utf-8"), add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(b"".join(map(get, t.lower().split() if t.isascii() else t.split())))
+        return out
 
 
 @cache
@@ -248,67 +258,46 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def shard_bounds(docs: DataFrame, id_col: str, rows: int) -> list[int]:
-    """Upper ends of all shards but the last: quantiles of doc_id, a shard for about ``rows`` documents."""
-    ids = docs.select(F.col(id_col).cast("double").alias("id")).filter("id is not null")
-    n = ids.count()
-    shards = max(1, -(-n // rows))
-    if shards == 1:
-        return []
-    return sorted({int(q) for q in ids.approxQuantile("id", [k / shards for k in range(1, shards)], 0.2 / shards)})
+FILE = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("ids", pa.int64()), ("data", pa.binary())])
+FILE_SQL = "shard int, block int, ids long, data binary"
+#: The most shards; beyond so many times ``shard_rows`` documents, shards grow and hold more blocks.
+MOST_SHARDS = 1 << 16
 
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1, shard_rows: int = 8192, block_ids: int = 1 << 19) -> None:
-    """Encode docs and write the blocks (shard, block, data) to path, in ascending doc_id order."""
+    """Encode docs and write the blocks (shard, block, number of ids, data) to path, in ascending doc_id order.
+
+    Shards are ranges of (doc_id, place in the input), which Spark cuts by a sample of bounded size; the place splits a
+    doc_id that many rows share. A task holds one block and one slice of texts at a time, whatever its shard's size.
+    """
     where = vocabulary or default_vocabulary()
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
     end = np.array([end_id], np.uint32).tobytes()
-    bounds = shard_bounds(docs, id_col, shard_rows)
-    rows = docs.select(id_key(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # a shard is the number of bounds below the id: a bounded list, searched by halves
-    shard = F.lit(0)
-    if bounds:
-        listed = F.array(*[F.lit(b) for b in bounds])
-        shard = F.size(F.filter(listed, lambda b: b < F.col("id"))) if len(bounds) <= 16 else _search(bounds)
-    dealt = rows.withColumn("shard", shard.cast("int")).repartition(F.col("shard")).sortWithinPartitions("shard", "id", "text")
+    rows = docs.select(id_key(id_col).alias("id"), F.monotonically_increasing_id().alias("place"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    shards = min(MOST_SHARDS, max(1, -(-docs.count() // shard_rows)))
+    dealt = rows.repartitionByRange(shards, "id", "place").sortWithinPartitions("id", "place").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(where)
-        at, block, ids, coded, size = -1, 0, [], [], 0
+        shard, block, ids, coded, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
             counts = np.array([len(c) // 4 for c in coded], np.uint32)
-            return batch(schema, [at], [block], [to_block(ids, counts, np.frombuffer(b"".join(coded), np.uint32))])
+            return batch(FILE, [shard], [block], [size], [to_block(ids, counts, np.frombuffer(b"".join(coded), np.uint32))])
 
         for b in batches:
-            shards = b.column(2).to_pylist()
-            doc_ids, texts = b.column(0).to_pylist(), as_bytes(b.column(1))
-            for lo in range(0, len(texts), 256):
-                for s, d, c in zip(shards[lo : lo + 256], doc_ids[lo : lo + 256], words.encode(texts[lo : lo + 256]), strict=True):
-                    if s != at or size >= block_ids:
-                        if coded:
-                            yield flush()
-                        block = block + 1 if s == at else 0
-                        at, ids, coded, size = s, [], [], 0
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for d, c in zip(part.column(0).to_pylist(), words.encode(as_bytes(part.column(1))), strict=True):
+                    if size >= block_ids:
+                        yield flush()
+                        block, ids, coded, size = block + 1, [], [], 0
                     ids.append(d)
                     coded.append(c + end)
                     size += len(c) // 4 + 1
         if coded:
             yield flush()
 
-    dealt.mapInArrow(run, "shard int, block int, data binary").write.option("compression", "none").parquet(path)
-
-
-def _search(bounds: list[int]):
-    """The number of bounds below id, as nested comparisons by halves."""
-
-    def over(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("id") > bounds[mid], over(mid + 1, hi)).otherwise(over(lo, mid))
-
-    return over(0, len(bounds))
+    dealt.mapInArrow(run, FILE_SQL).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -325,43 +314,42 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int64)))
                 yield batch(schema, [s] * n, [k] * n, np.arange(n, dtype=np.int32), pa.array(doc_ids, mask=doc_ids == NULL_ID), lists)
 
-    return spark.read.schema("shard int, block int, data binary").parquet(path).mapInArrow(run, "shard int, block int, row int, doc_id long, ids array<bigint>")
+    return spark.read.schema(FILE_SQL).parquet(path).select("shard", "block", "data").mapInArrow(run, "shard int, block int, row int, doc_id long, ids array<bigint>")
 
 
 def summaries(spark: SparkSession, path: str) -> DataFrame:
-    """shard, block, row, doc_id, n_tokens, ids_crc32 of each document, from the files, without moving the ids."""
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    """shard, block, row, before (the ids of the block's earlier documents), doc_id, n_tokens, ids_crc32 of each
+    document, from the files, without moving the ids."""
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("row", pa.int32()), ("before", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s, k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                doc_ids, counts, ids = from_block(data)
+            for s, k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                doc_ids, counts, ids = from_block(data.as_buffer())
                 raw = memoryview(ids.astype("<u4").tobytes())
-                ends = np.cumsum(counts, dtype=np.int64)
+                counts = counts.astype(np.int64)
+                ends = np.cumsum(counts)
                 crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 n = len(doc_ids)
-                yield batch(schema, [s] * n, [k] * n, np.arange(n, dtype=np.int32), pa.array(doc_ids, mask=doc_ids == NULL_ID), counts.astype(np.int64), crc)
+                yield batch(schema, [s] * n, [k] * n, np.arange(n, dtype=np.int32), ends - counts, pa.array(doc_ids, mask=doc_ids == NULL_ID), counts, crc)
 
-    return spark.read.schema("shard int, block int, data binary").parquet(path).mapInArrow(run, "shard int, block int, row int, doc_id long, n_tokens long, ids_crc32 long")
+    return spark.read.schema(FILE_SQL).parquet(path).select("shard", "block", "data").mapInArrow(run, "shard int, block int, row int, before long, doc_id long, n_tokens long, ids_crc32 long")
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
-    """Adds start: the ids of all documents before. Sums run within blocks, then over the blocks of a shard, then over
-    the shards, so that no task orders more than one block's, one shard's or all shards' rows."""
-    rows = materialize(rows, "token-rows")
-    blocks = rows.groupBy("shard", "block").agg(F.sum("n_tokens").alias("n"))
+def with_starts(rows: DataFrame, path: str) -> DataFrame:
+    """Adds start: the ids of all documents before. rows: as from summaries of path. The files list the ids of each
+    block, so sums run over the blocks of a shard, then over at most MOST_SHARDS shards; no text or id is read for them."""
+    blocks = rows.sparkSession.read.schema(FILE_SQL).parquet(path).select("shard", "block", "ids")
     in_shard = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("in_shard", F.coalesce(F.sum("n").over(in_shard), F.lit(0)))
-    shards = blocks.groupBy("shard").agg(F.sum("n").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    base = blocks.join(shards, "shard").select("shard", "block", (F.col("before") + F.col("in_shard")).alias("base"))
-    inside = Window.partitionBy("shard", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return rows.join(base, ["shard", "block"]).withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside")
+    blocks = blocks.withColumn("in_shard", F.coalesce(F.sum("ids").over(in_shard), F.lit(0)))
+    shards = blocks.groupBy("shard").agg(F.sum("ids").alias("n"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
+    base = blocks.join(shards, "shard").select("shard", "block", (F.col("earlier") + F.col("in_shard")).alias("base"))
+    return rows.join(base, ["shard", "block"]).withColumn("start", F.col("base") + F.col("before")).drop("base", "before")
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{work_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return with_starts(summaries(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(summaries(spark, path), path).select("doc_id", "start", "n_tokens", "ids_crc32")

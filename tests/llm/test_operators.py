@@ -252,10 +252,10 @@ def test_token_files(spark, docs, none, tmp_path):
     for size in (3, 100):
         path = str(tmp_path / f"t{size}")
         tokenfile.write_tokens(docs, path, shard_rows=size, block_ids=50)
-        assert rows(tokenfile.with_starts(tokenfile.summaries(spark, path)), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(expect, key=repr)
+        assert rows(tokenfile.with_starts(tokenfile.summaries(spark, path), path), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(expect, key=repr)
         assert {r.doc_id: list(r.ids) for r in tokenfile.read_tokens(spark, path).collect()}[9] == [*library.encode("word", add_special_tokens=False).ids, 1]
     tokenfile.write_tokens(none, str(tmp_path / "none"))
-    assert tokenfile.with_starts(tokenfile.summaries(spark, str(tmp_path / "none"))).count() == 0
+    assert tokenfile.with_starts(tokenfile.summaries(spark, str(tmp_path / "none")), str(tmp_path / "none")).count() == 0
 
 
 # 5. SimHash
