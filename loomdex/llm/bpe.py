@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import batch, long_lists
+from loomdex.llm.common import arrow_map, batch, long_lists
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the characters with the Unicode property White_Space.
@@ -80,7 +80,7 @@ class PerfectHash:
 
 
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 200_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 100_000) -> None:
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -239,7 +239,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 lists = long_lists(np.concatenate(ids).astype(np.int32), [len(x) for x in ids], pa.int32())
                 yield batch(schema, part.column(0), lists)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, "doc_id long, ids array<int>")
 
 
 def decimals(bytes_of: list[bytes]) -> list[bytes]:
@@ -269,7 +269,7 @@ def digests(encoded: DataFrame, vocabulary: tuple[str, str] | None = None) -> Da
             got = [digest(flat[s:e], bytes_of, decimal) for s, e in zip(ends, ends[1:], strict=False)]
             yield batch(schema, b.column(0), *([g[k] for g in got] for k in range(3)))
 
-    return encoded.mapInArrow(run, DIGESTS_SQL)
+    return encoded.transform(arrow_map, run, DIGESTS_SQL)
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None, keep_ids: bool = False) -> DataFrame:
@@ -289,7 +289,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 lists = [long_lists(np.concatenate(ids).astype(np.int32), [len(x) for x in ids], pa.int32())] if keep_ids else []
                 yield batch(schema, part.column(0), *([g[k] for g in got] for k in range(3)), *lists)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, DIGESTS_SQL + ", ids array<int>" * keep_ids)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, DIGESTS_SQL + ", ids array<int>" * keep_ids)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

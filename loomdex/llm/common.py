@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import functools
 import operator
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -26,9 +27,12 @@ _ROOTS: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A folder of this application's own under ``spark.checkpoint.dir``; /tmp/checkpoints only where that is unset."""
+    """A folder of this application's own under ``spark.checkpoint.dir``. Where that is unset, a local session (as in
+    tests) gets /tmp/checkpoints, and a cluster is refused: its executors don't share a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset; it has to name a folder that all executors share")
         base = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     app = spark.sparkContext.applicationId
@@ -51,9 +55,14 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def store(df: DataFrame, tag: str) -> str:
     """Write df to a new work table and return its path."""
     path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return path
 
@@ -63,8 +72,39 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(store(df, tag))
 
 
-def blobs(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(of, schema)
+def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What make() gives, computed once; the work tables that it stored on the way go."""
+    _SCRATCH.append([])
+    try:
+        df = make()
+        own = _SCRATCH.pop()
+        out = materialize(df, tag)
+        for path in own:
+            remove(df.sparkSession, path)
+        return out
+    except BaseException:
+        if _SCRATCH:
+            _SCRATCH.pop()
+        raise
+
+
+#: The most bytes of a batch that goes to a Python worker: batches of long texts fill memory outside the JVM's heap.
+BATCH_BYTES = 4 << 20
+
+
+def arrow_map(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow in batches of bounded size; a worker gives back what memory it can at the end of a task."""
+    spark = df.sparkSession
+    spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from of(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
