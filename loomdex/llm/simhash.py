@@ -1,16 +1,20 @@
 """SimHash near-duplicates with pigeonring filtering.
 
 A document's fingerprint has 64 bits: bit b is 1 if it is set in over half of the XXH64 values (seed 42) of the
-document's three-word shingles. Fingerprints link at ``radius`` (2) or fewer differing bits; a document's component
+document's three-word shingles. Fingerprints link at RADIUS (2) or fewer differing bits; a document's component
 is the smallest doc_id that links reach.
 
-Linking works on distinct fingerprints. They are cut into radius + 1 segments. By the pigeonring principle, for a
-pair within the radius some segment starts a chain of consecutive segments (around the ring) whose cumulative
-differences stay within the proportional budgets radius * length / segments: 0, then 1, then 2. Candidates share the
-first segment of such a chain; the chain is tested before the full Hamming distance. A segment value that over
-``pairs_up_to`` fingerprints share isn't paired: there each fingerprint is listed under itself and under each
-fingerprint that one bit makes of it, and those that meet in a list are within two bits; such lists have at most
-65 members, so a group of any size costs a multiple of its size and loses no link.
+Linking works on distinct fingerprints, which are cut into CUTS (6) segments around a ring. Two bits touch two segments
+at most, so a pair within the radius agrees in four, and any four of six have neighbours. A key is four segments, about
+43 bits, so that keys stay rare however many fingerprints there are: of 2**40 at random, one in eight shares a given
+key with another. By the pigeonring principle some chain of consecutive segments of such a pair has
+cumulative differences within the proportional budgets RADIUS * length / CUTS (0, 0, 1, 1, 1), and candidates without
+such a chain are pruned before the full Hamming check.
+
+A key that over ``pairs_up_to`` fingerprints share isn't paired, so that a crowd of any size costs a multiple of its size:
+what differs there lies in the key's free bits, so each fingerprint is listed under itself and under each fingerprint
+that one free bit makes of it. Those that meet in a list are within two bits, lists have at most 65 members, and no
+link is lost.
 
 Components come from alternating large-star and small-star steps on the edges, all of them joins and groupings.
 
@@ -21,20 +25,24 @@ component without any other has a null component_id. Other columns of the input
 
 from __future__ import annotations
 
+import functools
+import itertools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from loomdex.llm.common import as_bytes, batch, id_key, materialize, remove, store
+from loomdex.llm.common import arrow_map, as_bytes, batch, id_key, materialize, remove, settled, store
 
 SEED = 42
 WORDS = 3
 RADIUS = 2
+CUTS = 6
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -60,45 +68,52 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield batch(schema, b.column(0), [fingerprint(t or b"", words) for t in as_bytes(b.column(1))], *b.columns[2:])
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *[F.xxhash64(text_col)] * version)
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n, _ in fields))
+    return rows.transform(arrow_map, run, ", ".join(f"{n} long" for n, _ in fields))
 
 
-def segments(radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(first bit, width) of each of radius + 1 segments."""
-    m = radius + 1
-    ends = [round(64 * k / m) for k in range(m + 1)]
+def segments(cuts: int = CUTS) -> list[tuple[int, int]]:
+    """(first bit, width) of each segment."""
+    ends = [round(64 * k / cuts) for k in range(cuts + 1)]
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def mask(at: int, width: int) -> int:
-    x = ((1 << width) - 1) << at
+    return signed(((1 << width) - 1) << at)
+
+
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def edges(fps: DataFrame, radius: int = RADIUS, pairs_up_to: int = 64) -> DataFrame:
-    """f, g: links between distinct fingerprints that join all that are within the radius. fps: fp, distinct."""
-    parts = segments(radius)
-    m = len(parts)
-    keys = F.array(*[F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(mask(*p))).alias("val")) for i, p in enumerate(parts)])
-    listed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.*")
-    sizes = listed.groupBy("seg", "val").agg(F.count("*").alias("n"))
-    crowded = sizes.filter(F.col("n") > pairs_up_to).select("seg", "val")
-    few = sizes.filter((F.col("n") > 1) & (F.col("n") <= pairs_up_to)).select("seg", "val")
-    paired = listed.join(few, ["seg", "val"])
+def chained(diff: Column, parts: list[tuple[int, int]]) -> Column:
+    """Whether around the ring of segments some chain begins whose cumulative differences stay within RADIUS * length /
+    segments at each length."""
+    m, found = len(parts), F.lit(False)
+    for start in range(m):
+        within, covered = F.lit(True), 0
+        for length in range(1, m):  # the whole ring is the Hamming distance itself
+            covered |= mask(*parts[(start + length - 1) % m])
+            within &= F.bit_count(diff.bitwiseAND(F.lit(covered))) <= RADIUS * length // m
+        found |= within
+    return found
+
+
+def edges(fps: DataFrame, cuts: int = CUTS, pairs_up_to: int = 64) -> DataFrame:
+    """f, g: links between distinct fingerprints that join all that are within RADIUS. fps: fp, distinct."""
+    parts = segments(cuts)
+    choices = list(itertools.combinations(range(cuts), cuts - RADIUS))  # the segments that agree
+    covers = [functools.reduce(operator.or_, (mask(*parts[i]) for i in c)) for c in choices]
+    free = [[0] + [mask(j, 1) for j in range(64) if not cover >> j & 1] for cover in covers]
+    keys = F.array(*[F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(c)).alias("val")) for i, c in enumerate(covers)])
+    listed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.*").repartition("seg", "val")  # moved once for all
+    sizes = listed.groupBy("seg", "val").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(listed.join(sizes, ["seg", "val"]), "shared-segments")
+    paired = shared.filter(F.col("n") <= pairs_up_to)
     a, b = paired.select("seg", "val", F.col("fp").alias("f")), paired.select("seg", "val", F.col("fp").alias("g"))
     diff = F.col("f").bitwiseXOR(F.col("g"))
-    chain = F.lit(False)
-    for i in range(m):
-        within, covered = F.col("seg") == i, 0
-        for length in range(1, m):  # the whole ring is the Hamming distance itself
-            covered |= mask(*parts[(i + length - 1) % m])
-            within &= F.bit_count(diff.bitwiseAND(F.lit(covered))) <= radius * length // m
-        chain |= within
-    near = a.join(b, ["seg", "val"]).filter(F.col("f") > F.col("g")).filter(chain).filter(F.bit_count(diff) <= radius).select("f", "g")
-    if radius > 2:
-        raise ValueError("crowded segments are linked by single flips, which reach two bits")
-    flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(mask(j, 1))) for j in range(64)] if radius == 2 else [F.col("fp")]
-    lists = listed.join(crowded, ["seg", "val"]).select("fp").distinct().select("fp", F.explode(F.array(*flips)).alias("key"))
+    near = a.join(b, ["seg", "val"]).filter(F.col("f") > F.col("g")).filter(chained(diff, parts)).filter(F.bit_count(diff) <= RADIUS).select("f", "g")
+    flips = F.element_at(F.array(*[F.array(*[F.lit(x) for x in some]) for some in free]), F.col("seg") + 1)
+    lists = shared.filter(F.col("n") > pairs_up_to).select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key")).distinct()
     first = F.min("fp").over(Window.partitionBy("key"))  # at most 65 fingerprints lie within one bit of a key
     starred = lists.withColumn("g", first).filter("fp <> g").select(F.col("fp").alias("f"), "g")
     return near.union(starred).distinct()
@@ -112,12 +127,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
 
-    def signed(at: str) -> tuple:
+    def state(at: str) -> tuple:
         r = spark.read.schema("f long, g long").parquet(at).agg(F.count("*"), F.sum(F.xxhash64("f", "g").cast("decimal(38,0)"))).first()
         return tuple(r)
 
     path = store(links.select(F.greatest("f", "g").alias("f"), F.least("f", "g").alias("g")).filter("f <> g").distinct(), "links")
-    was = signed(path)
+    was = state(path)
     while was[0]:
         e = spark.read.schema("f long, g long").parquet(path)
         both = e.union(e.select(F.col("g").alias("f"), F.col("f").alias("g")))
@@ -128,36 +143,36 @@ def components(links: DataFrame) -> DataFrame:
         small = small.filter("g <> m").select(F.col("g").alias("f"), F.col("m").alias("g")).union(least.select("f", F.col("m").alias("g"))).distinct()
         new = store(small, "links")
         remove(spark, path)
-        path, before, was = new, was, signed(new)
+        path, before, was = new, was, state(new)
         if was == before:
             break
     e = spark.read.schema("f long, g long").parquet(path)
     return e.select(F.col("f").alias("node"), F.col("g").alias("root"))
 
 
-def linked(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+def linked(rows: DataFrame) -> DataFrame:
     """fp, root, component_id for each distinct fp of rows (doc_id, fp)."""
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(edges(classes.select("fp"), radius))
+    roots = components(edges(classes.select("fp")))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, fp, component_id: a row for each row of docs."""
     rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    return rows.join(linked(rows, radius), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(settled(lambda: linked(rows), "classes"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """docs with one row of each component: that with the smallest id, then the smallest hash of its text."""
     names, own = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
     i, t = own[names.index(id_col)], own[names.index(text_col)]
     row = docs.toDF(*own).withColumn("_id", id_key(i)).withColumn("_version", F.xxhash64(t))
     keyed = docs.toDF(*own).select(F.col(i).alias("doc_id"), F.col(t).alias("text"))
     rows = materialize(fingerprints(keyed, "doc_id", "text", words, version=True), "fingerprints")
-    kept = rows.join(linked(rows, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(id_key("doc_id").alias("_id"), F.col("version").alias("_version"))).alias("k")).select("k.*")
+    kept = rows.join(settled(lambda: linked(rows), "classes").select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(id_key("doc_id").alias("_id"), F.col("version").alias("_version"))).alias("k")).select("k.*")
     rest = [F.col(c) for c, f in zip(own, docs.schema, strict=True) if c not in (i, t) and isinstance(f.dataType, AtomicType)]
     place = F.row_number().over(Window.partitionBy("_id", "_version").orderBy(F.col(t), *rest))  # of rows that repeat
     return row.join(kept, ["_id", "_version"], "left_semi").withColumn("_place", place).filter("_place = 1").select(*own).toDF(*names)
