@@ -7,13 +7,16 @@ lists that grow too long are pruned likewise. Two passes, the second with alpha
 every shard and the shards' answers are merged; scores are the inner products of the original vectors in doubles.
 
 Nearness is the inner product: one more dimension brings all vectors of a shard to one length, which makes the
-largest inner product the smallest distance. Equal vectors of a shard are one node with a list of ids, so copies cost
+largest inner product the smallest distance. How wide a beam this takes depends on the lengths: a few dozen nodes for
+vectors of one length, far more where lengths differ. So each shard tries its graph on some of its own vectors as
+queries, doubles its beam until it finds RECALL of their true nearest, and keeps that beam with the graph; where only
+a beam of all nodes is wide enough the shard is read whole. Equal vectors of a shard are one node with a list of ids, so copies cost
 no edges and ties are whole.
 
 Defined results: vectors that are null, zero or have null or non-finite components take no part. Vectors of different
 dimensions don't meet. A candidate with the query's id is the query's own row. Rows that repeat a vec_id are
 candidates, and queries, of their own. A null vec_id is never a query and comes last among ties. Fewer than k
-candidates: all of them, by reading them all. An empty table gives an empty result. Other columns are not read.
+candidates: all of them, by reading them all (as in any shard of no more distinct vectors than its beam). An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from loomdex.llm import vectors as V
-from loomdex.llm.common import batch, materialize
+from loomdex.llm.common import arrow_map, batch, materialize
 
 K = 20
 SHARD = 8192
-DEGREE = 24
-BUILD_BEAM = 48
+DEGREE = 48
+BUILD_BEAM = 64
 BEAM = 96
+#: What share of the nearest a shard's beam has to find, of so many of its own vectors as queries.
+RECALL, TRIALS = 0.95, 64
 ALPHA = 1.2
 STEP = 4  # nodes of each beam that are opened at once
 
@@ -155,12 +160,40 @@ def _reverse(x: np.ndarray, graph: np.ndarray, at: np.ndarray, degree: int, alph
             graph[heads[some]] = robust_prune(x, heads[some], both[some], degree, alpha)
 
 
-INDEX = pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("nulls", pa.binary()), ("data", pa.binary()), ("ends", pa.binary()), ("graph", pa.binary()), ("entry", pa.int32())])
-INDEX_SQL = "dim int, block int, ids binary, nulls binary, data binary, ends binary, graph binary, entry int"
+def beam_for(x: np.ndarray, graph: np.ndarray, entry: int, k: int, beam: int, seed: int) -> int:
+    """The beam, or its double as often as needed, that finds RECALL of the k nearest of TRIALS rows of x."""
+    n, rng = len(x), np.random.default_rng(seed)
+    if n <= beam:
+        return beam
+    own = rng.choice(n, min(TRIALS, n), replace=False)
+    q, k = x[own], min(k, n - 1)
+    scores = q @ x.T
+    scores[np.arange(len(own)), own] = -np.inf
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    x_all, flat = augmented(x), unit_queries(q)
+    while beam < n:
+        nodes, _ = beam_search(x_all, graph, entry, flat, beam, opened_at_once(beam))
+        near = np.where(nodes >= 0, np.take_along_axis(scores, np.maximum(nodes, 0), 1), -np.inf) >= least[:, None]
+        if np.minimum(near.sum(axis=1), k).mean() >= RECALL * k:
+            break
+        beam *= 2
+    return beam
+
+
+def unit_queries(q: np.ndarray) -> np.ndarray:
+    return np.column_stack([q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), np.zeros(len(q))]).astype(np.float32)
+
+
+def opened_at_once(beam: int) -> int:
+    return max(STEP, beam // 24)
+
+
+INDEX = pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("nulls", pa.binary()), ("data", pa.binary()), ("ends", pa.binary()), ("graph", pa.binary()), ("entry", pa.int32()), ("beam", pa.int32())])
+INDEX_SQL = "dim int, block int, ids binary, nulls binary, data binary, ends binary, graph binary, entry int, beam int"
 
 
-def to_index(blocks: DataFrame, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> DataFrame:
-    """A row for each shard: the distinct vectors, the ids of each (by id), the graph and its entry."""
+def to_index(blocks: DataFrame, degree: int = DEGREE, beam: int = BEAM, k: int = K, alpha: float = ALPHA) -> DataFrame:
+    """A row for each shard: the distinct vectors, the ids of each (by id), the graph, its entry and the beam it takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,24 +202,25 @@ def to_index(blocks: DataFrame, degree: int = DEGREE, beam: int = BUILD_BEAM, al
                 x, of = np.unique(np.frombuffer(data, np.float64).reshape(len(ids), dim), axis=0, return_inverse=True)
                 order = np.lexsort((ids, nulls, of.ravel()))
                 ends = np.cumsum(np.bincount(of.ravel(), minlength=len(x)))
-                graph, entry = build(augmented(x), degree, beam, alpha, seed=block)
-                yield batch(INDEX, [dim], [block], [ids[order].tobytes()], [nulls[order].tobytes()], [x.tobytes()], [ends.astype(np.int64).tobytes()], [graph.astype(np.int32).tobytes()], [entry])
+                graph, entry = build(augmented(x), degree, BUILD_BEAM, alpha, seed=block)
+                wide = beam_for(x, graph, entry, k, beam, block)
+                yield batch(INDEX, [dim], [block], [ids[order].tobytes()], [nulls[order].tobytes()], [x.tobytes()], [ends.astype(np.int64).tobytes()], [graph.astype(np.int32).tobytes()], [entry], [wide])
 
-    return blocks.mapInArrow(run, INDEX_SQL)
+    return blocks.transform(arrow_map, run, INDEX_SQL)
 
 
-def search_shard(shard: dict, q: np.ndarray, q_ids: np.ndarray, k: int, beam: int, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def search_shard(shard: dict, q: np.ndarray, q_ids: np.ndarray, k: int, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, whether it is null, score) of up to k candidates found for each query."""
     dim, ids, nulls = shard["dim"], np.frombuffer(shard["ids"], np.int64), np.frombuffer(shard["nulls"], bool)
     x = np.frombuffer(shard["data"], np.float64).reshape(-1, dim)
     ends = np.frombuffer(shard["ends"], np.int64)
     graph = np.frombuffer(shard["graph"], np.int32).reshape(-1, degree).astype(np.int64)
     begins = np.concatenate([[0], ends[:-1]])
+    beam = max(shard["beam"], 2 * k)
     if len(x) <= beam:  # fewer than a beam holds: all of them
         nodes = np.tile(np.arange(len(x)), (len(q), 1))
     else:
-        flat = np.column_stack([q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), np.zeros(len(q))]).astype(np.float32)
-        nodes, _ = beam_search(augmented(x), graph, shard["entry"], flat, beam)
+        nodes, _ = beam_search(augmented(x), graph, shard["entry"], unit_queries(q), beam, opened_at_once(beam))
     out_row, out_at, out_score = [], [], []
     for i, found in enumerate(nodes):
         found = found[found >= 0]
@@ -215,7 +249,7 @@ def nearest(table: DataFrame, queries: DataFrame | None = None, k: int = K, id_c
     rows = V.rows_of(table, id_col, vector_col, zero=False)
     asked = V.sampled(rows) if queries is None else V.rows_of(queries, id_col, vector_col, zero=False)
     blocks, n = V.blocked(rows, shard)
-    index = materialize(to_index(materialize(blocks, "vector-blocks"), degree), "graph-index")
+    index = materialize(to_index(materialize(blocks, "vector-blocks"), degree, beam, k), "graph-index")
     schema = V.found_schema(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,11 +258,11 @@ def nearest(table: DataFrame, queries: DataFrame | None = None, k: int = K, id_c
                 x = {name: b.column(name)[r].as_py() for name in b.schema.names}
                 q_ids = np.frombuffer(x["q_ids"], np.int64)
                 q = np.frombuffer(x["q_data"], np.float64).reshape(len(q_ids), x["dim"])
-                row, ids, nulls, scores = search_shard(x, q, q_ids, k, max(beam, 2 * k), degree)
+                row, ids, nulls, scores = search_shard(x, q, q_ids, k, degree)
                 yield batch(schema, np.full(len(row), x["dim"], np.int32), np.full(len(row), x["q_block"], np.int32), row, q_ids[row], pa.array(ids, mask=nulls), scores)
 
-    pairs = V.grid(V.blocked(asked, query_block)[0], index, n)
-    return V.best(pairs.mapInArrow(run, V.FOUND.format(kind="double")), k)
+    pairs = V.grid(V.asked_blocks(V.blocked(asked, query_block)[0]), index, n)
+    return V.best(pairs.transform(arrow_map, run, V.FOUND.format(kind="double")), k)
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Tables of vectors as blocks: what exact search and the graph index share.
 
-A block is a row with up to about ``size`` vectors as one binary value. Rows are dealt to blocks evenly, whatever
-their ids. Queries come in blocks too; each query block meets every data block of its dimension by an equi-join on
+A block is a row with about ``size`` vectors as one binary value. Rows are dealt to blocks by a hash of their place in
+the input, so blocks are of one size, give or take a few square roots of it, whatever the ids and the partitions. Queries come in blocks too; each query block meets every data block of its dimension by an equi-join on
 the block number, so the work is a grid of bounded tasks and nothing else is broadcast or paired.
 """
 
@@ -46,14 +46,17 @@ def blocked(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
         nulls = np.array(ids.is_null().to_pylist(), bool)
         return pa.table([[key["dim"]], [key["block"]], [ids.fill_null(0).to_numpy().astype(np.int64).tobytes()], [nulls.tobytes()], [np.asarray(data, np.float64).tobytes()]], schema=BLOCKS)
 
-    dealt = rows.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
     return dealt.groupBy("dim", "block").applyInArrow(gather, "dim int, block int, ids binary, nulls binary, data binary"), n
 
 
-def grid(queries: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
-    """Every query block with every data block of its dimension: q_block, q_ids, q_data and the columns of blocks."""
-    q = queries.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    return q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, ["dim", "block"])
+def asked_blocks(queries: DataFrame) -> DataFrame:
+    return queries.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+
+
+def grid(asked: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
+    """Every query block (as from asked_blocks) with every data block of its dimension: the columns of both."""
+    return asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, ["dim", "block"])
 
 
 FOUND = "q_dim int, q_block int, q_row int, query_id long, vec_id long, score {kind}"
