@@ -5,8 +5,12 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from loomdex.functions import text as X
 
 #: Structural secret rules: a fixed prefix or a form that doesn't occur in prose. The PEM rule is scan_keys().
 SECRET_RULES = (
@@ -23,14 +27,44 @@ SECRET_RULES = (
 )
 
 
+#: The rule of scan_keys().
+KEY_RULE = "private-key"
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType())])))
+def key_spans(texts: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    return pa.array([None if t is None else [{"first": a, "last": b} for a, b in scan_keys(t)] for t in texts.to_pylist()], kind)
+
+
+def keys_in(text: Column) -> Column:
+    """The spans of private keys; only texts that hold the words of a header go through Python."""
+    suspect = text.contains("PRIVATE KEY-----")
+    return F.when(suspect, key_spans(F.when(suspect, text))).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
+
+
 def secrets(rows: DataFrame, key: str = "doc_id", rules: tuple[tuple[str, str], ...] = SECRET_RULES) -> DataFrame:
-    """key, rule, found: how often each rule matches each row that it matches."""
-    each = F.array(*[F.struct(F.lit(n).alias("rule"), F.regexp_count("text", F.lit(p)).cast("long").alias("found")) for n, p in rules])
+    """key, rule, found: how often each rule, and a private key, matches each row that it matches."""
+    count = lambda n, c: F.struct(F.lit(n).alias("rule"), c.cast("long").alias("found"))
+    each = F.array(*[count(n, F.regexp_count("text", F.lit(p))) for n, p in rules], count(KEY_RULE, F.size(keys_in(F.col("text")))))
     return rows.select(key, F.explode(each).alias("r")).select(key, "r.*").filter("found > 0")
 
 
+@F.arrow_udf(StringType())
+def without_keys(texts: pa.Array) -> pa.Array:
+    out = []
+    for t in texts.to_pylist():
+        for a, b in reversed(scan_keys(t) if t is not None else []):
+            t = f"{t[:a]}[redacted: {KEY_RULE}]{t[b:]}"
+        out.append(t)
+    return pa.array(out, pa.string())
+
+
 def redacted(text: Column, rules: tuple[tuple[str, str], ...] = SECRET_RULES) -> Column:
-    return functools.reduce(lambda t, r: F.regexp_replace(t, r[1], f"[redacted: {r[0]}]"), rules, text)
+    """text with each private key and each match of a rule replaced by the rule's name."""
+    suspect = text.contains("PRIVATE KEY-----")
+    bare = F.when(suspect, without_keys(F.when(suspect, text))).otherwise(text)
+    return functools.reduce(lambda t, r: F.regexp_replace(t, r[1], f"[redacted: {r[0]}]"), rules, bare)
 
 
 def scan_keys(text: str) -> list[tuple[int, int]]:
@@ -68,10 +102,13 @@ def scan_keys(text: str) -> list[tuple[int, int]]:
 def incremental_plan(current: DataFrame, previous: DataFrame) -> DataFrame:
     """path, doc_id, action: new, reused, rebuilt, removed or quarantined.
 
-    Both sides: path, doc_id, source_digest, env_digest. Of paths that claim one doc_id the first keeps it.
+    Both sides: path, doc_id, source_digest, env_digest. Of paths that claim one doc_id the first keeps it, found by a
+    minimum; a doc_id that is null is the one that follows from the path.
     """
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("path"))
-    cur = current.withColumn("_n", place).select("path", F.col("doc_id").alias("c_id"), F.col("source_digest").alias("c_src"), F.col("env_digest").alias("c_env"), "_n")
+    pinned = lambda df: df.withColumn("doc_id", F.coalesce("doc_id", X.derived_ulid(F.col("path"))))
+    current, previous = pinned(current), pinned(previous)
+    first = current.groupBy("doc_id").agg(F.min("path").alias("_first"))
+    cur = current.join(first, "doc_id").select("path", F.col("doc_id").alias("c_id"), F.col("source_digest").alias("c_src"), F.col("env_digest").alias("c_env"), F.when(F.col("path") == F.col("_first"), 1).otherwise(2).alias("_n"))
     prev = previous.select("path", F.col("doc_id").alias("p_id"), F.col("source_digest").alias("p_src"), F.col("env_digest").alias("p_env"))
     same = (F.col("c_id") == F.col("p_id")) & (F.col("c_src") == F.col("p_src")) & (F.col("c_env") == F.col("p_env"))
     action = F.when(F.col("_n") > 1, "quarantined").when(F.col("c_id").isNull(), "removed").when(F.col("p_id").isNull(), "new").when(same, "reused").otherwise("rebuilt")
@@ -80,24 +117,30 @@ def incremental_plan(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 def merge_custody(held: DataFrame, new: DataFrame) -> DataFrame:
     """digest, size, kind, sources, first_seen, last_seen: one record for each digest; the first sight never moves,
-    sources are a sorted union, and a digest with two sizes or kinds raises."""
-    rows = held.unionByName(new).groupBy("digest").agg(
-        F.min("size").alias("size"), F.max("size").alias("_s"), F.min("kind").alias("kind"), F.max("kind").alias("_k"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-    )
+    sources are a sorted union, and a digest with two sizes or kinds raises. Sources meet one by one, each once, so a digest
+    that most rows share gathers its distinct sources only."""
+    rows = held.unionByName(new)
+    by = rows.groupBy("digest").agg(F.min("size").alias("size"), F.max("size").alias("_s"), F.min("kind").alias("kind"), F.max("kind").alias("_k"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    sources = rows.select("digest", F.explode("sources").alias("s")).distinct().groupBy("digest").agg(F.array_sort(F.collect_list("s")).alias("sources"))
     sound = (F.col("size") == F.col("_s")) & F.col("kind").eqNullSafe(F.col("_k"))
     checked = F.when(sound, F.col("size")).otherwise(F.raise_error(F.concat(F.lit("custody records contradict each other: "), "digest")).cast("long"))
-    return rows.withColumn("size", checked).drop("_s", "_k")
+    out = by.join(sources, "digest", "left").withColumn("size", checked).withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    return out.select("digest", "size", "kind", "sources", "first_seen", "last_seen")
+
+
+#: The stages at which a source can fail.
+STAGES = ("acquire", "dispatch", "guard", "parse", "budget")
 
 
 def quarantine(events: DataFrame) -> DataFrame:
-    """source_uri, reason, failures, first_seen, last_seen of sources whose last event is a failure.
+    """source_uri, (stage,) reason, failures, first_seen, last_seen of sources whose last event is a failure.
 
-    events: source_uri, seq, seen, ok, reason. A success clears what failed before it.
+    events: source_uri, seq, seen, ok, reason, perhaps stage (one of STAGES). A success clears what failed before it.
     """
+    staged = [F.max_by("stage", "seq").alias("stage")] if "stage" in events.columns else []
     last_ok = events.filter("ok").groupBy("source_uri").agg(F.max("seq").alias("cleared"))
     open_ = events.filter("not ok").join(last_ok, "source_uri", "left").filter(F.col("cleared").isNull() | (F.col("seq") > F.col("cleared")))
-    return open_.groupBy("source_uri").agg(F.max_by("reason", "seq").alias("reason"), F.count("*").alias("failures"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"))
+    return open_.groupBy("source_uri").agg(*staged, F.max_by("reason", "seq").alias("reason"), F.count("*").alias("failures"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"))
 
 
 def drift(cited: DataFrame, current: DataFrame) -> DataFrame:
@@ -144,13 +187,128 @@ def sample(rows: DataFrame, seed: str, n: int, key: str) -> DataFrame:
     return rows.withColumn("place", place).orderBy("place", key).limit(n)
 
 
-def corpus_digest(rows: DataFrame, order: str, column: str, digits: int = 2) -> DataFrame:
-    """digest of all rows in any order of arrival: digests of sorted buckets, then of the buckets;
-    digits: hexadecimal digits of a bucket, to be raised with the rows so that a bucket fits a task."""
-    bucket = F.substring(F.sha2(F.col(order).cast("string"), 256), 1, digits)
-    parts = rows.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).alias("c")))), lambda x: x["c"]), "\n"), 256).alias("d"))
-    return parts.agg(F.count("*").alias("buckets"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+def corpus_digest(rows: DataFrame, order: str, column: str, per_bucket: int = 65536) -> DataFrame:
+    """buckets, digest of all rows in any order of arrival: each row's text is digested where it is read; digests are
+    folded in buckets of the order's own digest, in that order, and then the buckets. There are as many buckets as keep one
+    at about ``per_bucket`` rows, so a bucket's digests fit a task."""
+    n = rows.count()
+    digits = 1
+    while 16**digits * per_bucket < n:
+        digits += 1
+    each = rows.select(F.sha2(F.col(order).cast("string"), 256).alias("o"), F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")), 256).alias("c"))
+    fold = lambda pairs: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(pairs)), lambda x: F.concat(x["o"], x["c"])), "\n"), 256)
+    parts = each.withColumn("b", F.substring("o", 1, digits))
+    while digits > 0:
+        parts = parts.groupBy("b").agg(fold(F.struct("o", "c")).alias("d"), F.count("*").alias("n")).select(F.col("b").alias("o"), F.col("d").alias("c"), F.lit(1).alias("n"), F.substring("b", 1, max(0, digits - 3)).alias("b"))
+        digits -= 3
+    return parts.agg(fold(F.struct("o", "c")).alias("digest"))
 
 
 def any_of(conditions: list[Column]) -> Column:
     return functools.reduce(operator.or_, conditions)
+
+
+# Archives as bytes, element inventories, promotion, and the determinism of builds
+
+
+def members_of(archives: DataFrame, key: str = "archive", content: str = "content") -> DataFrame:
+    """key, name, packed, unpacked of each member of zip archives; one that can't be read is a member without a name."""
+    kinds = {f.name: f.dataType.simpleString() for f in archives.schema}
+    schema = pa.schema([("key", pa.string()), ("name", pa.string()), ("packed", pa.int64()), ("unpacked", pa.int64())])
+
+    def run(batches):
+        import io
+        import zipfile
+
+        for b in batches:
+            rows = []
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
+                        rows += [(k, i.filename, i.compress_size, i.file_size) for i in z.infolist()]
+                except (zipfile.BadZipFile, OSError, ValueError):
+                    rows.append((k, None, 0, 0))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+
+    got = archives.select(F.col(key).cast("string"), content).mapInArrow(run, "key string, name string, packed long, unpacked long")
+    return got.select(F.col("key").cast(kinds[key]).alias(key), "name", "packed", "unpacked")
+
+
+#: Kinds of nodes that refer and are no elements of their own.
+REFERENCES = ("link", "image", "wikilink", "embed", "tag_ref")
+
+
+def inventory(nodes: DataFrame) -> DataFrame:
+    """path, kind, n of each document's nodes."""
+    return nodes.groupBy("path", "kind").agg(F.count("*").alias("n"))
+
+
+def dispositions(nodes: DataFrame) -> DataFrame:
+    """doc_id, state of each element of the node table, as fidelity() takes them: opaque nodes are degraded or lost, all
+    others represented; references are no elements."""
+    state = F.when(F.col("kind") != "opaque", "represented").when(F.col("variant") == "lost", "lost").otherwise("degraded")
+    return nodes.filter(~F.col("kind").isin(*REFERENCES)).select(F.col("path").alias("doc_id"), state.alias("state"))
+
+
+def inventory_difference(declared: DataFrame, observed: DataFrame, deviations: DataFrame | None = None) -> DataFrame:
+    """path, kind, declared, observed, reason, explained where the two counts (path, kind, n) differ. deviations: kind, reason."""
+    both = declared.select("path", "kind", F.col("n").alias("declared")).join(observed.select("path", "kind", F.col("n").alias("observed")), ["path", "kind"], "full_outer").fillna(0, ["declared", "observed"])
+    apart = both.filter("declared <> observed")
+    apart = apart.withColumn("reason", F.lit(None).cast("string")) if deviations is None else apart.join(deviations.select("kind", "reason"), "kind", "left")
+    return apart.select("path", "kind", "declared", "observed", "reason", F.col("reason").isNotNull().alias("explained"))
+
+
+#: The folder of each verification status.
+STATUS_FOLDERS = ("candidate", "evidence", "verified")
+
+
+def status_of(path: Column) -> Column:
+    """A document's status: the first folder of its path that names one; verified without any."""
+    named = F.filter(F.split(path, "/"), lambda p: p.isin(*STATUS_FOLDERS))
+    return F.coalesce(F.get(named, F.lit(0)), F.lit("verified"))
+
+
+def moved_to(path: Column, status: str) -> Column:
+    return F.regexp_replace(path, "(^|/)(candidate|verified)/", f"$1{status}/")
+
+
+def promote(docs: DataFrame, scores: DataFrame, verified_by: str, at: str, least: float = 0.9, forced: bool = False) -> DataFrame:
+    """docs (path, status, ...) with the candidates that are grounded well enough, and whose place is free, moved to the
+    verified ones and stamped: verified_by, verified_at, grounding. scores: path, score, blockers."""
+    known = docs.join(scores.select("path", F.round("score", 4).alias("_score"), F.size("blockers").alias("_blocked")), "path", "left")
+    taken = docs.select(F.col("path").alias("_to"), F.lit(True).alias("_taken"))
+    known = known.withColumn("_to", moved_to(F.col("path"), "verified")).join(taken, "_to", "left")
+    good = (F.col("status") == "candidate") & (F.col("_to") != F.col("path")) & F.col("_taken").isNull() & (F.lit(forced) | ((F.col("_score") >= least) & (F.col("_blocked") == 0)))
+    good = F.coalesce(good, F.lit(False))
+    out = known.withColumn("_go", good).withColumn("path", F.when(F.col("_go"), F.col("_to")).otherwise(F.col("path"))).withColumn("status", F.when(F.col("_go"), "verified").otherwise(F.col("status")))
+    stamp = {"verified_by": F.lit(verified_by), "verified_at": F.lit(at).cast("date"), "grounding": F.col("_score")}
+    for name, value in stamp.items():
+        old = F.col(name) if name in docs.columns else F.lit(None)
+        out = out.withColumn(name, F.when(F.col("_go"), value).otherwise(old))
+    return out.drop("_to", "_taken", "_go", "_score", "_blocked")
+
+
+def demote(docs: DataFrame, paths: DataFrame) -> DataFrame:
+    """docs with the named verified documents moved back to the candidates, their stamps cleared; where that place is taken
+    they stay."""
+    taken = docs.select(F.col("path").alias("_to"), F.lit(True).alias("_taken"))
+    known = docs.join(paths.select("path").distinct().withColumn("_asked", F.lit(True)), "path", "left").withColumn("_to", moved_to(F.col("path"), "candidate")).join(taken, "_to", "left")
+    go = F.coalesce(F.col("_asked") & (F.col("status") == "verified") & (F.col("_to") != F.col("path")) & F.col("_taken").isNull(), F.lit(False))
+    out = known.withColumn("_go", go).withColumn("path", F.when(F.col("_go"), F.col("_to")).otherwise(F.col("path"))).withColumn("status", F.when(F.col("_go"), "candidate").otherwise(F.col("status")))
+    for name in ("verified_by", "verified_at", "grounding"):
+        if name in docs.columns:
+            out = out.withColumn(name, F.when(~F.col("_go"), F.col(name)))
+    return out.drop("_to", "_taken", "_go", "_asked")
+
+
+def observe(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, rows, digest of each table, whatever the order and the partitions of its rows: what two builds must agree on."""
+    out = None
+    for name, rows in sorted(tables.items()):
+        each = rows.select(F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
+        # two independent sums of the rows' digests, in whole numbers, don't depend on order
+        half = lambda k: F.sum(F.conv(F.substring("h", k, 15), 16, 10).cast("decimal(38,0)"))
+        got = each.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("/", F.count("*").cast("string"), half(1).cast("string"), half(17).cast("string")), 256).alias("digest"))
+        got = got.select(F.lit(name).alias("name"), "rows", "digest")
+        out = got if out is None else out.unionByName(got)
+    return out

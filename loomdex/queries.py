@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
+from loomdex.functions import work
 from loomdex.operators import chats, citations, evaluation, graph, lexical, lifecycle, retrieval
 from loomdex.plans import planner
 from loomdex.plans.search import Settings, search
@@ -125,7 +126,8 @@ def vectors_per_model(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("model_id")).agg(F.count("*").alias("vectors"))
 
 
-@query()
+@query("""WITH e AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS o, sha256(coalesce(text, '')) AS c FROM documents), b AS (SELECT substr(o, 1, 1) AS b, sha256(string_agg(o || c, chr(10) ORDER BY o, c)) AS d FROM e GROUP BY 1)
+SELECT sha256(string_agg(b || d, chr(10) ORDER BY b)) AS digest FROM b""")
 def corpus_fingerprint(spark, sf_dir):
     return lifecycle.corpus_digest(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -146,9 +148,9 @@ def _bm25_sql(title: bool, where: str = "true") -> str:
 f AS (SELECT anchor, term, sum(w) AS f FROM post GROUP BY anchor, term), df AS (SELECT term, count(*) AS n FROM f GROUP BY term),
 l AS (SELECT anchor, {length} AS dl FROM rowz), st AS (SELECT count(*) AS n_rows, avg(dl) AS avgdl FROM l),
 a AS (SELECT query_id, unnest(terms) AS t FROM asked), b AS (SELECT query_id, {_tokens('t')}[1] AS term FROM a),
-s AS (SELECT query_id, anchor, round(sum((CASE WHEN ln((n_rows - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_rows - n + 0.5) / (n + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+s AS (SELECT query_id, anchor, round(sum((CASE WHEN ln((n_rows - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_rows - n + 0.5) / (n + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
   FROM b JOIN f USING (term) JOIN df USING (term) JOIN l USING (anchor) JOIN rowz USING (anchor) CROSS JOIN st WHERE {where} GROUP BY query_id, anchor),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, anchor) AS INTEGER) AS rank FROM s) SELECT query_id, anchor, score, rank FROM r WHERE rank <= 10"""
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, anchor) AS INTEGER) AS rank FROM s) SELECT query_id, anchor, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
 
 
 @query(_bm25_sql(False))
@@ -185,8 +187,9 @@ def term_hits_report(spark, sf_dir):
     return lexical.term_report(_asked(spark, sf_dir), _corpus(spark, sf_dir)[1])
 
 
-_GREP = f"""a AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM asked), h AS (SELECT anchor, unnest({_tokens('text')}) AS term FROM chunks),
-hn AS (SELECT anchor, term, count(*) AS n FROM h GROUP BY anchor, term), g AS (SELECT query_id, anchor, count(*) AS distinct_terms, CAST(sum(n) AS BIGINT) AS occurrences FROM a JOIN hn USING (term) GROUP BY query_id, anchor),
+_GREP = """a AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM asked), h AS (SELECT anchor, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM chunks),
+wt AS (SELECT word, term FROM (SELECT DISTINCT word FROM h) JOIN (SELECT DISTINCT term FROM a) ON starts_with(word, term)),
+hn AS (SELECT anchor, term, count(*) AS n FROM h JOIN wt USING (word) GROUP BY anchor, term), g AS (SELECT query_id, anchor, count(*) AS distinct_terms, CAST(sum(n) AS BIGINT) AS occurrences FROM a JOIN hn USING (term) GROUP BY query_id, anchor),
 grepped AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distinct_terms DESC, occurrences DESC, anchor) AS INTEGER) AS rank FROM g)"""
 
 
@@ -199,8 +202,8 @@ def grep_baseline_topk(spark, sf_dir):
 
 _KNN = """u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 e AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM u),
-p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, round(list_inner_product(q.v, c.v), 6) AS score FROM e q CROSS JOIN e c),
-knn AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)"""
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, round(list_inner_product(q.v, c.v), 9) AS score FROM e q CROSS JOIN e c),
+knn AS (SELECT query_id, vec_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p.score DESC, vec_id) AS INTEGER) AS rank FROM p)"""
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,13 +240,13 @@ def rrf_fusion(spark, sf_dir):
     label = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     same = hits.join(label.withColumnsRenamed({"vec_id": "query_id", "label": "ql"}), "query_id").join(label.withColumnsRenamed({"vec_id": "anchor", "label": "al"}), "anchor").filter("ql = al")
     other = same.select("query_id", F.lit("label").alias("leg"), "anchor", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
-    return retrieval.rrf(hits.select("query_id", F.lit("vector").alias("leg"), "anchor", "rank").unionByName(other), 20, {"label": 0.9})
+    return retrieval.rrf(hits.select("query_id", F.lit("vector").alias("leg"), "anchor", "rank").unionByName(other), 20, {"label": 0.9}).select("query_id", "anchor", "score", "n_legs", "rank")
 
 
 @query()
 def search_batched(spark, sf_dir):
     docs, chunks = _corpus(spark, sf_dir)
-    return search(_asked(spark, sf_dir), docs, chunks, Settings(limit=8))
+    return search(_asked(spark, sf_dir), docs, chunks, Settings(limit=8)).select("query_id", "rank", "anchor", "score", "n_legs", "path", "status", "snippet", "tokens")
 
 
 @query(f"""WITH q AS (SELECT conv_id, turn, text FROM conversations),
@@ -257,7 +260,19 @@ def planner_rules(spark, sf_dir):
     return planner.plan(asked).select("conv_id", "turn", has("identifier").alias("identifier"), has("relationship").alias("relationship"))
 
 
-@query()
+_SHELL = "'^[a-z][a-z0-9-]*$'"
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, text, regexp_extract(trim(text), '^["''`](.+)["''`]$', 1) AS whole FROM conversations),
+w AS (SELECT *, list_filter(list_transform(string_split_regex(trim(CASE WHEN whole <> '' THEN whole ELSE text END), '\\s+'), lambda w: trim(w, '{planner.MARKS.replace(chr(39), chr(39) * 2)}')), lambda w: w <> '') AS words FROM q),
+z AS (SELECT *, list_position(list_transform(words, lambda w: regexp_matches(w, {_SHELL})), false) AS stop FROM w),
+y AS (SELECT *, least(CASE WHEN stop > 0 THEN stop - 1 ELSE len(words) END, 5) AS size FROM z),
+n AS (SELECT conv_id, turn, len(list_filter(regexp_extract_all(text, '[A-Za-z0-9_./:+-]+'), lambda t: regexp_matches(t, '^[A-Za-z_.][A-Za-z0-9_.:/+-]*$') AND NOT regexp_matches(t, '^[vV]?[0-9]+(\\.[0-9]+)+$')
+  AND regexp_matches(t, '[A-Za-z]') AND (contains(t, '_') OR contains(t, '.') OR contains(t, '/') OR contains(t, '::') OR regexp_matches(t, '[a-z][A-Z]')))) > 0 OR regexp_matches(text, '"[^"]+"|''[^'']+''') AS name,
+  NOT regexp_matches(text, '"[^"]+"|''[^'']+''') AND size > 0 AND (whole <> '' OR (len(list_filter(words[size + 1:], lambda w: regexp_matches(w, {_SHELL}))) = 0 AND len(list_filter(words[:size], lambda w: w IN (@STOP@))) = 0)) AS shell,
+  {" OR ".join(f"contains(lower(text), '{p}')" for p in planner.RELATIONSHIP_PHRASES)} AS relation FROM y)
+SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN name THEN 'identifier' END, CASE WHEN shell THEN 'command' END, CASE WHEN relation THEN 'relationship' END, CASE WHEN NOT name AND NOT shell AND NOT relation THEN 'natural-language' END], lambda x: x IS NOT NULL), ',') AS rules,
+  array_to_string(list_filter([CASE WHEN relation THEN 'graph' END, 'lexical', CASE WHEN name OR shell THEN 'symbol' END, 'vector'], lambda x: x IS NOT NULL), ',') AS generators FROM n""")
 def planner_generators(spark, sf_dir):
     asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
     return planner.plan(asked).select("conv_id", "turn", F.array_join("rules", ",").alias("rules"), F.array_join("generators", ",").alias("generators"))
@@ -279,7 +294,12 @@ def rerank_document_decay(spark, sf_dir):
     return retrieval.document_decay(hits, 0.5).select("query_id", "anchor", "score", "rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE @CORPUS@, {ASKED}, {_GREP}, hit AS (SELECT g.query_id, g.rank, g.anchor, len(regexp_extract_all(c.text, '{X.ESTIMATE.replace(chr(39), chr(39) * 2)}')) AS tokens FROM grepped g JOIN chunks c USING (anchor) WHERE g.rank <= 50),
+p AS (SELECT query_id, 0 AS rank, 0::BIGINT AS spent, 0 AS kept, 0 AS omitted FROM hit GROUP BY query_id
+UNION ALL SELECT p.query_id, h.rank, CASE WHEN p.spent + h.tokens <= 400 THEN p.spent + h.tokens ELSE p.spent END, CASE WHEN p.spent + h.tokens <= 400 THEN p.kept + 1 ELSE p.kept END, CASE WHEN p.spent + h.tokens <= 400 THEN p.omitted ELSE p.omitted + 1 END
+FROM p JOIN hit h ON h.query_id = p.query_id AND h.rank = p.rank + 1),
+last AS (SELECT query_id, max(rank) AS n, max(spent) AS spent, max(kept) AS kept, max(omitted) AS omitted FROM p GROUP BY query_id), f AS (SELECT query_id, tokens > 400 AS exceeded FROM hit WHERE rank = 1)
+SELECT query_id, CAST(CASE WHEN exceeded THEN 0 ELSE spent END AS BIGINT) AS spent, exceeded, CAST(CASE WHEN exceeded THEN 0 ELSE kept END AS INTEGER) AS n_kept, CAST(CASE WHEN exceeded THEN n ELSE omitted END AS INTEGER) AS n_omitted FROM last JOIN f USING (query_id)""")
 def budget_pack(spark, sf_dir):
     chunks = _corpus(spark, sf_dir)[1]
     hits = lexical.grep(_asked(spark, sf_dir), chunks, 50).join(chunks.select("anchor", "tokens"), "anchor")
@@ -299,7 +319,7 @@ res AS (SELECT l.*, regexp_replace(target, '#.*$', '') AS bare, lower(regexp_ext
 r2 AS (SELECT r.*, e.path AS ep, b.p AS bp, b.n AS bn, ap, an FROM res r LEFT JOIN als ON ak = lower(bare) LEFT JOIN files e ON e.path = regexp_replace(bare, '^/+', '') LEFT JOIN base b ON b.k = regexp_replace(list_last(string_split(bare, '/')), '\\.[^.]*$', '')),
 resolved AS (SELECT page_id, path, ord, target, CASE WHEN ext THEN NULL WHEN bare = '' THEN regexp_replace(path, '^/+', '') WHEN ep IS NOT NULL THEN ep WHEN bn = 1 THEN bp WHEN bn > 1 THEN NULL WHEN an = 1 THEN ap END AS to_path, ext, bn, an FROM r2),
 pairs AS (SELECT 'doc:' || regexp_replace(path, '^/+', '') AS source, 'doc:' || to_path AS target, min(ord) AS ord FROM resolved WHERE to_path IS NOT NULL GROUP BY 1, 2),
-edges AS (SELECT 'sha256:' || sha256(source || '|' || target || '|links_to') AS edge_id, source, target, 'links_to' AS type, ord FROM pairs)"""
+edges AS (SELECT 'sha256:' || sha256('[' || to_json(source)::VARCHAR || ',' || to_json(target)::VARCHAR || ',"links_to","sha256:' || sha256('{"anchor":null,"kind":"markdown_link"}') || '"]') AS edge_id, source, target, 'links_to' AS type, ord FROM pairs)"""
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,7 +351,7 @@ def unresolved_reasons(spark, sf_dir):
 
 @query("WITH @LINKS@ SELECT edge_id, source, target, type, ord FROM edges")
 def edges_dedupe_digest(spark, sf_dir):
-    return graph.edges(_resolved(spark, sf_dir))
+    return graph.edges(_resolved(spark, sf_dir)).select("edge_id", "source", "target", "type", "ord")
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,10 +369,15 @@ def neighbours_depth2(spark, sf_dir):
     return graph.neighbours(origins, _nations(spark, sf_dir), 2)
 
 
-@query()
+@query("""WITH e AS (SELECT 'nation:' || n_nationkey AS a, 'region:' || n_regionkey AS b FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier),
+i AS (SELECT a AS node, b AS other, 'out' AS dir, sha256(a || '|' || b || '|part_of') AS id FROM e UNION ALL SELECT b, a, 'in', sha256(a || '|' || b || '|part_of') FROM e),
+s AS (SELECT * FROM (SELECT s_nationkey AS query_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS seed_rank, 'supplier:' || s_suppkey AS node FROM supplier) WHERE seed_rank <= 10),
+m AS (SELECT query_id, seed_rank, other, row_number() OVER (PARTITION BY query_id, seed_rank ORDER BY dir DESC, other, id) AS round FROM s JOIN i USING (node) WHERE other <> node),
+f AS (SELECT query_id, other AS node, min((round, seed_rank)) AS spot FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot, node) AS n FROM f)
+SELECT query_id, node, CAST(spot[2] AS INTEGER) AS seed_rank, CAST(spot[1] AS INTEGER) AS round FROM r WHERE n <= 10""")
 def graph_round_robin(spark, sf_dir):
     seeds = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("query_id"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("seed_rank"), F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("node")).filter("seed_rank <= 10")
-    return graph.round_robin(seeds, _nations(spark, sf_dir))
+    return graph.round_robin(seeds, _nations(spark, sf_dir)).select("query_id", "node", "seed_rank", "round")
 
 
 @query(f"""WITH @CORPUS@, v AS (SELECT DISTINCT split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS name FROM benchmark), names AS (SELECT name, list_aggregate({_tokens('name')}, 'string_agg', ' ') AS gram FROM v WHERE length(name) >= 4),
@@ -454,12 +479,6 @@ def eval_search(spark, sf_dir):
     return evaluation.metrics(hits.select(F.col("query_id").alias("case_id"), "rank", "anchor"), judged, cases)
 
 
-@query(f"""WITH @EVAL@, {_SLICED}, s AS (SELECT slice, round(avg(rr), 6) AS ours, round(avg(ndcg), 6) AS blessed FROM ms GROUP BY slice) SELECT slice, ours, blessed, ours >= round(blessed * 0.98, 6) AS passed FROM s""")
-def gate_g3_regression(spark, sf_dir):
-    m = _grep_metrics(spark, sf_dir).join(_slices(spark, sf_dir), "case_id")
-    return evaluation.regression_gate(m.select("slice", F.col("rr").alias("v")), m.select("slice", F.col("ndcg").alias("v")), "slice", "v")
-
-
 @query("""WITH @EVAL@, un AS (SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT case_id FROM judged)), f AS (SELECT count(*) AS unanswerable, count(*) FILTER (WHERE item_id IN (SELECT query_id FROM g)) AS false_answers FROM un),
 r AS (SELECT *, CASE WHEN unanswerable > 0 THEN round(false_answers / unanswerable, 6) ELSE 0.0 END AS rate FROM f) SELECT unanswerable, false_answers, CAST(rate AS DOUBLE) AS rate, rate <= 0.05 AS passed FROM r""")
 def gate_g4_abstention(spark, sf_dir):
@@ -481,7 +500,9 @@ def sign_test_counts(spark, sf_dir):
     return evaluation.sign_test(pairs, "grp", "a", "b").select("grp", "wins", "losses")
 
 
-@query()
+@query("""WITH n AS (SELECT o_orderpriority AS grp, count(*) FILTER (WHERE o_totalprice % 7 > o_totalprice % 5) AS wins, count(*) FILTER (WHERE o_totalprice % 7 < o_totalprice % 5) AS losses FROM orders GROUP BY 1),
+k AS (SELECT *, wins + losses AS m, unnest(range(wins, wins + losses + 1)) AS k FROM n)
+SELECT grp, wins, losses, round(sum(exp(lgamma(m + 1.0) - lgamma(k + 1.0) - lgamma(m - k + 1.0) - m * ln(2.0))), 9) AS p FROM k GROUP BY grp, wins, losses""")
 def sign_test_verdict(spark, sf_dir):
     pairs = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), (F.col("o_totalprice") % 7).alias("a"), (F.col("o_totalprice") % 5).alias("b"))
     return evaluation.sign_test(pairs, "grp", "a", "b")
@@ -531,7 +552,8 @@ def chat_openai_export(spark, sf_dir):
     return chats.export(_messages(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_MSG} SELECT conv_id, CAST(json_object('system', coalesce(string_agg(text, chr(10) || chr(10) ORDER BY seq) FILTER (WHERE role = 'system'), ''),
+  'messages', coalesce(list(json_object('role', role, 'content', text) ORDER BY seq) FILTER (WHERE role <> 'system'), [])) AS VARCHAR) AS payload FROM msg GROUP BY conv_id""")
 def chat_anthropic_export(spark, sf_dir):
     return chats.export(_messages(spark, sf_dir), "anthropic")
 
@@ -551,7 +573,7 @@ s AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id) A
 p AS (SELECT *, CAST(floor((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id, session)) / 86400000000) AS BIGINT) AS part FROM s)
 SELECT user_id, session, part, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM p GROUP BY user_id, session, part""")
 def debounced_sessions(spark, sf_dir):
-    return watch.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 6 * 3600, 86400)
+    return watch.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 6 * 3600, 86400, tie="event_id")
 
 
 def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -674,8 +696,7 @@ def custody_merge(spark, sf_dir):
 @query()
 def stream_sessions(spark, sf_dir):
     """The sessions of a stream that has read all of the events table, from the stream's own state."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
-    at = f"{base.rstrip('/')}/sessions-{uuid.uuid4().hex}"
+    at = f"{work.folder(spark)}/sessions-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = watch.streamed_sessions(stream, "user_id", "ts", "6 hours", "1 day")
@@ -696,4 +717,6 @@ def _expanded(sql: str) -> str:
     return sql
 
 
+from loomdex import record_queries  # noqa: E402, F401 - registers its queries with the functions above
+
 ORACLES = {name: _expanded(sql) for name, sql in ORACLES.items()}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
 from collections.abc import Iterable
 
@@ -10,18 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
+from loomdex.sources import html
 
 CASES = "case_id string, query string, slices array<string>, relevant array<struct<anchor:string,grade:int>>, answerable boolean, note string"
 TASKS = "task_id string, kind string, prompt string, requires array<string>, note string"
 
 
-def scan(spark: SparkSession, root: str, exclude: Iterable[str] = (), largest: int | None = None, pattern: str = "*.md") -> DataFrame:
-    """path (relative), source_digest, length, modified, text of the files under root, without hidden folders and what a
-    glob excludes. Filters on path and length come before the content is read."""
+#: Folders that a build makes, which hold no sources.
+DERIVED = ("build", "dist", "node_modules", "site", "target", "venv", "__pycache__")
+
+
+def scan(spark: SparkSession, root: str, exclude: Iterable[str] = (), largest: int | None = None, pattern: str = "*.md", derived: Iterable[str] = DERIVED) -> DataFrame:
+    """path (relative), source_digest, length, modified, text of the files under root, without hidden and derived folders and
+    what a glob excludes. Filters on path and length come before the content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     base = root.rstrip("/").removeprefix("file:").replace("//", "/")
     rel = F.regexp_replace("path", f"^[a-z]*:/*{base.lstrip('/')}/", "")
     kept = files.withColumn("rel", rel).filter(~F.col("rel").rlike(r"(^|/)\."))
+    made = "|".join(map(re.escape, derived))
+    if made:
+        kept = kept.filter(~F.col("rel").rlike(f"(^|/)({made})/"))
     globs = list(exclude)
     if globs:
         kept = kept.filter(~X.excluded(F.col("rel"), globs))
@@ -30,6 +40,42 @@ def scan(spark: SparkSession, root: str, exclude: Iterable[str] = (), largest: i
     return kept.select(F.col("rel").alias("path"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("source_digest"), "length", F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
 
 
+def acquire(spark: SparkSession, source: str, roots: Iterable[str], largest: int | None = None) -> DataFrame:
+    """source_uri, source_digest, length, media, warning, content of the files at source, which has to lie in a declared root.
+    A file over the ceiling is refused before it is read: its content and digest are null and the warning says so."""
+    clean = lambda p: os.path.normpath(p.removeprefix("file://").removeprefix("file:"))
+    if not any(os.path.commonpath([clean(source), clean(r)]) == clean(r) for r in roots if clean(source).startswith(clean(r))):
+        raise PermissionError(f"{source} lies in no declared root")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    fits = F.lit(True) if largest is None else F.col("length") <= largest
+    small, big = files.filter(fits), files.filter(~fits).select("path", "length")
+    read = small.select(F.col("path").alias("source_uri"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("source_digest"), "length", html.media_type(F.col("path")).alias("media"), html.mismatch(F.col("path"), F.col("content")).alias("warning"), "content")
+    refused = big.select(F.col("path").alias("source_uri"), F.lit(None).cast("string").alias("source_digest"), "length", html.media_type(F.col("path")).alias("media"), F.lit("too large").alias("warning"), F.lit(None).cast("binary").alias("content"))
+    return read.unionByName(refused)
+
+
+def write_cases(cases: DataFrame, path: str, key: str = "case_id") -> None:
+    """Judged cases or tasks as JSON lines with sorted keys; a key that occurs twice is refused before anything is written."""
+    twice = cases.groupBy(key).count().filter("count > 1").orderBy(key).limit(5).collect()
+    if twice:
+        raise ValueError(f"{key} occurs more than once: {', '.join(str(r[0]) for r in twice)}")
+    export_jsonl(cases, [key], path)
+
+
+def export_bundle(tables: dict[str, DataFrame], orders: dict[str, list[str]], path: str) -> None:
+    """A JSON lines folder for each table that orders names, whole or not at all: documents whose chunks disagree with their
+    count, or chunks without a document, are a torn state and refused."""
+    docs, chunks = tables["documents"], tables["chunks"]
+    if not chunks.join(docs.select("doc_id"), "doc_id", "left_anti").isEmpty():
+        raise ValueError("there are chunks without a document")
+    if "chunks" in docs.columns:
+        counted = docs.select("doc_id", "chunks").join(chunks.groupBy("doc_id").agg(F.count("*").alias("_n")), "doc_id", "left")
+        if not counted.filter(F.col("chunks") != F.coalesce("_n", F.lit(0))).isEmpty():
+            raise ValueError("documents and their chunks disagree")
+    for name, order in orders.items():
+        export_jsonl(tables[name], order, f"{path}/{name}")
+
+
 def export_jsonl(rows: DataFrame, order: list[str], path: str) -> None:
     """Canonical JSON lines: columns by name, nulls kept, rows in the given order over ordered parts."""
     named = rows.select(*sorted(rows.columns))
@@ -63,10 +109,11 @@ class Snapshots:
         out = fs.create(at, True)
         out.write(bytearray(text.encode()))
         out.close()
-        _, to = self._fs(path)
-        fs.delete(to, False)
-        if not fs.rename(at, to):
-            raise OSError(f"{path} cannot be replaced")
+        # one rename, which replaces: readers see the old text or the new one
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(at, self._fs(path)[1], options)
 
     def _get(self, path: str) -> str | None:
         fs, at = self._fs(path)
@@ -96,9 +143,23 @@ class Snapshots:
         elif not fs.rename(at, to):
             raise OSError(f"{to} cannot be made")
         self._put(f"{self.root}/manifest-{snapshot}.json", json.dumps({"snapshot": snapshot, **manifest}, sort_keys=True))
+        self._note("publish", snapshot)
         self._put(f"{self.root}/CURRENT", snapshot)
         return snapshot
 
+    def _note(self, action: str, snapshot: str) -> None:
+        """A line of the journal, a file of its own, as stores can't append."""
+        n = len(self.journal())
+        self._put(f"{self.root}/journal/{n:012d}-{action}.json", json.dumps({"n": n, "action": action, "snapshot": snapshot}, sort_keys=True))
+
+    def journal(self) -> list[dict]:
+        """What was published and rolled back, in order."""
+        fs, at = self._fs(f"{self.root}/journal")
+        if not fs.exists(at):
+            return []
+        names = sorted(s.getPath().toString() for s in fs.listStatus(at) if s.getPath().getName().endswith(".json"))
+        return [json.loads(self._get(n)) for n in names]
+
     def manifest(self, snapshot: str) -> dict:
         return json.loads(self._get(f"{self.root}/manifest-{snapshot}.json") or "null") or {}
 
@@ -112,6 +173,7 @@ class Snapshots:
             n, total = got.agg(F.count("*"), F.sum(F.xxhash64(*[F.to_json(F.struct(*sorted(got.columns)))]).cast("decimal(38,0)"))).first()
             if f"{n}:{total or 0}" != digest:
                 raise ValueError(f"{name} of {snapshot} has changed")
+        self._note("rollback", snapshot)
         self._put(f"{self.root}/CURRENT", snapshot)
 
     def listed(self) -> list[str]:

@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Media types by extension.
 MEDIA = {
@@ -60,6 +61,16 @@ def decode(data: bytes) -> tuple[str, str, str]:
         return data.decode("cp1252", "replace"), "windows-1252", "fallback"
 
 
+DECODED = StructType([StructField("text", StringType()), StructField("encoding", StringType()), StructField("rule", StringType())])
+
+
+@F.arrow_udf(DECODED)
+def decoded(content: pa.Array) -> pa.Array:
+    """decode() of a column of bytes."""
+    rows = [None if b is None else dict(zip(("text", "encoding", "rule"), decode(b), strict=True)) for b in content.to_pylist()]
+    return pa.array(rows, pa.struct([("text", pa.string()), ("encoding", pa.string()), ("rule", pa.string())]))
+
+
 class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

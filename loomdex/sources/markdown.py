@@ -25,7 +25,6 @@ HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 FENCE = re.compile(r"^( {0,3})(`{3,}|~{3,})\s*([^`]*)$")
 ITEM = re.compile(r"^( {0,3})([-*+]|\d{1,9}[.)])([ \t]+|$)(.*)$")
 TABLE_RULE = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-CALLOUT = re.compile(r"^\[!([A-Za-z0-9_-]+)\]\s*(.*?)\s*$")
 BREAK = re.compile(r"^ {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$")
 CODE_SPAN = re.compile(r"(`+)(?!`).*?(?<!`)\1(?!`)", re.S)
 INLINE = re.compile(r"(?P<embed>!\[\[(?P<e>[^\]\n]+)\]\])|(?P<wiki>\[\[(?P<w>[^\]\n]+)\]\])|(?P<image>!\[(?P<alt>[^\]]*)\]\((?P<src>[^)\s]+)[^)]*\))|(?P<link>\[(?P<label>[^\]]*)\]\((?P<href>[^)\s]+)[^)]*\))|(?<![\w/])(?P<tag>#(?![0-9]+(?:\s|$))\w[\w/-]*)")
@@ -82,6 +81,14 @@ def upsert_frontmatter(text: str, key: str, value: str) -> str:
     return mark + head + tail
 
 
+def callout(line: str) -> tuple[str, str] | None:
+    """(type, title) if the line heads a callout: a type after an exclamation mark in brackets, then perhaps a title."""
+    head, closed, title = line.strip().partition("]")
+    kind = head.removeprefix("[!")
+    sound = closed and kind != head and kind.isascii() and kind.replace("-", "").replace("_", "a").isalnum()
+    return (kind.lower(), title.strip()) if sound else None
+
+
 def parse(text: str, first: int = 1, depth: int = 0) -> list[Block]:
     """The blocks of a text; lines are numbered from ``first``."""
     if depth > MAX_NESTING:
@@ -107,8 +114,8 @@ def parse(text: str, first: int = 1, depth: int = 0) -> list[Block]:
             while j < len(lines) and (re.match(r"^ {0,3}>", lines[j]) or (lines[j].strip() and j > k and not _opens(lines[j]))):
                 j += 1
             inner = [re.sub(r"^ {0,3}> ?", "", x) for x in lines[k:j]]
-            if c := CALLOUT.match(inner[0].strip()):
-                out.append(Block("callout", c[2], first + k, first + j - 1, variant=c[1].lower(), children=parse("\n".join(inner[1:]), first + k + 1, depth + 1)))
+            if c := callout(inner[0]):
+                out.append(Block("callout", c[1], first + k, first + j - 1, variant=c[0], children=parse("\n".join(inner[1:]), first + k + 1, depth + 1)))
             else:
                 out.append(Block("quote", "\n".join(inner), first + k, first + j - 1, children=parse("\n".join(inner), first + k, depth + 1)))
             k = j
@@ -197,10 +204,11 @@ def chunk(path: str, blocks: list[Block], target: int = MAX_TOKENS, most: int =
     title = tops[0] if len(tops) == 1 else None
     out, stack, slugs_seen, ordinal = [], [], {}, {}
     held: list[Block] = []
+    weight = 0  # of what is held
     group = ""
 
     def flush() -> None:
-        nonlocal held
+        nonlocal held, weight
         if not held:
             return
         slugs = "/".join(s for _, _, s, b in stack if b is not title)
@@ -210,7 +218,7 @@ def chunk(path: str, blocks: list[Block], target: int = MAX_TOKENS, most: int =
         body = [b for b in held if b.kind != "heading"]
         kind = {"table": "table", "code_block": "code", "callout": "callout"}.get(body[0].kind, "text") if len(body) == 1 else "text"
         out.append({"anchor": f"{path}#{slugs}/{n}", "heading_path": [t for _, t, _, _ in stack], "text": text, "tokens": tokens_of(text), "first": held[0].first, "last": held[-1].last, "kind": kind})
-        held = []
+        held, weight = [], 0
 
     for b in blocks:
         if b.kind == "heading":
@@ -221,18 +229,19 @@ def chunk(path: str, blocks: list[Block], target: int = MAX_TOKENS, most: int =
             parent = "/".join(s for _, _, s, _ in stack)
             n = slugs_seen[parent, slug] = slugs_seen.get((parent, slug), 0) + 1
             stack.append((b.level, b.text, slug if n == 1 else f"{slug}-{n}", b))
-            held, group = [b], ""
+            held, weight, group = [b], tokens_of(_source(b)), ""
             continue
         own = f"callout:{b.first}" if b.kind == "callout" else ""
-        size = sum(tokens_of(_source(x)) for x in held)
         body = any(x.kind != "heading" for x in held)
-        if body and (own != group or size >= target or size + tokens_of(_source(b)) > most):
+        if body and (own != group or weight >= target or weight + tokens_of(_source(b)) > most):
             flush()
         group = own
         for part in _split(b, most):
-            if any(x.kind != "heading" for x in held) and sum(tokens_of(_source(x)) for x in held) + tokens_of(_source(part)) > most:
+            size = tokens_of(_source(part))
+            if any(x.kind != "heading" for x in held) and weight + size > most:
                 flush()
             held.append(part)
+            weight += size
     flush()
     return out
 
@@ -248,17 +257,22 @@ def _source(b: Block) -> str:
 
 
 def _split(b: Block, most: int) -> list[Block]:
-    """A paragraph over the ceiling, cut at sentence ends."""
-    if b.kind != "paragraph" or tokens_of(b.text) <= most:
+    """A block over the ceiling in parts: a paragraph at sentence ends, others at line ends; a table's parts repeat its head
+    and a fence's parts are fences of its language. A line over the ceiling stays whole."""
+    if b.kind in ("heading", "callout") or tokens_of(_source(b)) <= most:
         return [b]
-    out, held = [], ""
-    for s in re.split(r"(?<=[.!?])\s+", b.text):
-        if held and tokens_of(held) + tokens_of(s) > most:
-            out.append(replace(b, text=held))
-            held = s
-        else:
-            held = f"{held} {s}".strip()
-    return [*out, replace(b, text=held)] if held else out
+    pieces = re.split(r"(?<=[.!?])\s+", b.text) if b.kind == "paragraph" else b.text.split("\n")
+    joint = " " if b.kind == "paragraph" else "\n"
+    head = pieces[:2] if b.kind == "table" else []
+    out, held, weight = [], list(head), sum(map(tokens_of, head))
+    for piece in pieces[len(head) :]:
+        size = tokens_of(piece)
+        if len(held) > len(head) and weight + size > most:
+            out.append(replace(b, text=joint.join(held)))
+            held, weight = list(head), sum(map(tokens_of, head))
+        held.append(piece)
+        weight += size
+    return [*out, replace(b, text=joint.join(held))] if len(held) > len(head) or not out else out
 
 
 def flat(blocks: list[Block], parent: int = -1) -> Iterator[tuple[int, Block]]:
@@ -318,4 +332,4 @@ def chunks(docs: DataFrame, path_col: str = "path", text_col: str = "text", targ
 def links(node_table: DataFrame) -> DataFrame:
     """path, ord, kind, target: the references of each document in order."""
     each = node_table.select("path", F.col("ord").alias("node"), F.posexplode("refs").alias("k", "r"))
-    return each.select("path", (F.col("node") * 10_000 + F.col("k")).cast("long").alias("ord"), "r.kind", "r.target")
+    return each.select("path", (F.col("node").cast("long") * (1 << 32) + F.col("k")).alias("ord"), "r.kind", "r.target")

@@ -10,10 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def sessions(events: DataFrame, key: str, ts: str, quiet: float, ceiling: float | None = None) -> DataFrame:
+def sessions(events: DataFrame, key: str, ts: str, quiet: float, ceiling: float | None = None, tie: str | None = None) -> DataFrame:
     """key, session, started, ended, events: batches closed by ``quiet`` seconds without an event; with a ceiling a
-    batch is also cut each so many seconds after it began."""
-    w = Window.partitionBy(key).orderBy(ts, "event_id")
+    batch is also cut each so many seconds after it began. Events of one instant are one batch in any order; tie: a
+    column that orders them all the same."""
+    w = Window.partitionBy(key).orderBy(ts, *([tie] if tie else []))
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     gap = micros - F.lag(micros).over(w)
     rows = events.withColumn("_us", micros).withColumn("_new", F.when(gap.isNull() | (gap > int(quiet * 1e6)), 1).otherwise(0)).withColumn("session", F.sum("_new").over(w))
@@ -52,6 +53,23 @@ def watch_folder(spark: SparkSession, folder: str, pattern: str, state: str, che
     return (out.trigger(processingTime=f"{seconds} seconds") if seconds else out.trigger(availableNow=True)).start()
 
 
+def rescan(spark: SparkSession, folder: str, pattern: str, state: str) -> DataFrame:
+    """path, action of the files that are new, edited or gone since the state table's newest version, and a next version: a
+    stream sees a path once, so edits are found by another look at the folder. A file of the same length and time isn't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    old = latest(spark, state).select("path", F.col("source_digest").alias("_digest"), F.col("length").alias("_length"), F.col("modified").alias("_modified"))
+    stat = files.select("path", "length", F.col("modificationTime").alias("modified"))
+    both = stat.join(old, "path", "full_outer")
+    same = (F.col("length") == F.col("_length")) & (F.col("modified") == F.col("_modified"))
+    changed = both.filter(F.col("length").isNotNull() & ~F.coalesce(same, F.lit(False))).select("path")
+    read = files.join(changed, "path", "left_semi").select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("source_digest"))
+    rows = both.join(read, "path", "left").withColumn("source_digest", F.coalesce("source_digest", "_digest"))
+    action = F.when(F.col("length").isNull(), "removed").when(F.col("_digest").isNull(), "new").when(F.col("source_digest") != F.col("_digest"), "edited")
+    versions = spark.read.option("basePath", state).parquet(state).agg(F.max("v")).first()[0]
+    rows.filter("length is not null").select("path", "source_digest", "length", "modified").write.mode("overwrite").parquet(f"{state}/v={versions + 1}")
+    return rows.withColumn("action", action).filter("action is not null").select("path", "action")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -5,6 +5,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 ASK = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q), set(o) - set(q); assert all(map(callable, q.values())); print(len(q), 'op1_warc' in q)"
 
@@ -19,11 +21,24 @@ def test_registry():
     assert int(n) >= 60 and has == str(os.path.isdir(os.path.join(ROOT, "loomdex", "llm")))
 
 
-def test_registry_without_llm(tmp_path):
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_registry_without_llm(tmp_path, also):
+    """With the two folders gone, with or without the pipeline beside them."""
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", *also, "__pycache__", "spark-warehouse"))
     n, has = ask(copy)
-    assert int(n) >= 55 and has == "False"
+    assert int(n) >= 110 and has == "False"
+
+
+def test_a_broken_import_is_not_swallowed(tmp_path):
+    package = os.path.join(ROOT, "loomdex", "llm")
+    if not os.path.isdir(package):
+        pytest.skip("the llm folders are absent")
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse"))
+    os.remove(copy / "loomdex" / "llm" / "vectors.py")
+    with pytest.raises(subprocess.CalledProcessError):
+        ask(copy)
 
 
 def test_nothing_outside_imports_llm():

@@ -69,7 +69,7 @@ def test_rrf(spark):
 def test_pack_skips_and_reports(spark):
     hits = spark.createDataFrame([(1, 1, "a", 50), (1, 2, "b", 80), (1, 3, "c", 40), (2, 1, "d", 500), (2, 2, "e", 1)], "query_id int, rank int, anchor string, tokens int")
     got = {r.query_id: (r.kept, r.omitted, r.spent, r.exceeded) for r in retrieval.pack(hits, 100).collect()}
-    assert got == {1: (["a", "c"], ["b"], 90, False), 2: (["e"], ["d"], 1, True)}
+    assert got == {1: (["a", "c"], ["b"], 90, False), 2: ([], ["d", "e"], 0, True)}
 
 
 def test_decay_is_the_greedy_choice(spark):
