@@ -1,8 +1,9 @@
 """Content-addressed WARC archive.
 
-Two Parquet tables make an archive. ``payloads`` holds the bytes of each distinct payload once, under its SHA-256;
-``records`` holds, for each record, its exact header block and the digest of its payload. The original records
-come back by a join of the two, and each payload is verified against its digest when it is read.
+Two Parquet tables make an archive. ``payloads`` holds the bytes of each distinct payload once, under its SHA-256, in
+buckets of that digest; ``records`` holds, for each record, its exact header block and the digest of its payload. The
+original records come back by a join of the two: each payload is verified against its digest, and each record's block
+against the length and the digest in its header.
 
 Defined results: a null html is an empty payload, and all empty payloads are equal. A null url leaves the target
 URI out of the header. Of equal payloads, the record with the smallest page_id is the response; rows that repeat
@@ -12,6 +13,9 @@ a group has none, its records are responses. Other columns of the input are not
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +56,7 @@ def header(date: str) -> Column:
         line("WARC-Record-ID", record("page_id")),
         line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", uri), F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record("refers_to")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
@@ -63,51 +67,68 @@ def header(date: str) -> Column:
 def write_archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", **names: str) -> None:
     """Write the archive of pages to path.
 
-    The payloads cross the network once, to meet their copies; equal payloads of one map task are merged before.
-    Headers never carry the payload, so a payload shared by a third of all pages costs only short rows.
+    The payloads cross the network once, to meet their copies; equal payloads of one map task are merged before. They
+    are written in the buckets in which they met, so that a reader's join doesn't move them again. Headers never carry
+    the payload, so a payload shared by a third of all pages costs only short rows.
     """
-    rows = with_payload(pages, **names)
-    rows.groupBy("digest").agg(F.first("payload").alias("payload"), F.min("page_id").alias("first_page")).write.option("compression", "zstd").parquet(f"{path}/payloads")
     spark = pages.sparkSession
-    heads = spark.read.parquet(f"{path}/payloads").select("digest", "first_page")
-    meta = rows.select("page_id", "url", "digest", base32_sha1(F.col("payload")).alias("sha1"), F.length("payload").cast("long").alias("payload_bytes"))
+    rows = with_payload(pages, **names)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sha1, size = base32_sha1(F.col("payload")).alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes")
+    met = rows.groupBy("digest").agg(F.first("payload").alias("payload"), F.min("page_id").alias("first_page")).select("digest", "payload", size, sha1, "first_page")
+    table = f"loomdex_payloads_{uuid.uuid4().hex}"
+    met.write.option("compression", "zstd").option("path", f"{path}/payloads-{buckets}").bucketBy(buckets, "digest").saveAsTable(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay
+    heads = spark.read.schema(PAYLOADS).parquet(f"{path}/payloads-{buckets}").drop("payload")
     same = F.col("page_id").eqNullSafe(F.col("first_page"))
-    records = meta.join(heads, "digest").withColumn("record_type", F.when(same, "response").otherwise("revisit")).withColumn("refers_to", F.when(~same, F.col("first_page")))
-    records.select("digest", F.encode(header(date), "UTF-8").alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
+    records = rows.drop("payload").join(heads, "digest").withColumn("record_type", F.when(same, "response").otherwise("revisit")).withColumn("refers_to", F.when(~same, F.col("first_page")))
+    records.select("digest", "record_type", F.encode(header(date), "UTF-8").alias("header")).write.option("compression", "zstd").partitionBy("record_type").parquet(f"{path}/records")
+
+
+PAYLOADS = "digest string, payload binary, payload_bytes long, payload_digest string, first_page long"
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """digest, payload, payload_bytes, payload_digest; a payload that differs from its digest raises."""
-    stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
-    sound = F.sha2("payload", 256) == F.col("digest")
-    checked = F.when(sound, F.length("payload").cast("long")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("digest"))).cast("long"))
-    return stored.select("digest", "payload", checked.alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    """digest, payload, payload_bytes, payload_digest, in the buckets of the writer; a payload that differs from its
+    digest raises when it is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = [s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    name = next(n for n in found if n.startswith("payloads-"))
+    table = f"loomdex_payloads_{hashlib.sha256(path.encode()).hexdigest()[:32]}"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({PAYLOADS}) USING parquet CLUSTERED BY (digest) INTO {int(name.split('-')[1])} BUCKETS LOCATION '{path}/{name}'")
+    sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), "digest")).cast("binary"))
+    return spark.table(table).select("digest", sound.alias("payload"), "payload_bytes", "payload_digest")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The records as they were written: page_id, header, payload, payload_bytes, payload_digest, record_type, refers_to.
+    """page_id, record (the bytes as written: header, block and the two line ends), payload_bytes, payload_digest,
+    record_type, refers_to: the original records, put together again and then read as a WARC reader would.
 
-    A reader that doesn't select the payload doesn't move it: the digests are taken before the join.
+    Only responses have a block, one for each payload; they join the payloads where those lie. Revisits, of which one
+    payload may have any number, join the short columns alone, which Spark can split. A record whose block isn't as
+    long, or whose payload not of the digest, as its header says raises.
     """
-    records = spark.read.schema("digest string, header binary").parquet(f"{path}/records")
-    text = F.decode("header", "UTF-8")
-    field = lambda name: F.regexp_extract(text, rf"\n{name}: ([^\r\n]*)\r\n", 1)
+    stored = spark.read.schema("digest string, header binary, record_type string").parquet(f"{path}/records")
+    payloads = read_payloads(spark, path)
+    short = spark.read.schema(PAYLOADS).parquet(f"{path}/payloads-*").select("digest", F.lit(None).cast("binary").alias("payload"), "payload_bytes", "payload_digest")
+    whole = stored.filter("record_type = 'response'").join(payloads, "digest").unionByName(stored.filter("record_type = 'revisit'").join(short, "digest"))
+    built = whole.select("payload_bytes", "payload_digest", F.length("header").alias("at"), F.concat("header", F.coalesce("payload", F.lit(b"")), F.lit(b"\r\n\r\n")).alias("record"))
+    text = F.decode(F.substring(F.col("record"), F.lit(1), F.col("at")), "UTF-8")
+    field = lambda name: F.regexp_extract("text", rf"\n{name}: ([^\r\n]*)\r\n", 1)
     page = lambda name: F.regexp_extract(field(name), r"^<urn:page:(-?\d+)>$", 1)
     number = lambda name: F.when(page(name) != "", page(name).cast("long"))
-    parsed = records.select("digest", "header", number("WARC-Record-ID").alias("page_id"), field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"))
-    return parsed.join(read_payloads(spark, path), "digest").drop("digest")
-
-
-def record_bytes(records: DataFrame) -> DataFrame:
-    """page_id and the whole record of a WARC file: header, block and the two line ends."""
-    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return records.select("page_id", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"))
+    size = F.try_to_number(field("Content-Length"), F.lit("9" * 18)).cast("long")
+    block = F.substring(F.col("record"), F.col("at") + 1, F.col("size").cast("int"))
+    parsed = built.withColumn("text", text).withColumn("size", size).withColumn("kind", field("WARC-Type")).withColumn("said", F.regexp_extract(field("WARC-Payload-Digest"), "^sha1:(.*)$", 1))
+    response = F.col("kind") == "response"
+    seen = F.when(response, base32_sha1(block)).otherwise(F.col("payload_digest"))
+    sound = (F.length("record") == F.col("at") + F.col("size") + 4) & (F.col("size") == F.when(response, F.col("payload_bytes")).otherwise(0)) & (seen == F.col("said"))
+    checked = F.when(F.coalesce(sound, F.lit(False)), F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("a record differs from its header: "), "text")).cast("long"))
+    return parsed.select(number("WARC-Record-ID").alias("page_id"), "record", checked.alias("payload_bytes"), F.col("said").alias("payload_digest"), F.col("kind").alias("record_type"), number("WARC-Refers-To").alias("refers_to"))
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write pages to an archive, read it back."""
-    import uuid
-
     path = path or f"{work_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_archive(pages, path)
     return read_archive(pages.sparkSession, path)
