@@ -1,9 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the n-grams of every labelled training row (no sample); each task sends one row for each feature and
-language it met. The log-probability matrix has 2**bits rows and a column for each language, so its size is fixed
-by the parameters and the number of languages, and it is broadcast. Scoring is sparse: the rows of the matrix that
-a batch of texts touches are gathered and summed by text in numpy.
+language it met. The log-probability matrix has 2**bits entries for each of at most ``most_langs`` languages, so its
+size has a bound (64 MB by default), and it is broadcast. Scoring is sparse: the entries of the matrix that a batch of
+texts touches are gathered and summed by text in numpy.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing was
 learnt. The score is the posterior probability of the predicted language. Ties go to the language first by code
@@ -13,7 +13,7 @@ are never inputs of a prediction; other columns are not read, or passed through
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.llm.common import arrow_map
+
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -39,7 +41,7 @@ class Shape:
 class Model:
     langs: tuple[str, ...]
     prior: np.ndarray
-    log_prob: np.ndarray  # (2**bits, languages)
+    log_prob: np.ndarray  # (languages, 2**bits)
     shape: Shape
 
 
@@ -63,7 +65,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_langs: int = 128) -> Model:
+    """Learns from every labelled row that is not held out; more than ``most_langs`` languages raise."""
     rows = docs.filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     schema = pa.schema([("lang", pa.string()), ("feature", pa.int32()), ("n", pa.int64())])
 
@@ -81,33 +84,58 @@ def train(docs: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", text_
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(counts[at], docs_of[lang]), pa.int64())], schema=schema)
 
-    counted = rows.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(count, "lang string, feature int, n long")
-    # at most (2**bits + 1) rows for each language, whatever the number of documents
-    got = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-    langs = tuple(sorted(set(got["lang"])))
-    column = {lang: k for k, lang in enumerate(langs)}
-    counts, n_docs = np.zeros((1 << shape.bits, len(langs))), np.zeros(len(langs))
-    for lang, part in got.groupby("lang"):
-        f, n = part["feature"].to_numpy(), part["n"].to_numpy()
-        counts[f[f >= 0], column[lang]] = n[f >= 0]
-        n_docs[column[lang]] = n[f < 0].sum()
-    prob = np.log(counts + shape.alpha) - np.log(counts.sum(axis=0) + shape.alpha * (1 << shape.bits))
-    return Model(langs, np.log(np.maximum(n_docs, 1) / max(1, n_docs.sum())), prob, shape)
-
-
-def score(texts: Iterable[str | None], model: Model) -> tuple[list[str], list[float]]:
-    out: tuple[list[str], list[float]] = ([], [])
-    for text in texts:
-        lang, p = UND, 0.0
-        if model.langs and text and _LETTER.search(text):
-            total = model.prior.astype(np.float64)
-            for f in features(text, model.shape):
-                total = total + np.ones(len(f)) @ model.log_prob.take(f, axis=0)
-            best = int(np.argmax(total))
-            lang, p = model.langs[best], float(1 / np.exp(total - total[best]).sum())
-        out[0].append(lang)
-        out[1].append(p)
-    return out
+    counted = rows.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).transform(arrow_map, count, "lang string, feature int, n long")
+    dense = pa.schema([("lang", pa.string()), ("counts", pa.binary()), ("docs", pa.int64())])
+
+    def packed(table: pa.Table) -> pa.Table:
+        f, n = table.column("feature").to_numpy(), table.column("n").to_numpy()
+        counts = np.zeros(1 << shape.bits, np.int64)
+        counts[f[f >= 0]] = n[f >= 0]
+        return pa.table([[table.column("lang")[0].as_py()], [counts.tobytes()], [int(n[f < 0].sum())]], schema=dense)
+
+    # a row for each language; whatever the number of documents, the driver gets most_langs rows at most
+    totals = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).groupBy("lang").applyInArrow(packed, "lang string, counts binary, docs long")
+    got = sorted(totals.limit(most_langs + 1).collect(), key=lambda r: r.lang)
+    if len(got) > most_langs:
+        raise ValueError(f"more than {most_langs} languages; a matrix for each needs {8 << shape.bits} bytes on every worker")
+    counts = np.array([np.frombuffer(r.counts, np.int64) for r in got], np.float64).reshape(-1, 1 << shape.bits)
+    n_docs = np.array([r.docs for r in got], np.float64)
+    prob = np.log(counts + shape.alpha) - np.log(counts.sum(axis=1, keepdims=True) + shape.alpha * (1 << shape.bits))
+    return Model(tuple(r.lang for r in got), np.log(np.maximum(n_docs, 1) / max(1, n_docs.sum())), prob, shape)
+
+
+def score(texts: list[str | None], model: Model, lot: int = 1 << 20) -> tuple[list[str], list[float]]:
+    """The language and its posterior of each text. The n-grams of many texts make one sparse batch of about ``lot``:
+    for each language their entries of the matrix are gathered at once and summed by text."""
+    total = np.tile(model.prior.astype(np.float64), (len(texts), 1))
+    known = np.array([bool(model.langs and t and _LETTER.search(t)) for t in texts], bool)
+    held: list[np.ndarray] = []
+    of: list[int] = []
+
+    def add() -> None:
+        flat, starts = np.concatenate(held), np.cumsum([0, *map(len, held[:-1])])
+        for k in range(len(model.langs)):
+            np.add.at(total[:, k], of, np.add.reduceat(model.log_prob[k].take(flat), starts))
+        held.clear()
+        of.clear()
+
+    size = 0
+    for i in np.flatnonzero(known).tolist():
+        for f in features(texts[i], model.shape):
+            if len(f):
+                held.append(f)
+                of.append(i)
+                size += len(f)
+        if size >= lot:
+            add()
+            size = 0
+    if held:
+        add()
+    if not model.langs:
+        return [UND] * len(texts), [0.0] * len(texts)
+    best = total.argmax(axis=1)
+    p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+    return [model.langs[b] if k else UND for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, p, 0.0).tolist()
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
@@ -119,10 +147,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_as: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = score(b.column(at).cast(pa.string()).to_pylist(), shared.value)
+            got = [score(b.column(at).slice(k, 512).cast(pa.string()).to_pylist(), shared.value) for k in range(0, b.num_rows, 512)]
+            langs, scores = [x for g in got for x in g[0]], [x for g in got for x in g[1]]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "_lang", "_score"])
 
-    return docs.toDF(*own).mapInArrow(run, f"{kinds}, _lang string, _score double").toDF(*docs.columns, lang_as, score_as)
+    return docs.toDF(*own).transform(arrow_map, run, f"{kinds}, _lang string, _score double").toDF(*docs.columns, lang_as, score_as)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
