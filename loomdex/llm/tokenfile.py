@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import NULL_ID, as_bytes, batch, id_key, work_dir
+from loomdex.llm.common import NULL_ID, arrow_map, as_bytes, batch, id_key, work_dir
 
 #: Ids in a word, by selector from 0; 60 // n bits for each.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -297,7 +297,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if coded:
             yield flush()
 
-    dealt.mapInArrow(run, FILE_SQL).write.option("compression", "none").parquet(path)
+    dealt.transform(arrow_map, run, FILE_SQL).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -314,7 +314,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int64)))
                 yield batch(schema, [s] * n, [k] * n, np.arange(n, dtype=np.int32), pa.array(doc_ids, mask=doc_ids == NULL_ID), lists)
 
-    return spark.read.schema(FILE_SQL).parquet(path).select("shard", "block", "data").mapInArrow(run, "shard int, block int, row int, doc_id long, ids array<bigint>")
+    return spark.read.schema(FILE_SQL).parquet(path).select("shard", "block", "data").transform(arrow_map, run, "shard int, block int, row int, doc_id long, ids array<bigint>")
 
 
 def summaries(spark: SparkSession, path: str) -> DataFrame:
@@ -333,7 +333,7 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
                 n = len(doc_ids)
                 yield batch(schema, [s] * n, [k] * n, np.arange(n, dtype=np.int32), ends - counts, pa.array(doc_ids, mask=doc_ids == NULL_ID), counts, crc)
 
-    return spark.read.schema(FILE_SQL).parquet(path).select("shard", "block", "data").mapInArrow(run, "shard int, block int, row int, before long, doc_id long, n_tokens long, ids_crc32 long")
+    return spark.read.schema(FILE_SQL).parquet(path).select("shard", "block", "data").transform(arrow_map, run, "shard int, block int, row int, before long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def with_starts(rows: DataFrame, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ extra columns with clashing names, against brute force."""
 import base64
 import hashlib
 import random
+import shutil
 import zlib
 
 import numpy as np
@@ -13,6 +14,7 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomdex.llm import ann, bpe, langid, linededup, mixing, simhash, substring, tokenfile, topk, warc
 
@@ -68,7 +70,7 @@ def test_warc(spark):
         digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
         expect.append((i, len(body), digest, "response" if i == first else "revisit", None if i == first else first))
     assert rows(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(expect, key=repr)
-    records = warc.record_bytes(got).collect()
+    records = got.collect()
     assert any(bytes(r.record).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and bytes(r.record).endswith("é".encode() * 9000 + b"\r\n\r\n") for r in records)
     assert all(bytes(r.record).count(b"WARC-Target-URI") <= 1 for r in records)
 
@@ -77,10 +79,17 @@ def test_warc_empty_and_damage(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(empty).count() == 0
     warc.write_archive(spark.createDataFrame([(1, "u", "body")], "page_id long, url string, html string"), str(tmp_path / "a"))
-    stored = spark.read.parquet(str(tmp_path / "a/payloads"))
-    stored.selectExpr("digest", "cast('other' as binary) payload", "first_page").write.parquet(str(tmp_path / "b/payloads"))
+    name = next((tmp_path / "a").glob("payloads-*")).name
+    stored, heads = spark.read.parquet(str(tmp_path / "a" / name)), spark.read.parquet(str(tmp_path / "a/records"))
+    stored.selectExpr("digest", "cast('other' as binary) payload", "payload_bytes", "payload_digest", "first_page").write.bucketBy(int(name.split("-")[1]), "digest").option("path", str(tmp_path / "b" / name)).saveAsTable("damaged")
+    heads.write.partitionBy("record_type").parquet(str(tmp_path / "b/records"))
     with pytest.raises(Exception, match="differs from its digest"):
-        warc.read_payloads(spark, str(tmp_path / "b")).collect()
+        warc.read_archive(spark, str(tmp_path / "b")).collect()
+    shutil.copytree(tmp_path / "a" / name, tmp_path / "c" / name)
+    wrong = F.encode(F.regexp_replace(F.decode("header", "UTF-8"), "Content-Length: 4", "Content-Length: 3"), "UTF-8")
+    heads.withColumn("header", wrong).write.partitionBy("record_type").parquet(str(tmp_path / "c/records"))
+    with pytest.raises(Exception, match="differs from its header"):
+        warc.read_archive(spark, str(tmp_path / "c")).collect()
 
 
 # 2. Line dedup
@@ -297,8 +306,8 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("pairs_up_to", [2, 64])
-def test_links_of_random_and_crowded_fingerprints(spark, pairs_up_to):
+@pytest.mark.parametrize(("pairs_up_to", "cuts"), [(2, 6), (64, 6), (1, 6), (64, 4)])
+def test_links_of_random_and_crowded_fingerprints(spark, pairs_up_to, cuts):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(150)]
     fps = set(base)
@@ -311,7 +320,7 @@ def test_links_of_random_and_crowded_fingerprints(spark, pairs_up_to):
     fps |= {base[0] ^ (1 << k) ^ (1 << j) for k in range(12) for j in range(k)}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    links = simhash.edges(df, pairs_up_to=pairs_up_to)
+    links = simhash.edges(df, cuts, pairs_up_to)
     assert all(((r.f ^ r.g) & (2**64 - 1)).bit_count() <= 2 for r in links.collect())
     roots = {r.node & (2**64 - 1): r.root for r in simhash.components(links).collect()}
     groups = {}
