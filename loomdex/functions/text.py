@@ -367,3 +367,13 @@ def weakest_trust(trusts: Column) -> Column:
     """The weakest of an array of source trusts; null if it names none."""
     places = F.filter(F.transform(trusts, lambda t: F.array_position(F.array(*map(F.lit, TRUST)), t)), lambda k: k > 0)
     return F.when(F.size(places) > 0, F.element_at(F.array(*map(F.lit, TRUST)), F.array_min(places).cast("int")))
+
+
+def bounded(query: Column) -> Column:
+    """A query as far as the end of its last term that is read: what a leg that takes text as it is may see."""
+    count = F.regexp_count(query, F.lit(TERM))
+    return F.when(count > MAX_TERMS, F.regexp_extract(query, rf"^((?:[^\p{{L}}\p{{N}}_]*[\p{{L}}\p{{N}}_]+){{{MAX_TERMS}}})", 1)).otherwise(query)
+
+
+def unread_terms(query: Column) -> Column:
+    return F.greatest(F.regexp_count(query, F.lit(TERM)) - MAX_TERMS, F.lit(0))

@@ -87,7 +87,8 @@ def search(
     if status is not None and not status:
         return search(queries.limit(0), docs, chunks, Settings(include_candidate=True))
     keep = retrieval.search_filter(status=status, **settings.filters)
-    rows = chunks.join(docs.select("doc_id", "path", "title", "namespace", "collection", "trust", "status"), "doc_id")
+    of_docs = ("path", "title", "namespace", "collection", "trust", "status")
+    rows = chunks.drop(*of_docs).join(docs.select("doc_id", *of_docs), "doc_id")
     found = lexical.index(rows, list(settings.weights), settings.stems)
     scorer = lexical.scorer(queries, found, settings.weights, settings.stems)
     allowed = rows.filter(keep).select("anchor", "path")

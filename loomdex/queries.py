@@ -380,12 +380,13 @@ def graph_round_robin(spark, sf_dir):
     return graph.round_robin(seeds, _nations(spark, sf_dir)).select("query_id", "node", "seed_rank", "round")
 
 
-@query(f"""WITH @CORPUS@, v AS (SELECT DISTINCT split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS name FROM benchmark), names AS (SELECT name, list_aggregate({_tokens('name')}, 'string_agg', ' ') AS gram FROM v WHERE length(name) >= 4),
-t AS (SELECT doc_id, anchor, ordinal, ' ' || list_aggregate({_tokens('text')}, 'string_agg', ' ') || ' ' AS s FROM chunks)
-SELECT name AS slug, doc_id, min(ordinal) AS ordinal FROM t JOIN names ON contains(s, ' ' || gram || ' ') GROUP BY name, doc_id""")
+@query(f"""WITH @CORPUS@, w AS (SELECT {_tokens('text')} AS ws FROM benchmark), k AS (SELECT ws, unnest(range(1, len(ws))) AS k FROM w), names AS (SELECT DISTINCT ws[k] || ' ' || ws[k + 1] AS name, ws[k] || ' ' || ws[k + 1] AS gram FROM k WHERE length(ws[k] || ' ' || ws[k + 1]) >= 4),
+c AS (SELECT doc_id, ordinal, {_tokens('text')} AS ts FROM chunks), g AS (SELECT doc_id, ordinal, ts, unnest(range(1, len(ts))) AS k FROM c)
+SELECT name AS slug, doc_id, min(ordinal) AS ordinal FROM g JOIN names ON gram = ts[k] || ' ' || ts[k + 1] GROUP BY name, doc_id""")
 def entity_mentions(spark, sf_dir):
-    words = F.split("text", " ")
-    names = table(spark, sf_dir, "benchmark").select(F.concat_ws(" ", words[0], words[1]).alias("name")).distinct()
+    """Every two neighbouring words of an item are a name."""
+    words = table(spark, sf_dir, "benchmark").select(X.index_tokens(F.col("text")).alias("t")).filter(F.size("t") >= 2)
+    names = words.select(F.explode(graph.ngrams("t", 2)).alias("name")).distinct()
     return graph.entity_mentions(names.select(F.col("name").alias("slug"), "name"), _corpus(spark, sf_dir)[1]).select("slug", "doc_id", "ordinal")
 
 
@@ -423,10 +424,10 @@ def page_chunks(spark, sf_dir):
     return markdown.chunks(_page_markdown(spark, sf_dir)).select("anchor", "kind", "tokens", "chunk_digest")
 
 
-# Evaluation: a benchmark item is a case; a chunk that holds the first eight tokens of one of its lines is relevant
+# Evaluation: a benchmark item is a case; a chunk that holds one of its lines, whole, is relevant
 
 EVAL = f"""@CORPUS@, il AS (SELECT item_id AS case_id, unnest(string_split(text, chr(10))) AS line FROM benchmark),
-il2 AS (SELECT DISTINCT case_id, list_aggregate(list_slice({_tokens('line')}, 1, 8), 'string_agg', ' ') AS gram FROM il WHERE len({_tokens('line')}) >= 8),
+il2 AS (SELECT DISTINCT case_id, list_aggregate({_tokens('line')}, 'string_agg', ' ') AS gram FROM il WHERE len({_tokens('line')}) >= 1),
 ct AS (SELECT anchor, ' ' || list_aggregate({_tokens('text')}, 'string_agg', ' ') || ' ' AS s FROM chunks),
 judged AS (SELECT case_id, anchor, CAST(max(1 + length(gram) % 3) AS INTEGER) AS grade FROM il2 JOIN ct ON contains(s, ' ' || gram || ' ') GROUP BY case_id, anchor), {ASKED}, {_GREP},
 got AS (SELECT query_id AS case_id, g.rank, j.grade FROM grepped g JOIN judged j ON j.case_id = g.query_id AND j.anchor = g.anchor WHERE g.rank <= 10),
@@ -439,10 +440,18 @@ m AS (SELECT case_id, round(coalesce(CAST(dcg AS DOUBLE) / CAST(ideal AS DOUBLE)
 def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(cases, judged)."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), "text")
-    lines = items.select("case_id", F.explode(F.split("text", "\n")).alias("line")).select("case_id", X.index_tokens(F.col("line")).alias("t")).filter(F.size("t") >= 8).select("case_id", F.array_join(F.slice("t", 1, 8), " ").alias("gram")).distinct()
-    held = _corpus(spark, sf_dir)[1].select("anchor", X.index_tokens(F.col("text")).alias("t")).filter(F.size("t") >= 8)
-    grams = held.select("anchor", F.explode(graph.ngrams("t", 8)).alias("gram"))
-    judged = grams.join(lines, "gram").groupBy("case_id", "anchor").agg(F.max(F.length("gram") % 3 + 1).alias("grade"))
+    lines = items.select("case_id", F.explode(F.split("text", "\n")).alias("line")).select("case_id", X.index_tokens(F.col("line")).alias("t")).filter(F.size("t") >= 1)
+    lines = lines.select("case_id", F.array_join("t", " ").alias("whole"), F.least(F.size("t"), F.lit(8)).alias("n"), F.array_join(F.slice("t", 1, 8), " ").alias("gram")).distinct()
+    held = _corpus(spark, sf_dir)[1].select("anchor", X.index_tokens(F.col("text")).alias("t"))
+    near = None
+    for n in sorted(r[0] for r in lines.select("n").distinct().collect()):  # eight numbers at most; lines meet by their first tokens
+        grams = held.filter(F.size("t") >= n).select("anchor", F.explode(graph.ngrams("t", n)).alias("gram"))
+        one = grams.join(lines.filter(F.col("n") == n), "gram").select("case_id", "anchor", "whole")
+        near = one if near is None else near.unionByName(one)
+    near = near.distinct().join(held.select("anchor", F.array_join("t", " ").alias("text")), "anchor")
+    around = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    judged = near.filter(around("text").contains(around("whole"))).groupBy("case_id", "anchor").agg(F.max(F.length("whole") % 3 + 1).alias("grade"))
+    judged = work.written(judged, "judged")
     some = judged.select("case_id").distinct().withColumn("answerable", F.lit(True))
     return items.join(some, "case_id", "left").select("case_id", F.coalesce("answerable", F.lit(False)).alias("answerable"), "text"), judged
 

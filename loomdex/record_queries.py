@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
-from loomdex.operators import chats, citations, evaluation, graph, lexical, lifecycle, retrieval, store
+from loomdex.functions import work
+from loomdex.operators import chats, citations, evaluation, graph, lexical, lifecycle, retrieval, store, symbols
 from loomdex.plans.search import Settings, add_only, graph_candidates, search, symbol_candidates
-from loomdex.queries import _GREP, _SLICED, ASKED, _asked, _bm25_sql, _cases, _corpus, _labelled, _messages, _rows, _slices, query
+from loomdex.queries import _GREP, _MSG, _SLICED, ASKED, _asked, _bm25_sql, _cases, _corpus, _labelled, _messages, _rows, _slices, query
+from loomdex.sources import files, frontmatter, html, markdown, markup
 from loomdex.sources.tables import table
 
 # Derived legs: every third item asks for what is related, every second names an identifier. An identifier's symbol is
@@ -552,3 +556,201 @@ def grounding_scores(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), ((F.col("doc_id") % 10) / F.lit(10.0) + 0.1).alias("coverage"))
     judged = _labelled(spark, sf_dir).select(F.col("doc_id").alias("path"), F.when(F.col("quality") == 1, 0.97).when(F.col("quality") == 0, 0.5).alias("entailment")).filter("entailment is not null")
     return citations.grounding(d, judged).select("path", F.round("score", 6).alias("score"), F.size("blockers").cast("long").alias("blockers"))
+
+
+# Compiled Markdown: each supplier is a document whose sections are known
+
+
+def _notes_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    text = F.concat(
+        F.lit("---\ntitle: "), F.col("s_name"), F.lit("\ntags: [t"), (F.col("s_suppkey") % 5).cast("string"), F.lit(", x]\nrating: "), key, F.lit("\n---\n# "), F.col("s_name"), F.lit("\n\nIntro of "), key, F.lit(" with [[Other|shown]] and `[[not]]`.\n\n## Notes\n\nFirst #tag"),
+        key, F.lit(" here, see [next](../s"), key, F.lit(".md#Top).\n\n## Notes\n\n- one\n- two\n\n```python\ndef f_"), key, F.lit("(x):\n    return g_"), (F.col("s_suppkey") % 7).cast("string"), F.lit("(x)\n```\n\n### Deep\n\n`uv run` it.\n\n```bash\nuv run job"), key, F.lit("\n```\n"),
+    )
+    return s.select("s_suppkey", F.concat(F.lit("s"), key, F.lit(".md")).alias("path"), text.alias("text"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, 's' || s_suppkey || '.md#' AS p FROM supplier)
+SELECT p || '/0' AS anchor, 'text' AS kind, 1::BIGINT AS depth FROM s UNION ALL SELECT p || 'notes/0', 'text', 2 FROM s UNION ALL SELECT p || 'notes-2/0', 'text', 2 FROM s UNION ALL SELECT p || 'notes-2/deep/0', 'text', 3 FROM s""")
+def markdown_sections(spark, sf_dir):
+    got = markdown.chunks(_notes_text(spark, sf_dir))
+    return got.select("anchor", "kind", F.size("heading_path").cast("long").alias("depth"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, 's' || s_suppkey || '.md' AS path FROM supplier)
+SELECT path, 'wikilink' AS kind, 'Other' AS target FROM s UNION ALL SELECT path, 'link', '../s' || k || '.md#Top' FROM s UNION ALL SELECT path, 'tag_ref', 'tag' || k FROM s""")
+def markdown_references(spark, sf_dir):
+    return markdown.links(markdown.nodes(_notes_text(spark, sf_dir))).select("path", "kind", "target")
+
+
+@query("""SELECT 's' || s_suppkey || '.md' AS path, kind, n FROM supplier, (VALUES ('heading', 4::BIGINT), ('paragraph', 5), ('list', 1), ('list_item', 2), ('code_block', 2)) t(kind, n)""")
+def markdown_node_kinds(spark, sf_dir):
+    return lifecycle.inventory(markdown.nodes(_notes_text(spark, sf_dir)))
+
+
+@query("""SELECT 's' || s_suppkey || '.md' AS path, s_name AS title, 't' || (s_suppkey % 5) || ',x' AS tags, '{"rating": ' || s_suppkey || '}' AS properties FROM supplier""")
+def frontmatter_columns(spark, sf_dir):
+    got = frontmatter.frontmatter(_notes_text(spark, sf_dir).select("path", "text"))
+    return got.select("path", "title", F.array_join("tags", ",").alias("tags"), "properties")
+
+
+@query("""SELECT 's' || s_suppkey || '.md' AS path, sha256('---' || chr(10) || 'title: new' || chr(10) || 'k: ' || s_suppkey || chr(10) || '---' || chr(10) || 'body') AS digest FROM supplier""")
+def frontmatter_upsert(spark, sf_dir):
+    key = F.col("s_suppkey").cast("string")
+    d = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), key, F.lit(".md")).alias("path"), F.concat(F.lit("---\ntitle: old\nk: "), key, F.lit("\n---\nbody")).alias("text"), F.lit("new").alias("v"))
+    return frontmatter.stamped(d, "title", "v").select("path", F.sha2("text", 256).alias("digest"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, 's' || s_suppkey || '.md' AS path FROM supplier)
+SELECT path, 'python' AS lang, 'f_' || k AS name, 'define' AS role FROM s UNION ALL SELECT path, 'python', 'g_' || (k % 7), 'use' FROM s UNION ALL SELECT path, 'cli', 'uv', 'define' FROM s UNION ALL SELECT path, 'cli', 'uv run', 'define' FROM s
+UNION ALL SELECT path, 'cli', 'uv run job' || k, 'define' FROM s UNION ALL SELECT path, 'cli', 'uv', 'use' FROM s UNION ALL SELECT path, 'cli', 'uv run', 'use' FROM s""")
+def symbol_extraction(spark, sf_dir):
+    return symbols.extract(markdown.nodes(_notes_text(spark, sf_dir))).select("path", "lang", "name", "role")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, 's' || s_suppkey || '.md' AS path FROM supplier)
+SELECT 'sym:python:f_' || k AS symbol, 'function' AS kind, path || '#L20' AS defined_in FROM s UNION ALL SELECT 'sym:cli:uv', 'command', min(path) || '#L29' FROM s UNION ALL SELECT 'sym:cli:uv run', 'command', min(path) || '#L29' FROM s""")
+def symbol_table(spark, sf_dir):
+    """Commands are symbols only where prose names them too; a job's name never is."""
+    return symbols.fold(symbols.extract(markdown.nodes(_notes_text(spark, sf_dir)))).select("symbol", "kind", "defined_in")
+
+
+@query("""SELECT 'doc:a' || p_partkey || '.md' AS source, 'sym:python:lib.f_' || (p_partkey % 9) AS target FROM part WHERE p_partkey % 9 <> 4""")
+def symbol_uses(spark, sf_dir):
+    """Uses by last part; f_4 is defined twice, so its uses are ambiguous."""
+    uses = table(spark, sf_dir, "part").select(F.concat(F.lit("a"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"), F.lit("python").alias("lang"), F.concat(F.lit("f_"), (F.col("p_partkey") % 9).cast("string")).alias("name"), F.lit(3).alias("line"))
+    defined = spark.range(9).select(F.lit("lib.md").alias("path"), F.lit("python").alias("lang"), F.concat(F.lit("lib.f_"), F.col("id").cast("string")).alias("name"))
+    defined = defined.unionByName(defined.filter("name = 'lib.f_4'").withColumn("name", F.lit("other.f_4")))
+    got = symbols.resolve(uses, defined)
+    return got.select(graph.doc_ref(F.col("path")).alias("source"), symbols.symbol_id(F.col("lang"), F.col("symbol")).alias("target"))
+
+
+@query("""WITH d AS (SELECT 'd' || lpad(s_suppkey::VARCHAR, 9, '0') AS path, 'Tag ' || (s_suppkey % 6) AS tag, s_suppkey % 2 = 0 AS hand FROM supplier)
+SELECT 'tag-' || right(tag, 1) AS slug, tag AS name, 'tag' AS kind, CASE WHEN bool_or(hand) THEN 'authored' ELSE 'extracted' END AS status, count(DISTINCT path) AS docs FROM d GROUP BY tag""")
+def entity_table(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    d = s.select(F.concat(F.lit("d"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("path"), F.lit("T").alias("title"), F.array(F.concat(F.lit("#Tag "), (F.col("s_suppkey") % 6).cast("string")), F.lit("2024")).alias("tags"), F.array().cast("array<string>").alias("aliases"), F.when(F.col("s_suppkey") % 2 == 0, "authored").otherwise("ingested").alias("origin"))
+    return symbols.fold_entities(symbols.declare_entities(d)).select("slug", "name", "kind", "status", F.size("doc_refs").cast("long").alias("docs"))
+
+
+# Sources
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'bom' ELSE 'utf-8' END AS rule, sha256(html) AS digest FROM pages""")
+def decoded_pages(spark, sf_dir):
+    """Pages as bytes, every third with a byte order mark, read as text again."""
+    raw = F.concat(F.when(F.col("page_id") % 3 == 0, F.lit(b"\xef\xbb\xbf")).otherwise(F.lit(b"")), F.encode("html", "UTF-8"))
+    plain = table(spark, sf_dir, "pages").filter(~F.coalesce(F.lower("html").rlike("<meta[^>]+charset"), F.lit(False)))
+    other = table(spark, sf_dir, "pages").join(plain.select("page_id"), "page_id", "left_anti")
+    got = plain.select("page_id", html.decoded(raw).alias("d")).select("page_id", "d.rule", F.sha2("d.text", 256).alias("digest"))
+    return got.unionByName(other.select("page_id", F.when(F.col("page_id") % 3 == 0, "bom").otherwise("utf-8").alias("rule"), F.sha2("html", 256).alias("digest")))
+
+
+_EXT = ("md", "html", "pdf", "docx", "txt", "rst")
+
+
+@query(f"""WITH f AS (SELECT s_suppkey, 'd/f' || s_suppkey || '.' || {list(_EXT)!r}[s_suppkey % 6 + 1] AS path, s_suppkey % 4 = 0 AS pdf FROM supplier)
+SELECT path, CASE regexp_extract(path, '[^.]+$') WHEN 'md' THEN 'text/markdown' WHEN 'html' THEN 'text/html' WHEN 'pdf' THEN 'application/pdf' WHEN 'docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 'rst' THEN 'text/x-rst' END AS media,
+  pdf AND regexp_extract(path, '[^.]+$') NOT IN ('pdf', 'txt') AS warned FROM f""")
+def media_types(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    path = F.concat(F.lit("d/f"), F.col("s_suppkey").cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, _EXT)), (F.col("s_suppkey") % 6 + 1).cast("int")))
+    rows = s.select(path.alias("path"), F.when(F.col("s_suppkey") % 4 == 0, F.lit(b"%PDF-1.7")).otherwise(F.lit(b"words")).alias("content"))
+    return rows.select("path", html.media_type(F.col("path")).alias("media"), html.mismatch(F.col("path"), F.col("content")).isNotNull().alias("warned"))
+
+
+@query("""WITH p AS (SELECT 'n' || (o_orderkey % 5) || '/' || CASE WHEN o_orderkey % 7 = 0 THEN 'drafts/' ELSE '' END || 'x' || o_orderkey || '.md' AS path FROM orders)
+SELECT path, starts_with(path, 'n3/') OR contains(path, '/drafts/') OR regexp_matches(path, '/x[0-9]1\\.md$') AS excluded FROM p""")
+def excluded_paths(spark, sf_dir):
+    key = F.col("o_orderkey")
+    path = F.concat(F.lit("n"), (key % 5).cast("string"), F.lit("/"), F.when(key % 7 == 0, "drafts/").otherwise(""), F.lit("x"), key.cast("string"), F.lit(".md"))
+    return table(spark, sf_dir, "orders").select(path.alias("path")).withColumn("excluded", X.excluded(F.col("path"), ["n3", "**/drafts", "x?1.md"]))
+
+
+@query("""SELECT page_id, sha256('a' || page_id || ' <lone> bold  end') AS digest FROM pages""")
+def stripped_markup(spark, sf_dir):
+    text = F.concat(F.lit("a"), F.col("page_id").cast("string"), F.lit(" <lone> <b>bold</b> <!-- gone --> <img src='x'>end</p>"))
+    return table(spark, sf_dir, "pages").select("page_id", markup.stripped(text).alias("t")).select("page_id", F.sha2("t", 256).alias("digest"))
+
+
+@query("SELECT item_id AS case_id, text AS query FROM benchmark")
+def case_round_trip(spark, sf_dir):
+    """Cases as JSON lines, read again."""
+    at = f"{work.folder(spark)}/cases-{uuid.uuid4().hex}"
+    cases = table(spark, sf_dir, "benchmark").select(F.format_string("%09d", "item_id").alias("case_id"), F.col("text").alias("query"))
+    files.write_cases(cases, at)
+    return files.read_cases(spark, at, "case_id string, query string").select(F.col("case_id").cast("long").alias("case_id"), "query")
+
+
+@query("SELECT 1 AS version, count(*) AS documents, 'publish' AS action FROM documents UNION ALL SELECT 2, count(*) FILTER (WHERE doc_id % 2 = 0), 'publish' FROM documents UNION ALL SELECT 3, count(*), 'rollback' FROM documents")
+def snapshot_history(spark, sf_dir):
+    """Two snapshots and a rollback, as the journal and the current tables tell it."""
+    s = files.Snapshots(spark, f"{work.folder(spark)}/snapshots-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    first = s.publish({"documents": docs})
+    s.publish({"documents": docs.filter("doc_id % 2 = 0")})
+    s.rollback(first)
+    out = None
+    for n, line in enumerate(s.journal(), 1):
+        one = s.read("documents", line["snapshot"]).agg(F.lit(n).alias("version"), F.count("*").alias("documents"), F.lit(line["action"]).alias("action"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# Chats, judgements and the bound of a query
+
+
+@query("""WITH h AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1)
+SELECT c.conv_id, c.turn::VARCHAR AS node, CASE WHEN c.conv_id % 2 = 0 OR c.turn <= last - 1 THEN 'message' ELSE 'abandoned_branch' END AS kind FROM conversations c JOIN h USING (conv_id)""")
+def conversation_branches(spark, sf_dir):
+    """Turns as a tree, each under the one before; of odd conversations the head is the last but one."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    nodes = c.select("conv_id", F.col("turn").cast("string").alias("node"), before.cast("string").alias("parent"))
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    head = c.join(last, "conv_id").filter(F.when(F.col("conv_id") % 2 == 0, F.col("turn") == F.col("last")).otherwise(F.col("turn") <= F.col("last") - 1))
+    return chats.branch(nodes, head.groupBy("conv_id").agg(F.max("turn").cast("string").alias("node")))
+
+
+@query(f"WITH {_MSG} SELECT conv_id, string_agg('{{\"role\":\"' || role || '\",\"seq\":' || seq || ',\"text\":' || to_json(text)::VARCHAR || '}}', chr(10) ORDER BY seq) AS payload FROM msg GROUP BY conv_id")
+def chat_jsonl_export(spark, sf_dir):
+    return chats.export(_messages(spark, sf_dir), "jsonl")
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS ts FROM documents) SELECT doc_id, greatest(len(ts) - 64, 0) AS unread, len(list_slice(ts, 1, 64)) AS terms, list_extract(list_slice(ts, 1, 64), -1) AS last FROM t""")
+def bounded_queries(spark, sf_dir):
+    """Whole documents as questions: what is read of them."""
+    d = table(spark, sf_dir, "documents")
+    seen = F.regexp_extract_all(X.bounded(F.col("text")), F.lit(f"({X.TERM})"), 1)
+    return d.select("doc_id", X.unread_terms(F.col("text")).cast("long").alias("unread"), seen.alias("ts")).select("doc_id", "unread", F.size("ts").cast("long").alias("terms"), F.try_element_at("ts", F.lit(-1)).alias("last"))
+
+
+@query("""WITH c AS (SELECT item_id AS path, item_id % 2 = 0 AS cites, item_id % 3 = 0 AS known FROM benchmark)
+SELECT path, 2::BIGINT AS claims, CAST(CASE WHEN cites AND known THEN 1 ELSE 0 END AS BIGINT) AS cited, CAST(CASE WHEN cites AND NOT known THEN 1 ELSE 0 END AS BIGINT) AS dangling, CASE WHEN cites AND known THEN 0.5 ELSE 0.0 END AS coverage, false AS holds FROM c""")
+def citation_contract(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("path"))
+    name = F.concat(F.lit("n"), F.col("path").cast("string"))
+    first = F.concat(F.lit("one claim of five words "), F.when(F.col("path") % 2 == 0, F.concat(F.lit("[["), name, F.lit("#part|shown]]"))).otherwise(""))
+    claims = b.select("path", F.lit(1).alias("ord"), first.alias("text")).unionByName(b.select("path", F.lit(2).alias("ord"), F.lit("another claim of five words").alias("text"))).unionByName(b.select("path", F.lit(3).alias("ord"), F.lit("too short").alias("text")))
+    return citations.contract(claims, b.filter("path % 3 = 0").select(name.alias("name")), sections_only=b.select(name.alias("name")))
+
+
+@query(f"""WITH {_ARMS}, p AS (SELECT case_id, round(CAST(ideal AS DOUBLE) / CAST(ideal AS DOUBLE), 6) AS perfect FROM ideal) SELECT case_id, greatest(g, l) AS best, perfect FROM both2 JOIN p USING (case_id)""")
+def oracle_ceilings(spark, sf_dir):
+    """The best arm of each case, and the perfect order's score."""
+    grep, words, _ = _arms(spark, sf_dir)
+    arms = grep.select("case_id", F.lit("grep").alias("arm"), "ndcg").unionByName(words.select("case_id", F.lit("lexical").alias("arm"), "ndcg"))
+    return retrieval.oracle_ceiling(arms, grep.select("case_id", F.lit(1.0).alias("perfect")))
+
+
+@query("""WITH s AS (SELECT o_custkey AS doc, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS ord, CAST(floor(o_totalprice % 50) AS BIGINT) AS tokens FROM orders), t AS (SELECT doc, sum(tokens) AS total, count(*) AS n FROM s GROUP BY doc),
+c AS (SELECT s.doc, s.ord, sum(s2.tokens) AS run FROM s JOIN s s2 ON s.doc = s2.doc AND s2.ord <= s.ord GROUP BY 1, 2)
+SELECT t.doc AS task_id, CASE WHEN total <= 90 THEN n - 1 ELSE greatest(coalesce((SELECT max(ord) FROM c WHERE c.doc = t.doc AND run <= 90), 0), 0) END AS last FROM t""")
+def window_reads(spark, sf_dir):
+    """A customer is a document whose orders are its sections; the first is the hit, so a window grows downwards only."""
+    o = table(spark, sf_dir, "orders")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    sections = o.select(F.col("o_custkey").alias("doc"), place.alias("ord"), F.floor(F.col("o_totalprice") % 50).cast("long").alias("tokens"))
+    hits = sections.filter("ord = 0").select(F.col("doc").alias("task_id"), "doc", "ord")
+    return citations.window_reads(sections, hits, 90).select("task_id", F.col("last").cast("long").alias("last"))
