@@ -80,7 +80,7 @@ class PerfectHash:
 
 
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 100_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 250_000) -> None:
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
