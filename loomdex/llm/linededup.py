@@ -14,7 +14,8 @@ With ``words``, shorter runs (single lines, pairs) count too if all their lines
 words together; each is a fingerprint and a run of its own. Runs are written as position * min_run + length, with
 length 0 for min_run.
 
-Only hashes move before the last step: 64 bits a line for fingerprints, 128 bits for equal runs.
+Only hashes move before the last step: 64 bits for a fingerprint, 128 for a run, from 128 bits of each of its lines.
+Texts are deleted by those 128 bits without being compared.
 
 Defined results: a null or empty text has one empty line at most and stays as it is. Rows that share a doc_id count
 as one document with several texts: none of them is earlier than another at the same line. A null doc_id comes last.
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import as_bytes, batch, id_key, materialize
+from loomdex.llm.common import arrow_map, as_bytes, batch, id_key, materialize, settled
 
 MIN_RUN = 3
 GRAM = 2
@@ -39,7 +40,7 @@ _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    """A second 64-bit hash from the first."""
+    """The bits of each value mixed."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -65,8 +66,9 @@ def winnow(g: np.ndarray, w: int) -> np.ndarray:
 
 
 def line_hashes(text: bytes) -> np.ndarray:
+    """128 bits of each line, as two columns."""
     lines = text.split(b"\n")
-    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), np.uint64).reshape(-1, 2)
 
 
 def word_counts(text: bytes, most: int) -> np.ndarray:
@@ -95,7 +97,7 @@ def hashed(docs: DataFrame, id_col: str, text_col: str, words: int | None = None
             yield batch(schema, b.column(0), b.column(1), [line_hashes(t).tobytes() for t in texts], counts)
 
     rows = docs.filter(F.col(text_col) != "").select(id_key(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "id long, version long, lines binary, words binary").dropDuplicates(["id", "version"])
+    return rows.transform(arrow_map, run, "id long, version long, lines binary, words binary").dropDuplicates(["id", "version"])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, gram: int = GRAM, words: int | None = None) -> DataFrame:
@@ -111,7 +113,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, v, data, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h, counts = np.frombuffer(data, np.uint64), np.frombuffer(counts, np.uint8)
+                h, counts = np.frombuffer(data, np.uint64)[::2], np.frombuffer(counts, np.uint8)
                 g = grams(h, gram)
                 at = winnow(g, min_run - gram + 1)
                 fp, at = [g[at]], [at * min_run]
@@ -123,8 +125,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if len(at):
                     yield batch(marks, fp.view(np.int64), [i] * len(at), [v] * len(at), at.astype(np.int32))
 
-    found = lines.mapInArrow(coalesced(fingerprints, marks), "fp long, id long, version long, pos int")
-    twice = found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+    found = materialize(lines.transform(arrow_map, coalesced(fingerprints, marks), "fp long, id long, version long, pos int"), "line-marks")
+    # written, so that both sides of the join are plain exchanges and Spark splits the rows of a common fingerprint
+    twice = materialize(found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "line-marks-twice")
     # a document's own fingerprints are at most as many as its lines
     held = found.join(twice, "fp").groupBy("id", "version").agg(F.collect_list("pos").alias("at"))
     runs_schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("version", pa.int64()), ("pos", pa.int32())])
@@ -132,7 +135,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, v, data, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = np.frombuffer(data, np.uint64)
+                h, second = np.frombuffer(data, np.uint64).reshape(-1, 2).T
                 at = np.array(at, np.int64)
                 for n in (min_run, *shorter):
                     starts = at[at % min_run == n % min_run] // min_run
@@ -141,11 +144,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         starts = starts[(starts >= 0) & (starts <= len(h) - min_run)]
                     if len(starts):
                         run = (starts * min_run + n % min_run).astype(np.int32)
-                        yield batch(runs_schema, grams(h, n)[starts].view(np.int64), grams(mixed(h), n, _B2)[starts].view(np.int64), [i] * len(starts), [v] * len(starts), run)
+                        yield batch(runs_schema, grams(h, n)[starts].view(np.int64), grams(second, n, _B2)[starts].view(np.int64), [i] * len(starts), [v] * len(starts), run)
 
-    runs = lines.join(held, ["id", "version"]).select("id", "version", "lines", "at").mapInArrow(coalesced(extend, runs_schema), "h1 long, h2 long, id long, version long, pos int")
+    runs = lines.join(held, ["id", "version"]).select("id", "version", "lines", "at").transform(arrow_map, coalesced(extend, runs_schema), "h1 long, h2 long, id long, version long, pos int")
     runs = materialize(runs, "line-runs")
-    first = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).filter("n > 1")
+    first = materialize(runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).filter("n > 1"), "line-runs-first")
     later = runs.join(first, ["h1", "h2"]).filter(F.struct("id", "pos") > F.col("first"))
     covered = later.groupBy("id", "version").agg(F.collect_list("pos").alias("starts"))
     begin, length = (lambda s: F.floor(s / min_run).cast("int")), (lambda s: F.when(s % min_run == 0, min_run).otherwise(s % min_run))
@@ -189,7 +192,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep_emptied: whether documents that lose all their lines stay, with an empty text; words: of shorter runs that count."""
     names, own = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
     i, t = own[names.index(id_col)], own[names.index(text_col)]
-    drop = repeated_lines(docs, id_col, text_col, min_run, gram, words).withColumnsRenamed({"id": "_id", "version": "_version", "lines": "_drop"})
+    drop = settled(lambda: repeated_lines(docs, id_col, text_col, min_run, gram, words), "repeated-lines").withColumnsRenamed({"id": "_id", "version": "_version", "lines": "_drop"}).hint("merge")  # one plan at every size
     rows = docs.toDF(*own).withColumn("_id", id_key(i)).withColumn("_version", F.xxhash64(t)).join(drop, ["_id", "_version"], "left")
     # only the texts that lose lines go through Python
     text = F.when(F.col("_drop").isNull(), F.col(t)).otherwise(_without()(F.when(F.col("_drop").isNotNull(), F.col(t)), F.col("_drop")))
