@@ -77,15 +77,12 @@ def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
     _SCRATCH.append([])
     try:
         df = make()
+    finally:
         own = _SCRATCH.pop()
-        out = materialize(df, tag)
-        for path in own:
-            remove(df.sparkSession, path)
-        return out
-    except BaseException:
-        if _SCRATCH:
-            _SCRATCH.pop()
-        raise
+    out = materialize(df, tag)
+    for path in own:
+        remove(df.sparkSession, path)
+    return out
 
 
 #: The most bytes of a batch that goes to a Python worker: batches of long texts fill memory outside the JVM's heap.
