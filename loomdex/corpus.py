@@ -140,6 +140,8 @@ class Corpus:
         no_custody = self.spark.createDataFrame([], "digest string, content string") if custody is None else custody
         return store.doctor(self.table("documents"), self.table("chunks"), no_vectors, no_custody, self.table("quarantine"))
 
-    def export(self, path: str) -> None:
+    def export(self, path: str, source: str | DataFrame | None = None) -> None:
+        """The tables as JSON lines; with the folder or table they were built from, only if that hasn't changed since."""
+        now = files.scan(self.spark, source) if isinstance(source, str) else source
         tables = {n: self.table(n) for n in ("documents", "chunks", "edges", "symbols", "entities")}
-        files.export_bundle(tables, {"documents": ["path"], "chunks": ["anchor"], "edges": ["edge_id"], "symbols": ["symbol"], "entities": ["slug"]}, path)
+        files.export_bundle(tables, {"documents": ["path"], "chunks": ["anchor"], "edges": ["edge_id"], "symbols": ["symbol"], "entities": ["slug"]}, path, now)

@@ -312,3 +312,19 @@ def observe(tables: dict[str, DataFrame]) -> DataFrame:
         got = got.select(F.lit(name).alias("name"), "rows", "digest")
         out = got if out is None else out.unionByName(got)
     return out
+
+
+def fingerprints(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """name, digest: content, which a change of chunking leaves alone, and chunks, which it doesn't. documents: doc_id, path;
+    chunks: doc_id, ordinal, text, chunk_digest."""
+    words = F.array_join(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""), " ")
+    bodies = chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", words.alias("w")))), lambda x: x["w"]), " ").alias("body"))
+    content = corpus_digest(documents.join(bodies, "doc_id", "left").select("path", F.coalesce("body", F.lit("")).alias("body")), "path", "body")
+    return content.select(F.lit("content").alias("name"), "digest").unionByName(corpus_digest(chunks, "anchor", "chunk_digest").select(F.lit("chunks").alias("name"), "digest"))
+
+
+def case_set_digest(cases: DataFrame) -> DataFrame:
+    """digest of a judged set: its cases by id, whatever their order and that of their slices and judgements. cases: case_id,
+    query, slices, answerable, relevant (anchor, grade)."""
+    plain = F.to_json(F.struct(F.col("case_id").alias("a"), F.col("query").alias("b"), F.array_sort("slices").alias("c"), F.col("answerable").alias("d"), F.array_sort("relevant").alias("e")), {"ignoreNullFields": "false"})
+    return corpus_digest(cases.select("case_id", plain.alias("case")), "case_id", "case")

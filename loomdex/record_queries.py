@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomdex.functions import text as X
 from loomdex.functions import work
 from loomdex.operators import chats, citations, evaluation, graph, lexical, lifecycle, retrieval, store, symbols
-from loomdex.plans.search import Settings, add_only, graph_candidates, search, symbol_candidates
+from loomdex.plans.search import Settings, add_only, graph_candidates, notes, search, symbol_candidates, tool
 from loomdex.queries import _GREP, _MSG, _SLICED, ASKED, _asked, _bm25_sql, _cases, _corpus, _labelled, _messages, _rows, _slices, query
 from loomdex.sources import files, frontmatter, html, markdown, markup
 from loomdex.sources.tables import table
@@ -754,3 +754,93 @@ def window_reads(spark, sf_dir):
     sections = o.select(F.col("o_custkey").alias("doc"), place.alias("ord"), F.floor(F.col("o_totalprice") % 50).cast("long").alias("tokens"))
     hits = sections.filter("ord = 0").select(F.col("doc").alias("task_id"), "doc", "ord")
     return citations.window_reads(sections, hits, 90).select("task_id", F.col("last").cast("long").alias("last"))
+
+
+# What is left of the inventory
+
+
+@query("""WITH @CORPUS@, b AS (SELECT doc_id, string_agg(list_aggregate(list_filter(string_split_regex(trim(text, chr(32) || chr(9)), '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> ''), 'string_agg', ' '), ' ' ORDER BY ordinal) AS body FROM chunks GROUP BY 1),
+e AS (SELECT 'content' AS name, sha256(path) AS o, sha256(coalesce(body, '')) AS c FROM docs LEFT JOIN b USING (doc_id) UNION ALL SELECT 'chunks', sha256(anchor), sha256('sha256:' || sha256(text)) FROM chunks),
+f AS (SELECT name, substr(o, 1, 1) AS b, sha256(string_agg(o || c, chr(10) ORDER BY o, c)) AS d FROM e GROUP BY 1, 2) SELECT name, sha256(string_agg(b || d, chr(10) ORDER BY b)) AS digest FROM f GROUP BY name""")
+def corpus_fingerprints(spark, sf_dir):
+    docs, chunks = _corpus(spark, sf_dir)
+    return lifecycle.fingerprints(docs, chunks)
+
+
+@query("""WITH m AS (SELECT l_orderkey AS archive, CASE WHEN l_linenumber = 3 AND l_orderkey % 5 = 0 THEN '../x' ELSE 'a/' || l_linenumber END AS name, l_linenumber AS packed, CASE WHEN l_orderkey % 7 = 0 THEN l_linenumber * 300 ELSE l_linenumber * 2 END AS unpacked FROM lineitem),
+b AS (SELECT archive, count(*) AS n, sum(unpacked) AS u, sum(packed) AS p, bool_or(name = '../x') AS esc FROM m GROUP BY 1)
+SELECT archive, CASE WHEN n > 6 THEN 'too many members' WHEN u > 8000 THEN 'too large' WHEN u > 200 * greatest(p, 1) THEN 'ratio' WHEN esc THEN 'path escapes' END AS refused FROM b""")
+def archive_guards(spark, sf_dir):
+    line, order = F.col("l_linenumber"), F.col("l_orderkey")
+    members = table(spark, sf_dir, "lineitem").select(order.alias("archive"), F.when((line == 3) & (order % 5 == 0), "../x").otherwise(F.concat(F.lit("a/"), line.cast("string"))).alias("name"), line.cast("long").alias("packed"), F.when(order % 7 == 0, line * 300).otherwise(line * 2).cast("long").alias("unpacked"))
+    return lifecycle.archive_guard(members, most=6, size=8000)
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT doc_id, contains(line, 'e') AS cited FROM l WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 5)
+SELECT doc_id, count(*) AS claims, count(*) FILTER (WHERE cited) AS cited, round(count(*) FILTER (WHERE cited) / count(*), 6) AS coverage FROM c GROUP BY doc_id""")
+def claim_coverage(spark, sf_dir):
+    """Lines of five words are claims; those with an e count as cited."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    return evaluation.coverage(lines.withColumn("cited", F.col("text").contains("e")))
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_custkey AS task_id, max(CASE WHEN k = CAST(floor(0.95 * (n - 1)) AS BIGINT) THEN v END) AS p95, median(v)::DOUBLE AS middle FROM r GROUP BY 1""")
+def task_percentiles(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("task_id"))
+    return o.agg(evaluation.p95_floor(F.collect_list("o_orderkey")).alias("p95"), F.median("o_orderkey").alias("middle"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'new' ELSE 'old' END AS version FROM embeddings UNION ALL SELECT vec_id + 1000000, 'new' FROM embeddings WHERE vec_id % 10 = 0")
+def vectors_upsert(spark, sf_dir):
+    """Every tenth vector is put again, twice, and as many new ones."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_digest"), F.lit("m").alias("model_id"), F.lit("old").alias("version"))
+    again = v.filter("chunk_digest % 10 = 0").withColumn("version", F.lit("new"))
+    new = again.withColumn("chunk_digest", F.col("chunk_digest") + 1_000_000)
+    return store.put_vectors(v, again.unionByName(again).unionByName(new)).select(F.col("chunk_digest").alias("vec_id"), "version")
+
+
+@query(f"""WITH {_MSG} SELECT conv_id, sha256(string_agg('## ' || seq || ' · ' || role || chr(10) || chr(10) || regexp_replace(text, '(^|\\n)(#{{1,6}}(?:\\s|$)|(?:=+|-+)[ \\t]*(?:\\n|$))', '\\1\\\\\\2', 'g'), chr(10) || chr(10) ORDER BY seq) || chr(10)) AS digest FROM msg GROUP BY conv_id""")
+def projected_chats(spark, sf_dir):
+    return chats.projected(_messages(spark, sf_dir)).select("conv_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS doc, l_linenumber AS ord, 's' || (l_suppkey % 4) || CASE WHEN l_partkey % 2 = 0 THEN '#m' || (l_partkey % 3) ELSE '' END AS target FROM lineitem), f AS (SELECT doc, target, min(ord) AS ord FROM c WHERE contains(target, '#') GROUP BY 1, 2)
+SELECT doc, string_agg(target, ',' ORDER BY ord, target) AS citations FROM f GROUP BY doc""")
+def message_citations(spark, sf_dir):
+    part = F.col("l_partkey")
+    target = F.concat(F.lit("s"), (F.col("l_suppkey") % 4).cast("string"), F.when(part % 2 == 0, F.concat(F.lit("#m"), (part % 3).cast("string"))).otherwise(""))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord"), target.alias("target"))
+    return citations.message_citations(rows).select("doc", F.array_join("citations", ",").alias("citations"))
+
+
+@query(f"""WITH {_POOL}, sh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha256(query_id || '/' || anchor)) AS d FROM k), mx AS (SELECT k.query_id, k.anchor, k.rank, k.score, sh.depth FROM k JOIN sh ON sh.query_id = k.query_id AND sh.d = k.rank),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score * pow(1.2::DOUBLE, greatest(depth - 1, 0)), 6) DESC, rank) AS n FROM mx) {_TEN}""")
+def rerank_shuffled_control(spark, sf_dir):
+    return retrieval.shuffled_boost(_pool(spark, sf_dir), 1.2).select("query_id", "anchor", "rank")
+
+
+@query("""WITH b AS (SELECT item_id, item_id % 3 = 0 AS rel, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ts FROM benchmark), k AS (SELECT *, list_slice(ts, 1, 64) AS s FROM b)
+SELECT item_id AS query_id, CAST(1 + 1 + CASE WHEN len(ts) > 64 THEN 1 ELSE 0 END + CASE WHEN len(list_filter(s, lambda t: t IN (@STOP@))) > 0 AND len(list_filter(s, lambda t: t NOT IN (@STOP@))) > 0 THEN 1 ELSE 0 END + CASE WHEN rel THEN 0 ELSE 1 END AS INTEGER) AS notes FROM k""")
+def search_notes(spark, sf_dir):
+    """How many remarks a search makes on each item; every third is asked with what is related."""
+    asked = _asked(spark, sf_dir)
+    return notes(asked, Settings(graph=True), related=F.col("query_id") % 3 == 0).select("query_id", F.size("notes").alias("notes"))
+
+
+@query(_LEGS + """, hit AS (SELECT l.query_id, l.rank, l.anchor, len(regexp_extract_all(c.text, '""" + X.ESTIMATE.replace("'", "''") + """')) AS cost FROM lex l JOIN chunks c USING (anchor) WHERE l.rank <= 5),
+w AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS run FROM hit) SELECT query_id, rank, false AS omitted FROM w""")
+def search_tool(spark, sf_dir):
+    """The search as a call: five results under a budget that holds them all, each with its citation."""
+    docs, chunks = _corpus(spark, sf_dir)
+    cited = chunks.withColumn("first", F.lit(1)).withColumn("last", F.lit(2))
+    settings = Settings(stems=False, include_candidate=True, weights={"text": 1.0})
+    got = tool(_led(spark, sf_dir), docs, cited, settings, k=5, budget=1_000_000)
+    return got.filter("uri like 'doc:%lines=1-2&digest=%'").select("query_id", "rank", "omitted")
+
+
+@query("WITH @CORPUS@ SELECT path, count(*) AS anchors, min(anchor) AS first FROM chunks WHERE doc_id % 3 = 0 GROUP BY path")
+def anchors_of_paths(spark, sf_dir):
+    docs, chunks = _corpus(spark, sf_dir)
+    got = lexical.anchors_of_paths(chunks.withColumn("path", X.document_of(F.col("anchor"))), docs.filter("doc_id % 3 = 0"))
+    return got.select("path", F.size("anchors").cast("long").alias("anchors"), F.element_at("anchors", 1).alias("first"))

@@ -62,9 +62,10 @@ def write_cases(cases: DataFrame, path: str, key: str = "case_id") -> None:
     export_jsonl(cases, [key], path)
 
 
-def export_bundle(tables: dict[str, DataFrame], orders: dict[str, list[str]], path: str) -> None:
+def export_bundle(tables: dict[str, DataFrame], orders: dict[str, list[str]], path: str, current: DataFrame | None = None) -> None:
     """A JSON lines folder for each table that orders names, whole or not at all: documents whose chunks disagree with their
-    count, or chunks without a document, are a torn state and refused."""
+    count, or chunks without a document, are a torn state and refused. current: path, source_digest of the sources as they
+    are now; a document that was compiled from other bytes, or whose source is gone, is refused too."""
     docs, chunks = tables["documents"], tables["chunks"]
     if not chunks.join(docs.select("doc_id"), "doc_id", "left_anti").isEmpty():
         raise ValueError("there are chunks without a document")
@@ -72,6 +73,10 @@ def export_bundle(tables: dict[str, DataFrame], orders: dict[str, list[str]], pa
         counted = docs.select("doc_id", "chunks").join(chunks.groupBy("doc_id").agg(F.count("*").alias("_n")), "doc_id", "left")
         if not counted.filter(F.col("chunks") != F.coalesce("_n", F.lit(0))).isEmpty():
             raise ValueError("documents and their chunks disagree")
+    if current is not None:
+        now = docs.select("path", "content_digest").join(current.select("path", "source_digest"), "path", "left")
+        if not now.filter(~F.col("content_digest").eqNullSafe(F.col("source_digest"))).isEmpty():
+            raise ValueError("sources have changed since they were compiled")
     for name, order in orders.items():
         export_jsonl(tables[name], order, f"{path}/{name}")
 

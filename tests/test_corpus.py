@@ -70,6 +70,8 @@ def test_life(spark, corpus):
     assert "candidate/summary.md" in {r.path for r in corpus.table("documents").collect()}
     corpus.export(str(corpus.folder / "out"))
     assert spark.read.text(str(corpus.folder / "out" / "documents")).count() == 5
+    with pytest.raises(ValueError):
+        corpus.export(str(corpus.folder / "other"), spark.createDataFrame([("a", "b")], "path string, source_digest string"))
     corpus.snapshots.rollback(first)
     assert corpus.snapshots.current() == first
 
