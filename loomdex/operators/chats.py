@@ -104,18 +104,33 @@ LABELS = ("you", "user", "me", "human", "chatgpt", "claude", "gemini", "assistan
 CONVENTIONS = ("callout", "heading", "bold")
 
 
+def known_role(word: Column) -> Column:
+    return F.lower(word).isin(*[w for ws in ROLES.values() for w in ws])
+
+
+def marker(line: Column) -> Column:
+    """struct of convention, label, rest of a line that marks a turn, else null: a callout in a quote, > [!user]; a heading
+    whose text begins with a role, perhaps after a number, ## 3. User; or a role before a colon, perhaps in bold, **User:**."""
+    quote = F.ltrim(F.ltrim(line, F.lit(">")))
+    callout = F.regexp_extract(quote, r"^\[!(\w+)\]", 1)
+    title = F.regexp_replace(F.ltrim(line, F.lit("#")), "^ +([0-9]+ *[.·-])? *", "")
+    heading = F.regexp_extract(title, r"^(\w+)", 1)
+    head = F.split_part(line, F.lit(":"), F.lit(1))
+    bold = F.trim(F.trim(head, F.lit("* ")))
+    after = lambda text, n: F.substring(text, n, F.length(text))
+    found = lambda name, word, rest: F.struct(F.lit(name).alias("convention"), word.alias("label"), rest.alias("rest"))
+    is_heading = line.startswith("#") & (F.length(line) - F.length(F.ltrim(line, F.lit("#"))) <= 6) & F.ltrim(line, F.lit("#")).startswith(" ")
+    is_bold = (F.length(head) < F.length(line)) & ~line.startswith(" ") & (F.length(head) - F.length(F.ltrim(head, F.lit("*"))) <= 2)
+    return (
+        F.when(line.startswith(">") & quote.startswith("[!") & known_role(callout), found("callout", callout, F.trim(after(quote, F.length(callout) + 4))))
+        .when(is_heading & known_role(heading), found("heading", heading, F.trim(after(title, F.length(heading) + 1))))
+        .when(is_bold & known_role(bold), found("bold", bold, F.ltrim(after(line, F.length(head) + 2), F.lit("* "))))
+    )
+
+
 def marked(lines: DataFrame) -> DataFrame:
-    """lines (doc, n, line) with convention, label, rest: for each line the convention of its marker, if it is one: a
-    callout > [!user], a heading ## 3. User, or a label **User:** or User:."""
-    words = "|".join(w for ws in ROLES.values() for w in ws)
-    forms = {
-        "callout": rf"(?i)^>\s*\[!({words})\]\s*(.*)$", "heading": rf"(?i)^#{{1,6}}\s+(?:\d+\s*[·.-]\s*)?({words})\b\s*[:·-]?\s*(.*)$", "bold": rf"(?i)^\*{{0,2}}({words})\*{{0,2}}\s*:\s*(?:\*\*\s*)?(.*)$",
-    }
-    kind, label, rest = (F.lit(None).cast("string") for _ in range(3))
-    for name in reversed(CONVENTIONS):
-        hit = F.col("line").rlike(forms[name])
-        kind, label, rest = F.when(hit, name).otherwise(kind), F.when(hit, F.regexp_extract("line", forms[name], 1)).otherwise(label), F.when(hit, F.regexp_extract("line", forms[name], 2)).otherwise(rest)
-    return lines.withColumns({"convention": kind, "label": label, "rest": rest})
+    """lines (doc, n, line) with convention, label, rest of those that mark a turn."""
+    return lines.withColumn("_m", marker(F.col("line"))).select(*lines.columns, "_m.convention", "_m.label", "_m.rest")
 
 
 def convention(lines: DataFrame) -> DataFrame:
@@ -137,7 +152,7 @@ def marked_turns(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("_ended", F.max((~quote & ~F.col("_start")).cast("int")).over(Window.partitionBy("doc", "turn").orderBy("n")))
     rows = rows.filter((F.col("_c") != "callout") | F.col("_c").isNull() | (F.col("turn") == 0) | (F.col("_ended") == 0))
     body = F.when(F.col("_start"), F.when(F.col("_c") == "bold", F.col("rest")).otherwise("")).when(F.col("_c") == "callout", F.regexp_replace("line", r"^\s*> ?", "")).otherwise(F.col("line"))
-    model = F.when(F.col("_start") & (F.col("_c") != "bold"), F.regexp_replace("rest", r"^[\s(\[·:-]+|[\s)\]]+$", ""))
+    model = F.when(F.col("_start") & (F.col("_c") != "bold"), F.trim(F.col("rest"), F.lit(" ()[]·:-")))  # what stands in brackets or after a dash
     by = rows.groupBy("doc", "turn").agg(F.first(F.when(F.col("_start"), F.col("label")), True).alias("label"), F.first(model, True).alias("model"), F.array_sort(F.collect_list(F.struct("n", body.alias("b")))).alias("l"))
     text = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["b"]), "\n"), r"^\n+|\n+$", "")
     out = by.select("doc", "turn", F.when(F.col("turn") == 0, "fragment").otherwise(role(F.coalesce("label", F.lit("")))).alias("role"), F.when(F.col("model") != "", F.col("model")).alias("model"), text.alias("text")).filter("turn > 0 or trim(text) <> ''")
@@ -147,15 +162,17 @@ def marked_turns(lines: DataFrame) -> DataFrame:
 def pasted(lines: DataFrame) -> DataFrame:
     """doc, seq, role, text, reason of pasted chats: turns begin at labels; with fewer than two the whole is one fragment,
     as roles aren't guessed. lines: doc, n, line."""
-    form = rf"(?i)^\s*({'|'.join(LABELS)})(?:\s+said)?\s*:\s*(.*)$"
-    hit = F.col("line").rlike(form)
+    head = F.split_part("line", F.lit(":"), F.lit(1))
+    who = F.regexp_replace(F.lower(F.trim(head)), " +said$", "")
+    hit = who.isin(*LABELS) & (F.length(head) < F.length("line"))
+    said = F.ltrim(F.substring(F.col("line"), F.length(head) + 2, F.length("line")))
     w = Window.partitionBy("doc")
     rows = lines.withColumn("_hit", hit).withColumn("labels", F.sum(F.col("_hit").cast("int")).over(w))
     rows = rows.withColumn("turn", F.when(F.col("labels") < 2, 0).otherwise(F.sum(F.col("_hit").cast("int")).over(w.orderBy("n"))))
     starts = F.col("_hit") & (F.col("labels") >= 2)
     by = rows.groupBy("doc", "turn").agg(
-        F.first(F.when(starts, F.regexp_extract("line", form, 1)), True).alias("label"), F.max("labels").alias("labels"),
-        F.array_sort(F.collect_list(F.struct("n", F.when(starts, F.regexp_extract("line", form, 2)).otherwise(F.col("line")).alias("b")))).alias("l"),
+        F.first(F.when(starts, who), True).alias("label"), F.max("labels").alias("labels"),
+        F.array_sort(F.collect_list(F.struct("n", F.when(starts, said).otherwise(F.col("line")).alias("b")))).alias("l"),
     )
     text = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["b"]), "\n"), r"^\n+|\n+$", "")
     reason = F.when(F.col("labels") < 2, "unsegmented_paste").when(F.col("turn") == 0, "preamble")
@@ -168,10 +185,9 @@ def reader(texts: DataFrame, column: str = "text", mapped: bool = False) -> Data
     a mapping), a transcript with two markers or more, and any other text that isn't JSON as a paste; else null."""
     t = F.col(column)
     is_json = F.try_parse_json(t).isNotNull()
-    words = "|".join(w for ws in ROLES.values() for w in ws)
-    marker = rf"(?im)^(?:>\s*\[!(?:{words})\]|#{{1,6}}\s+(?:\d+\s*[·.-]\s*)?(?:{words})\b|\*{{0,2}}(?:{words})\*{{0,2}}\s*:)"
+    markers = F.size(F.filter(F.split(t, "\n"), lambda line: marker(line).isNotNull()))
     kind = F.when(is_json & t.contains('"mapping"') & t.contains('"current_node"'), "chatgpt").when(is_json & t.contains('"chat_messages"'), "claude")
-    kind = kind.when(is_json & F.lit(mapped), "generic").when(~is_json & (F.regexp_count(t, F.lit(marker)) >= 2), "transcript").when(~is_json & (F.trim(t) != ""), "pasted")
+    kind = kind.when(is_json & F.lit(mapped), "generic").when(~is_json & (markers >= 2), "transcript").when(~is_json & (F.trim(t) != ""), "pasted")
     return texts.withColumn("reader", kind)
 
 
