@@ -314,10 +314,10 @@ def repeats(rec: np.ndarray, words: list[bytes], length: int) -> np.ndarray:
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_size: int = 150_000, heavy: int | None = None) -> tuple[DataFrame, int]:
     """(for each cell its texts, what was told of its prefixes, and what repeats from elsewhere; how many groups there are):
     see remove_repeats. group_size: about how many prefixes a group gets; heavy: how many suffixes a prefix may have
-    before it is grown (by default an eighth of a group)."""
+    before it is grown (by default half of what a group gets)."""
     if not GRAM < length <= GRAM + 64:
         raise ValueError(f"a window has {GRAM + 1} to {GRAM + 64} words")
-    spark, heavy = docs.sparkSession, heavy or max(2, group_size // 8)
+    spark, heavy = docs.sparkSession, heavy or max(2, group_size // 2)
     at = store(cells(docs, id_col, text_col, length), "cells")
     held = spark.read.schema("cell long, words long, ids binary, texts binary").parquet(at)
     # of w values in a row about two in w + 1 are minima
