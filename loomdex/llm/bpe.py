@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from loomdex.llm.common import arrow_map, batch, long_lists
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: How many words, and how many pre-tokens, a generation of the memo holds.
+MEMO = 100_000
 #: Fixed value: the characters with the Unicode property White_Space.
 WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pattern for which a single space between others always begins a pre-token; others are matched as a whole.
@@ -80,7 +82,7 @@ class PerfectHash:
 
 
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 250_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO) -> None:
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -204,9 +206,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @cache
-def codec(path: str, pattern: str) -> Codec:
-    """One for each worker process; the vocabulary is part of the installation, not of the data."""
-    return Codec(load_ranks(path), pattern)
+def codec(path: str, pattern: str, memo: int = MEMO) -> Codec:
+    """One for each task of a worker; the vocabulary is part of the installation, not of the data."""
+    return Codec(load_ranks(path), pattern, memo)
 
 
 @cache
@@ -238,6 +240,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
                 lists = long_lists(np.concatenate(ids).astype(np.int32), [len(x) for x in ids], pa.int32())
                 yield batch(schema, part.column(0), lists)
+        del c
+        codec.cache_clear()  # a worker outlives its task, and other work needs the memory meanwhile
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, "doc_id long, ids array<int>")
 
@@ -272,14 +276,15 @@ def digests(encoded: DataFrame, vocabulary: tuple[str, str] | None = None) -> Da
     return encoded.transform(arrow_map, run, DIGESTS_SQL)
 
 
-def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None, keep_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None, keep_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """The digests of encode(docs), and with keep_ids the ids, in one pass: each text is encoded and its ids decoded by
-    the same worker, so a task holds one codec and the ids don't pass through the JVM in between."""
+    the same worker, so a task holds one codec and the ids don't pass through the JVM in between. memo: the size of a
+    generation of the memo, which trades a worker's memory against its time, never results."""
     how = vocabulary or default_codec()
     schema = pa.schema(DIGESTS + [("ids", pa.list_(pa.int32()))] * keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(*how)
+        c = codec(*how, memo)
         decimal = decimals(c.bytes_of)
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -288,6 +293,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 got = [digest(x, c.bytes_of, decimal) for x in ids]
                 lists = [long_lists(np.concatenate(ids).astype(np.int32), [len(x) for x in ids], pa.int32())] if keep_ids else []
                 yield batch(schema, part.column(0), *([g[k] for g in got] for k in range(3)), *lists)
+        del c
+        codec.cache_clear()  # a worker outlives its task, and other work needs the memory meanwhile
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, DIGESTS_SQL + ", ids array<int>" * keep_ids)
 

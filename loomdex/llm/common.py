@@ -7,6 +7,7 @@ Intermediate results that cut lineage are Parquet tables under the folder that t
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import operator
 import re
@@ -96,11 +97,19 @@ def arrow_map(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from of(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its task, and keeps what its allocators hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
