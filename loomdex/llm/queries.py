@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomdex.llm import ann, bpe, langid, linededup, mixing, simhash, substring, tokenfile, topk, warc
+from loomdex.llm import ann, bpe, chat, langid, linededup, mixing, simhash, spelling, substring, tokenfile, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -19,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": tokenfile.op8_token_output,
     "op9_mixing": mixing.op9_mixing,
     "op10_substring": substring.op10_substring,
+    "op11_chat_format": chat.op11_chat_format,
+    "op12_spelling": spelling.op12_spelling,
 }
 
 _OP1 = """
@@ -72,4 +75,41 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(spots)
 FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_warc": _OP1, "op2_line_dedup": _OP2, "op3_topk": _OP3, "op9_mixing": _OP9, "op10_substring": _OP10}
+_OP11 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+m AS (SELECT *, md5(role || chr(10) || text) AS h, regexp_replace(text, '([<\[])(\\*(?:s>|/s>|INST\]|/INST\]|SYS\]|/SYS\]|TOOL\]|/TOOL\]|ROLE\]|/ROLE\]|/TURN\]))', '\1\\\2', 'g') AS escaped FROM c),
+t AS (SELECT *, CASE role WHEN 'user' THEN length('[INST]  [/INST]') WHEN 'assistant' THEN length('<s></s>') WHEN 'system' THEN length('[SYS]  [/SYS]') WHEN 'tool' THEN length('[TOOL]  [/TOOL]')
+        ELSE length('[ROLE]  [/ROLE] [/TURN]') + length(regexp_replace(role, '([<\[])(\\*(?:s>|/s>|INST\]|/INST\]|SYS\]|/SYS\]|TOOL\]|/TOOL\]|ROLE\]|/ROLE\]|/TURN\]))', '\1\\\2', 'g')) END AS around,
+        CASE WHEN role IN ('user', 'assistant', 'system', 'tool') THEN role[1] ELSE 'x' END AS letter FROM m),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, h) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, h) FILTER (role = 'assistant'), '') AS learnt, CAST(sum(length(escaped) + around) AS BIGINT) AS formatted_chars,
+        string_agg(letter, '' ORDER BY turn NULLS LAST, h) AS letters, list(coalesce(turn, 9223372036854775807) ORDER BY turn NULLS LAST, h) AS turns FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars,
+  regexp_full_match(letters, 's?ua(ta|ua)*') AS valid, turns[length(regexp_extract(letters, '^(s?(u(a(ta|ua)*[tu]?)?)?)', 1)) + 1] AS broke_at
+FROM g
+"""
+
+#: CRC-32 by halves of a byte: the remainders of 0 to 15.
+_CRC = str([functools.reduce(lambda c, _: c >> 1 ^ 0xEDB88320 * (c & 1), range(4), x) for x in range(16)])
+
+_OP12 = (
+    r"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+r AS (SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS hx FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+h AS (SELECT run, k, xor(list_reduce([4294967295] || list_transform(range(length(hx) // 2), lambda i: CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT)),
+        lambda c, b: xor(xor(xor(c, b) >> 4, CRC[(xor(c, b) & 15) + 1]) >> 4, CRC[(xor(xor(c, b) >> 4, CRC[(xor(c, b) & 15) + 1]) & 15) + 1])), 4294967295) AS crc FROM r),
+d AS (SELECT CASE WHEN crc % 199 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+x AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS key FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT w.word, x.word AS other FROM w JOIN x ON w.word = x.key UNION SELECT x.word, w.word FROM w JOIN x ON w.word = x.key
+      UNION SELECT a.word, b.word FROM x a JOIN x b ON a.key = b.key AND a.i = b.i AND a.word <> b.word),
+b AS (SELECT p.word, count(*) AS n_near, arg_min(other, (-w.n, other)) AS other, max(w.n) AS other_n FROM p JOIN w ON p.other = w.word GROUP BY p.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM w LEFT JOIN b ON w.word = b.word),
+c AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT c.word, f.form, depth + 1 FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL),
+t AS (SELECT word, arg_max(root, depth) AS root FROM c GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN t ON f.word = t.word
+"""
+).replace("CRC[", _CRC + "[")
+
+ORACLES: dict[str, str] = {"op1_warc": _OP1, "op2_line_dedup": _OP2, "op3_topk": _OP3, "op9_mixing": _OP9, "op10_substring": _OP10, "op11_chat_format": _OP11, "op12_spelling": _OP12}
