@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomdex.llm import ann, bpe, chat, langid, linededup, mixing, simhash, spelling, substring, tokenfile, topk, warc
+from loomdex.llm import align, ann, bpe, chat, langid, linededup, mixing, simhash, spelling, substring, tokenfile, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring": substring.op10_substring,
     "op11_chat_format": chat.op11_chat_format,
     "op12_spelling": spelling.op12_spelling,
+    "op13_align": align.op13_align,
 }
 
 _OP1 = """

@@ -14,6 +14,7 @@ their names.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,28 +73,45 @@ def mixed(h: np.ndarray, length: int) -> np.ndarray:
 
 
 def keyed(table: DataFrame) -> DataFrame:
-    """word, n, keys (array<long>): the word's own key first, then those of its deletions."""
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """id, length, keys (array<long>) of rows (id, word): the word's own key first, then those of its deletions."""
+    schema = pa.schema([("id", pa.int64()), ("length", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                found = [keys_of(np.frombuffer(w.encode("utf-32-le"), np.uint32)) for w in part.column(0).to_pylist()]
-                yield batch(schema, part.column(0), part.column(1), long_lists(np.concatenate(found).view(np.int64), np.array([len(k) for k in found]), pa.int64()))
+                points = [np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in part.column(1).to_pylist()]
+                found = [keys_of(p) for p in points]
+                yield batch(schema, part.column(0), list(map(len, points)), long_lists(np.concatenate(found).view(np.int64), np.array([len(k) for k in found]), pa.int64()))
 
-    return table.select("word", "n").transform(arrow_map, run, "word string, n long, keys array<long>")
+    return table.select("id", "word").transform(arrow_map, run, "id long, length long, keys array<long>")
 
 
 def near_pairs(table: DataFrame) -> DataFrame:
-    """word, other, other_n: all ordered pairs of near words of the table (word, n)."""
-    own = keyed(table).select("word", "n", F.posexplode("keys").alias("pos", "key"))
-    left = own.select("word", "key", (F.col("pos") == 0).alias("whole"))
-    right = own.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "key", (F.col("pos") == 0).alias("other_whole"))
+    """word, other, other_n: all ordered pairs of near words of the table (word, n). Keys move with numbers of the words,
+    and words meet only where two of them have met at a key."""
+    numbered = materialize(table.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "numbered")
+    own = keyed(numbered).select("id", "length", F.posexplode("keys").alias("pos", "key"))
+    left = own.select("id", "length", "key", (F.col("pos") == 0).alias("whole"))
+    right = own.select(F.col("id").alias("other_id"), F.col("length").alias("other_length"), "key", (F.col("pos") == 0).alias("other_whole"))
     # an insertion meets at the shorter word's own key, a replacement at a deletion of both
-    alike = (F.col("whole") != F.col("other_whole")) | (~F.col("whole") & ~F.col("other_whole") & (F.length("word") == F.length("other")))
-    met = left.join(right, "key").filter(alike & (F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
-    return met.select("word", "other", "other_n").distinct()
+    alike = (F.col("whole") != F.col("other_whole")) | (~F.col("whole") & ~F.col("other_whole") & (F.col("length") == F.col("other_length")))
+    met = left.join(right, "key").filter(alike & (F.col("id") != F.col("other_id"))).select("id", "other_id").distinct()
+    others = numbered.select(F.col("id").alias("other_id"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    return met.join(numbered.select("id", "word"), "id").join(others, "other_id").select("word", "other", "other_n").transform(arrow_map, verified, "word string, other string, other_n long")
+
+
+def one_apart(a: str, b: str) -> bool:
+    """Whether one code point is inserted, deleted or replaced, in time proportional to the words' length."""
+    a, b = sorted((a, b), key=len)
+    k = len(os.path.commonprefix([a, b]))
+    return len(b) - len(a) <= 1 and a != b and a[k + (len(a) == len(b)) :] == b[k + 1 :]
+
+
+def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (word, other, ...) whose words are one apart."""
+    for b in batches:
+        yield b.filter(pa.array(map(one_apart, b.column(0).to_pylist(), b.column(1).to_pylist()), pa.bool_()))
 
 
 def variants(table: DataFrame) -> DataFrame:
