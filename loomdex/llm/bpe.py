@@ -15,6 +15,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -39,9 +40,14 @@ class PerfectHash:
     """A minimal perfect hash by displacement: keys go to buckets; each bucket, largest first, takes the first
     displacement that puts all its keys into free slots. There are as many slots as keys."""
 
-    def __init__(self, keys: list[bytes], load: int = 2) -> None:
+    def __init__(self, keys: list[bytes], load: int = 2, built: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """built: the displacements and each slot's key, as found for these keys before."""
         self.n = n = max(1, len(keys))
         self.m = max(1, n // load)
+        if built is not None:
+            self.shift, self.slot_key = built[0], built[1].tolist()
+            self.shifts = self.shift.tolist()
+            return
         hashes = [self.hashes(k) for k in keys]
         buckets: list[list[int]] = [[] for _ in range(self.m)]
         for k, (h, _, _) in enumerate(hashes):
@@ -81,21 +87,38 @@ class PerfectHash:
         return -1 - d if d < 0 else (b + d * c) % self.n
 
 
+@dataclass(frozen=True)
+class Tables:
+    """What a codec finds out about its vocabulary, as arrays: the hash's displacements and slots, and of each merge the ids that meet
+    and the id they give. Made once on the driver and sent with the tasks, which read the vocabulary's file only."""
+
+    shift: np.ndarray
+    slots: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    merged: np.ndarray
+
+    @staticmethod
+    def of(ranks: dict[bytes, int]) -> Tables:
+        found = PerfectHash(list(ranks))
+        merges = [(a, b, r) for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None]
+        return Tables(found.shift, np.array(found.slot_key, np.int32), *np.array(merges, np.int32).reshape(-1, 3).T)
+
+
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO, tables: Tables | None = None) -> None:
+        tables = tables or Tables.of(ranks)
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         tokens = list(ranks)
-        self.hash = PerfectHash(tokens)
+        self.hash = PerfectHash(tokens, built=(tables.shift, tables.slots))
         self.entry = [tokens[k] if k >= 0 else None for k in self.hash.slot_key]
         self.rank = [ranks[tokens[k]] if k >= 0 else -1 for k in self.hash.slot_key]
         #: By left id: the ids that may follow it, and what the two merge into.
         self.follows: list[dict[int, int]] = [{} for _ in self.bytes_of]
-        for t, r in ranks.items():
-            for k in range(1, len(t)):
-                if (left := ranks.get(t[:k])) is not None and (right := ranks.get(t[k:])) is not None:
-                    self.follows[left][right] = r
+        for x, y, r in zip(tables.left.tolist(), tables.right.tolist(), tables.merged.tolist(), strict=True):
+            self.follows[x][y] = r
         self.byte_id = [ranks.get(bytes([b]), -1) for b in range(256)]
         self.split = regex.compile(rust_classes(pattern)).findall
         #: Two generations of what was met lately: words with the space before them, and pre-tokens.
@@ -106,6 +129,10 @@ class Codec:
         self.memo_size = memo
         self.spaced = pattern == SPACED
 
+    def forget(self) -> None:
+        """Empty the memo: a worker outlives its task, and other work needs the memory meanwhile."""
+        self.chunks, self.older_chunks, self.pieces, self.older_pieces = {}, {}, {}, {}
+
     def lookup(self, piece: bytes) -> int:
         """The id of a vocabulary entry, or -1."""
         s = self.hash.slot(piece)
@@ -206,9 +233,20 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @cache
-def codec(path: str, pattern: str, memo: int = MEMO) -> Codec:
-    """One for each task of a worker; the vocabulary is part of the installation, not of the data."""
-    return Codec(load_ranks(path), pattern, memo)
+def tables_of(path: str) -> Tables:
+    return Tables.of(load_ranks(path))
+
+
+_CODECS: dict[tuple[str, str], Codec] = {}
+
+
+def codec(path: str, pattern: str, memo: int = MEMO, tables: Tables | None = None) -> Codec:
+    """One for a worker; the vocabulary is part of the installation, not of the data. tables: as the driver has made them."""
+    if (path, pattern) not in _CODECS:
+        _CODECS[path, pattern] = Codec(load_ranks(path), pattern, memo, tables or tables_of(path))
+    found = _CODECS[path, pattern]
+    found.memo_size = memo
+    return found
 
 
 @cache
@@ -230,18 +268,17 @@ def default_codec() -> tuple[str, str]:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, ids (array<int>): a row for each row of docs."""
     how = vocabulary or default_codec()
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    schema, tables = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), tables_of(how[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(*how)
+        c = codec(*how, tables=tables)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
                 lists = long_lists(np.concatenate(ids).astype(np.int32), [len(x) for x in ids], pa.int32())
                 yield batch(schema, part.column(0), lists)
-        del c
-        codec.cache_clear()  # a worker outlives its task, and other work needs the memory meanwhile
+        c.forget()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, "doc_id long, ids array<int>")
 
@@ -281,10 +318,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the same worker, so a task holds one codec and the ids don't pass through the JVM in between. memo: the size of a
     generation of the memo, which trades a worker's memory against its time, never results."""
     how = vocabulary or default_codec()
-    schema = pa.schema(DIGESTS + [("ids", pa.list_(pa.int32()))] * keep_ids)
+    schema, tables = pa.schema(DIGESTS + [("ids", pa.list_(pa.int32()))] * keep_ids), tables_of(how[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(*how, memo)
+        c = codec(*how, memo, tables)
         decimal = decimals(c.bytes_of)
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -293,8 +330,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 got = [digest(x, c.bytes_of, decimal) for x in ids]
                 lists = [long_lists(np.concatenate(ids).astype(np.int32), [len(x) for x in ids], pa.int32())] if keep_ids else []
                 yield batch(schema, part.column(0), *([g[k] for g in got] for k in range(3)), *lists)
-        del c
-        codec.cache_clear()  # a worker outlives its task, and other work needs the memory meanwhile
+        c.forget()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, DIGESTS_SQL + ", ids array<int>" * keep_ids)
 
