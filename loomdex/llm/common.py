@@ -73,14 +73,35 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(store(df, tag))
 
 
-def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
-    """What make() gives, computed once; the work tables that it stored on the way go."""
+#: Bytes of an input, as stored, for each bucket of a table; a bucket is read by one task.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 1 << 17
+
+
+def bucket_count(df: DataFrame) -> int:
+    """As many buckets as the bytes of df's files ask for, and as a shuffle has partitions at least."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET_BYTES), MOST_BUCKETS) if size < 1 << 62 else 0)
+
+
+def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
+    """df, computed once and written in buckets of key, so that what groups or joins by key doesn't move it again."""
+    spark, path, table = df.sparkSession, f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}", f"loomdex_{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # found keeps what it has learnt from it, and the files stay
+    return found
+
+
+def settled(make: Callable[[], DataFrame], tag: str, keep: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
+    """What make() gives, computed once, by default as a table read again; the work tables that it stored on the way go."""
     _SCRATCH.append([])
     try:
         df = make()
     finally:
         own = _SCRATCH.pop()
-    out = materialize(df, tag)
+    out = keep(df, tag)
     for path in own:
         remove(df.sparkSession, path)
     return out

@@ -13,13 +13,12 @@ a group has none, its records are responses. Other columns of the input are not
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import work_dir
+from loomdex.llm.common import bucket_count, work_dir
 
 #: Fixed value: the base32 alphabet of RFC 4648.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -73,7 +72,7 @@ def write_archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z
     """
     spark = pages.sparkSession
     rows = with_payload(pages, **names)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(pages)
     sha1, size = base32_sha1(F.col("payload")).alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes")
     met = rows.groupBy("digest").agg(F.first("payload").alias("payload"), F.min("page_id").alias("first_page")).select("digest", "payload", size, sha1, "first_page")
     table = f"loomdex_payloads_{uuid.uuid4().hex}"
@@ -94,10 +93,12 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = [s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
     name = next(n for n in found if n.startswith("payloads-"))
-    table = f"loomdex_payloads_{hashlib.sha256(path.encode()).hexdigest()[:32]}"
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({PAYLOADS}) USING parquet CLUSTERED BY (digest) INTO {int(name.split('-')[1])} BUCKETS LOCATION '{path}/{name}'")
+    table = f"loomdex_payloads_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {table} ({PAYLOADS}) USING parquet CLUSTERED BY (digest) INTO {int(name.split('-')[1])} BUCKETS LOCATION '{path}/{name}'")
     sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), "digest")).cast("binary"))
-    return spark.table(table).select("digest", sound.alias("payload"), "payload_bytes", "payload_digest")
+    found = spark.table(table).select("digest", sound.alias("payload"), "payload_bytes", "payload_digest")
+    spark.sql(f"DROP TABLE {table}")  # found keeps what it has learnt from it, and the files stay
+    return found
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

@@ -75,6 +75,25 @@ def test_warc(spark):
     assert all(bytes(r.record).count(b"WARC-Target-URI") <= 1 for r in records)
 
 
+def test_warc_path_again(spark, tmp_path):
+    """One path, written, read, removed and written with other buckets in one session; a payload of many megabytes; no table stays."""
+    import shutil
+
+    pages = [(1, "u", "x" * 5_000_000), (2, "u", "x" * 5_000_000), (3, "u", "y")]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, rows in (("3", pages), ("5", pages[1:])):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a"))
+            got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.read_archive(spark, str(tmp_path / "a")).drop("record").collect()}
+            assert got == {k: (len(h), "revisit" if k == 2 and n == "3" else "response") for k, _, h in rows}
+            assert len(list((tmp_path / "a").glob(f"payloads-{n}"))) == 1
+            shutil.rmtree(tmp_path / "a")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("loomdex_payloads")]
+
+
 def test_warc_empty_and_damage(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(empty).count() == 0
