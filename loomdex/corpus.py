@@ -9,11 +9,14 @@ from loomdex.functions import text as X
 from loomdex.functions.work import written
 from loomdex.operators import citations, evaluation, graph, lifecycle, store, symbols
 from loomdex.plans import search as searching
-from loomdex.sources import files, frontmatter, markdown
+from loomdex.sources import files, frontmatter, markdown, snapshots
 
 #: How the references of the node table are called as links.
 LINKS = {"link": "markdown_link", "wikilink": "wikilink", "embed": "embed"}
 
+#: The keys of a corpus's tables, by which versions are compared.
+KEYS = {"documents": ["path"], "nodes": ["path", "ord"], "chunks": ["anchor"], "symbols": ["symbol"], "entities": ["slug"]}
+
 
 def compile_documents(docs: DataFrame, env_digest: str = "", namespace: str = "default") -> dict[str, DataFrame]:
     """documents, nodes, chunks, edges, symbols, entities and quarantine of docs (path, text, perhaps source_digest).
@@ -75,7 +78,7 @@ class Corpus:
     """A folder of snapshots under root; every question is asked of the current one."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.snapshots = spark, files.Snapshots(spark, root)
+        self.spark, self.snapshots = spark, snapshots.Snapshots(spark, root)
 
     def table(self, name: str) -> DataFrame:
         return self.snapshots.read(name)
@@ -83,7 +86,7 @@ class Corpus:
     def build(self, source: str | DataFrame, exclude: tuple[str, ...] = (), config: dict | None = None) -> str:
         """Compile a folder, or a table of path and text, and publish it; the snapshot's id."""
         docs = files.scan(self.spark, source, exclude) if isinstance(source, str) else source
-        return self.snapshots.publish(compile_documents(docs, X.digest_of(config or {})), config)
+        return self.snapshots.publish(compile_documents(docs, X.digest_of(config or {})), config, KEYS)
 
     def plan(self, source: str | DataFrame, exclude: tuple[str, ...] = (), config: dict | None = None) -> DataFrame:
         """path, doc_id, action: what a build would do to each document."""
@@ -124,9 +127,10 @@ class Corpus:
         return self._moved(lifecycle.demote(self.table("documents"), paths))
 
     def _moved(self, documents: DataFrame) -> str:
-        """A snapshot with these documents; what else there is stays, under the ids that don't change."""
-        names = ("nodes", "chunks", "edges", "symbols", "entities", "quarantine", "warnings")
-        return self.snapshots.publish({"documents": documents.select(*self.table("documents").columns), **{n: self.table(n) for n in names}})
+        """A snapshot with these documents; what else there is stays as it is, shared with the version before."""
+        at = self.snapshots.current()
+        others = [n for n in self.snapshots.manifest(at)["tables"] if n != "documents"]
+        return self.snapshots.publish({"documents": documents.select(*self.table("documents").columns)}, keys=KEYS, keep=others, base=at)
 
     def evaluate(self, cases: DataFrame, k: int = 10, **settings) -> DataFrame:
         """case_id, ndcg, recall, rr of judged cases (as from files.read_cases)."""

@@ -12,7 +12,7 @@ from loomdex.functions import work
 from loomdex.operators import chats, citations, evaluation, graph, lexical, lifecycle, retrieval, store, symbols
 from loomdex.plans.search import Settings, add_only, graph_candidates, notes, search, symbol_candidates, tool
 from loomdex.queries import _GREP, _MSG, _SLICED, ASKED, _asked, _bm25_sql, _cases, _corpus, _labelled, _messages, _rows, _slices, query
-from loomdex.sources import files, frontmatter, html, markdown, markup
+from loomdex.sources import files, frontmatter, html, markdown, markup, snapshots
 from loomdex.sources.tables import table
 
 # Derived legs: every third item asks for what is related, every second names an identifier. An identifier's symbol is
@@ -637,14 +637,11 @@ def entity_table(spark, sf_dir):
 # Sources
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'bom' ELSE 'utf-8' END AS rule, sha256(html) AS digest FROM pages""")
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'bom' WHEN regexp_matches(html[:4096], '(?i)<meta[^>]+charset=["'']?utf-?8') THEN 'declared' ELSE 'utf-8' END AS rule, sha256(html) AS digest FROM pages""")
 def decoded_pages(spark, sf_dir):
-    """Pages as bytes, every third with a byte order mark, read as text again."""
+    """Every page as bytes, every third with a byte order mark, read as text again: by the mark, the declared charset, or as UTF-8."""
     raw = F.concat(F.when(F.col("page_id") % 3 == 0, F.lit(b"\xef\xbb\xbf")).otherwise(F.lit(b"")), F.encode("html", "UTF-8"))
-    plain = table(spark, sf_dir, "pages").filter(~F.coalesce(F.lower("html").rlike("<meta[^>]+charset"), F.lit(False)))
-    other = table(spark, sf_dir, "pages").join(plain.select("page_id"), "page_id", "left_anti")
-    got = plain.select("page_id", html.decoded(raw).alias("d")).select("page_id", "d.rule", F.sha2("d.text", 256).alias("digest"))
-    return got.unionByName(other.select("page_id", F.when(F.col("page_id") % 3 == 0, "bom").otherwise("utf-8").alias("rule"), F.sha2("html", 256).alias("digest")))
+    return table(spark, sf_dir, "pages").select("page_id", html.decoded(raw).alias("d")).select("page_id", "d.rule", F.sha2("d.text", 256).alias("digest"))
 
 
 _EXT = ("md", "html", "pdf", "docx", "txt", "rst")
@@ -686,7 +683,7 @@ def case_round_trip(spark, sf_dir):
 @query("SELECT 1 AS version, count(*) AS documents, 'publish' AS action FROM documents UNION ALL SELECT 2, count(*) FILTER (WHERE doc_id % 2 = 0), 'publish' FROM documents UNION ALL SELECT 3, count(*), 'rollback' FROM documents")
 def snapshot_history(spark, sf_dir):
     """Two snapshots and a rollback, as the journal and the current tables tell it."""
-    s = files.Snapshots(spark, f"{work.folder(spark)}/snapshots-{uuid.uuid4().hex}")
+    s = snapshots.Snapshots(spark, f"{work.folder(spark)}/snapshots-{uuid.uuid4().hex}")
     docs = table(spark, sf_dir, "documents").select("doc_id")
     first = s.publish({"documents": docs})
     s.publish({"documents": docs.filter("doc_id % 2 = 0")})
@@ -698,6 +695,16 @@ def snapshot_history(spark, sf_dir):
     return out
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 13 = 0 THEN 'added' ELSE 'changed' END AS change FROM documents WHERE doc_id % 11 = 0 OR doc_id % 13 = 0 OR (doc_id % 7 = 0 AND text <> upper(text))""")
+def snapshot_changes(spark, sf_dir):
+    """What differs between two versions, by their digest trees: some documents are edited, some removed, some added."""
+    s = snapshots.Snapshots(spark, f"{work.folder(spark)}/snapshots-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    first = s.publish({"documents": docs.filter("doc_id % 13 <> 0 or doc_id % 11 = 0")}, keys={"documents": ["doc_id"]})
+    edited = docs.filter("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")))
+    return s.changes("documents", first, s.publish({"documents": edited}, keys={"documents": ["doc_id"]}))
+
+
 # Chats, judgements and the bound of a query
 
 

@@ -1,11 +1,10 @@
-"""Files in and out: corpus scan, JSONL bundles, judged cases, and content-addressed and versioned tables."""
+"""Files in and out: corpus scan, JSONL bundles, judged cases, and content-addressed tables."""
 
 from __future__ import annotations
 
 import json
 import os
 import re
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,106 +93,3 @@ def read_cases(spark: SparkSession, path: str, schema: str = CASES, key: str = "
     if twice:
         raise ValueError(f"{key} occurs more than once: {', '.join(str(r[0]) for r in twice)}")
     return rows
-
-
-class Snapshots:
-    """Immutable versions of named tables under a root, with a manifest, a journal and a pointer to the current one.
-
-    A version is written whole before the pointer moves, so readers see the old or the new, never a part.
-    """
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def _put(self, path: str, text: str) -> None:
-        fs, at = self._fs(f"{path}.{uuid.uuid4().hex}")
-        out = fs.create(at, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        # one rename, which replaces: readers see the old text or the new one
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(at, self._fs(path)[1], options)
-
-    def _get(self, path: str) -> str | None:
-        fs, at = self._fs(path)
-        if not fs.exists(at):
-            return None
-        return "\n".join(r[0] for r in self.spark.read.text(path).collect())
-
-    def current(self) -> str | None:
-        return self._get(f"{self.root}/CURRENT")
-
-    def publish(self, tables: dict[str, DataFrame], config: dict | None = None) -> str:
-        parent = self.current()
-        staged = f"{self.root}/staged-{uuid.uuid4().hex}"
-        digests, counts = {}, {}
-        for name, rows in sorted(tables.items()):
-            rows.write.parquet(f"{staged}/{name}")
-            got = self.spark.read.parquet(f"{staged}/{name}")
-            # a sum of row hashes doesn't depend on the rows' order
-            n, total = got.agg(F.count("*"), F.sum(F.xxhash64(*[F.to_json(F.struct(*sorted(got.columns)))]).cast("decimal(38,0)"))).first()
-            counts[name], digests[name] = n, f"{n}:{total or 0}"
-        manifest = {"parent": parent, "counts": counts, "digests": digests, "config": X.digest_of(config or {})}
-        snapshot = X.digest_of(manifest)[7:23]
-        fs, at = self._fs(staged)
-        _, to = self._fs(f"{self.root}/snapshot={snapshot}")
-        if fs.exists(to):
-            fs.delete(at, True)
-        elif not fs.rename(at, to):
-            raise OSError(f"{to} cannot be made")
-        self._put(f"{self.root}/manifest-{snapshot}.json", json.dumps({"snapshot": snapshot, **manifest}, sort_keys=True))
-        self._note("publish", snapshot)
-        self._put(f"{self.root}/CURRENT", snapshot)
-        return snapshot
-
-    def _note(self, action: str, snapshot: str) -> None:
-        """A line of the journal, a file of its own, as stores can't append."""
-        n = len(self.journal())
-        self._put(f"{self.root}/journal/{n:012d}-{action}.json", json.dumps({"n": n, "action": action, "snapshot": snapshot}, sort_keys=True))
-
-    def journal(self) -> list[dict]:
-        """What was published and rolled back, in order."""
-        fs, at = self._fs(f"{self.root}/journal")
-        if not fs.exists(at):
-            return []
-        names = sorted(s.getPath().toString() for s in fs.listStatus(at) if s.getPath().getName().endswith(".json"))
-        return [json.loads(self._get(n)) for n in names]
-
-    def manifest(self, snapshot: str) -> dict:
-        return json.loads(self._get(f"{self.root}/manifest-{snapshot}.json") or "null") or {}
-
-    def read(self, name: str, snapshot: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/snapshot={snapshot or self.current()}/{name}")
-
-    def rollback(self, snapshot: str) -> None:
-        """Make an older version current, after its digests are recomputed and agree with its manifest."""
-        for name, digest in self.manifest(snapshot)["digests"].items():
-            got = self.read(name, snapshot)
-            n, total = got.agg(F.count("*"), F.sum(F.xxhash64(*[F.to_json(F.struct(*sorted(got.columns)))]).cast("decimal(38,0)"))).first()
-            if f"{n}:{total or 0}" != digest:
-                raise ValueError(f"{name} of {snapshot} has changed")
-        self._note("rollback", snapshot)
-        self._put(f"{self.root}/CURRENT", snapshot)
-
-    def listed(self) -> list[str]:
-        fs, at = self._fs(self.root)
-        return sorted(s.getPath().getName().removeprefix("snapshot=") for s in fs.listStatus(at) if s.getPath().getName().startswith("snapshot="))
-
-    def collect(self, keep: int) -> list[str]:
-        """Delete all but the current version and its newest ``keep - 1`` ancestors; returns what went."""
-        live, at = [], self.current()
-        while at and len(live) < keep:
-            live.append(at)
-            at = self.manifest(at).get("parent")
-        gone = [s for s in self.listed() if s not in live]
-        for s in gone:
-            for p in (f"{self.root}/snapshot={s}", f"{self.root}/manifest-{s}.json"):
-                fs, path = self._fs(p)
-                fs.delete(path, True)
-        return gone

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomdex.functions import text as X
 from loomdex.operators import chats, citations, evaluation, graph, lexical, lifecycle, retrieval, store, symbols
 from loomdex.plans.search import Settings, explain, notes, search, tool
-from loomdex.sources import files, html, markdown, markup
+from loomdex.sources import files, html, markdown, markup, snapshots
 from loomdex.streaming import watch
 
 
@@ -277,7 +277,7 @@ def test_files(spark, tmp_path):
 
 
 def test_snapshots_keep_a_journal(spark, tmp_path):
-    s = files.Snapshots(spark, str(tmp_path / "s"))
+    s = snapshots.Snapshots(spark, str(tmp_path / "s"))
     one, two = s.publish({"t": table(spark, [(1,)], "a int")}), s.publish({"t": table(spark, [(2,)], "a int")})
     s.rollback(one)
     assert s.current() == one and [(j["action"], j["snapshot"]) for j in s.journal()] == [("publish", one), ("publish", two), ("rollback", one)]

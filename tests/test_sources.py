@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomdex.operators import chats, evaluation, lifecycle
-from loomdex.sources import files, html, markdown
+from loomdex.sources import files, html, markdown, snapshots
 from loomdex.streaming import watch
 
 DOC = """---
@@ -96,7 +96,7 @@ def test_scan_export_and_cases(spark, tmp_path):
 
 
 def test_snapshots(spark, tmp_path):
-    s = files.Snapshots(spark, str(tmp_path / "snap"))
+    s = snapshots.Snapshots(spark, str(tmp_path / "snap"))
     one = s.publish({"t": spark.createDataFrame([(1, "a")], "k int, v string")})
     two = s.publish({"t": spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string")})
     assert s.current() == two and s.read("t").count() == 2 and s.read("t", one).first().v == "a" and s.manifest(two)["parent"] == one
