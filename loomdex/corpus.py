@@ -6,72 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
-from loomdex.functions.work import written
-from loomdex.operators import citations, evaluation, graph, lifecycle, store, symbols
+from loomdex.operators import citations, evaluation, graph, lifecycle, store
 from loomdex.plans import search as searching
-from loomdex.sources import files, frontmatter, markdown, snapshots
-
-#: How the references of the node table are called as links.
-LINKS = {"link": "markdown_link", "wikilink": "wikilink", "embed": "embed"}
-
-#: The keys of a corpus's tables, by which versions are compared.
-KEYS = {"documents": ["path"], "nodes": ["path", "ord"], "chunks": ["anchor"], "symbols": ["symbol"], "entities": ["slug"]}
-
-
-def compile_documents(docs: DataFrame, env_digest: str = "", namespace: str = "default") -> dict[str, DataFrame]:
-    """documents, nodes, chunks, edges, symbols, entities and quarantine of docs (path, text, perhaps source_digest).
-
-    Documents are read one by one, in a map; links, symbols and entities are resolved over all of them, in joins. A
-    document whose frontmatter or blocks can't be read, or whose id another path has, is in quarantine and nowhere else.
-    """
-    docs = docs if "source_digest" in docs.columns else docs.withColumn("source_digest", X.digest(F.col("text")))
-    head = written(frontmatter.frontmatter(docs).withColumn("doc_id", F.coalesce("id", X.derived_ulid(F.col("path")))), "frontmatter")
-    first = head.groupBy("doc_id").agg(F.min("path").alias("_first"))
-    nodes = written(markdown.nodes(docs), "nodes")
-    broken = nodes.filter("kind = 'opaque' and error is not null").select("path", F.col("error").alias("reason"), F.lit("parse").alias("stage"))
-    wrong = head.filter("error is not null").select("path", F.col("error").alias("reason"), F.lit("guard").alias("stage"))
-    twice = head.join(first, "doc_id").filter("path <> _first").select("path", F.concat(F.lit("the id is that of "), "_first").alias("reason"), F.lit("guard").alias("stage"))
-    quarantine = written(broken.unionByName(wrong).unionByName(twice).groupBy("path").agg(F.min(F.struct("stage", "reason")).alias("q")).select("path", "q.stage", "q.reason"), "quarantine")
-    sound = lambda df: df.join(quarantine.select("path"), "path", "left_anti")
-    head, nodes = sound(head), sound(nodes)
-    cut = written(sound(markdown.chunks(docs)).join(head.select("path", "doc_id"), "path"), "chunks")
-
-    title = nodes.filter("kind = 'heading' and level = 1").groupBy("path").agg(F.min_by("text", "ord").alias("_h1"))
-    chunk_stats = cut.groupBy("path").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
-    node_stats = nodes.groupBy("path").agg(F.count_if(F.col("kind") == "heading").alias("headings"), F.sum(F.size(F.filter("refs", lambda r: r["kind"].isin(*LINKS)))).alias("links_out"))
-    documents = head.join(title, "path", "left").join(chunk_stats, "path", "left").join(node_stats, "path", "left").join(docs.select("path", F.col("source_digest").alias("content_digest")), "path")
-    origin = F.coalesce("origin", F.lit("authored"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    documents = documents.select(
-        "doc_id", "path", store.title_of(F.col("title"), F.col("_h1"), F.col("path")).alias("title"), F.lit(namespace).alias("namespace"), "collection", "tags", "aliases", "supersedes", lifecycle.status_of(F.col("path")).alias("status"),
-        store.trust_class(origin).alias("trust"), origin.alias("origin"), "source", "source_digest", "source_trust", "verified_by", "verified_at", "grounding", "properties", "warnings", "content_digest", F.lit(env_digest).alias("env_digest"),
-        zero("tokens"), zero("headings"), zero("chunks"), zero("links_out"),
-    )
-    documents = written(documents, "documents")
-
-    spans = cut.select("path", "anchor", F.col("first").alias("_a"), F.col("last").alias("_b"))
-    placed = nodes.join(spans, "path", "left").filter(F.col("_a").isNull() | ((F.col("first") >= F.col("_a")) & (F.col("first") <= F.col("_b"))))
-    placed = nodes.join(placed.groupBy("path", "ord").agg(F.min("anchor").alias("anchor")), ["path", "ord"], "left")
-    refs = placed.select("path", "anchor", F.col("ord").alias("node"), F.posexplode("refs").alias("k", "r")).filter(F.col("r.kind").isin(*LINKS))
-    kind = F.create_map(*[F.lit(x) for pair in LINKS.items() for x in pair])
-    links = refs.select("path", "anchor", (F.col("node").cast("long") * (1 << 32) + F.col("k")).alias("ord"), kind[F.col("r.kind")].alias("kind"), F.col("r.target").alias("target"))
-    origins, sources = documents.select("path", "origin"), documents.filter("source is not null").select("path", F.col("source").alias("source_uri"))
-    aliases = documents.select(F.explode("aliases").alias("alias"), "path")
-    headings = nodes.filter("kind = 'heading'").select("path", X.slugged(F.col("text")).alias("slug"))
-    resolved = written(graph.fragments(graph.resolve(links, documents.select("path"), aliases, sources), headings, X.slugged(F.col("_fragment"))), "links")
-    linked = graph.edges(resolved, origins, per_place=True).drop("ord")
-    declared = documents.select("path", F.explode("supersedes").alias("target"))
-    found = written(symbols.extract(placed), "symbols")
-    named = symbols.declare_entities(documents, nodes.select("path", F.explode("refs").alias("r")).filter("r.kind = 'tag_ref'").select("path", F.col("r.target").alias("tag")).distinct())
-    entities = written(symbols.fold_entities(named), "entities")
-    names = entities.select("slug", F.explode(F.concat(F.array("name"), F.col("aliases"))).alias("name"))
-    passages = cut.select(F.col("path").alias("doc_id"), "anchor", F.col("first").alias("ordinal"), "text", "kind")
-    homes = entities.select("slug", F.explode("doc_refs").alias("doc_id"))
-    mentions = graph.mention_edges(graph.entity_mentions(names, passages, declared=homes, overlapping=False), F.col("doc_id"))
-    edges = graph.merge_edges(linked, graph.supersedes(declared, documents.select("path"), origins), graph.part_of(linked), graph.derived_from(linked, origins), symbols.symbol_edges(found), mentions)
-    unresolved = resolved.filter("to_path is null and reason <> 'external' or reason = 'no such heading'").select("path", "target", "reason")
-    gaps = found.filter("role = 'gap'").select("path", F.col("lang").alias("target"), F.lit("no grammar").alias("reason")).distinct()
-    return {"documents": documents, "nodes": nodes, "chunks": cut, "edges": edges, "symbols": symbols.fold(found), "entities": entities, "quarantine": quarantine, "warnings": unresolved.unionByName(gaps)}
+from loomdex.plans.build import KEYS, REUSED, compile_documents
+from loomdex.sources import files, frontmatter, snapshots
+from loomdex.sources.snapshots import Conflict
 
 
 class Corpus:
@@ -83,10 +22,19 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.snapshots.read(name)
 
-    def build(self, source: str | DataFrame, exclude: tuple[str, ...] = (), config: dict | None = None) -> str:
-        """Compile a folder, or a table of path and text, and publish it; the snapshot's id."""
+    def build(self, source: str | DataFrame, exclude: tuple[str, ...] = (), config: dict | None = None, whole: bool = False) -> str:
+        """Compile a folder, or a table of path and text, and publish it; the snapshot's id. Of documents that are as they were in the
+        current version its rows are taken over, unless the whole is asked for; if another writer publishes meanwhile, the
+        build starts again on what that one made."""
         docs = files.scan(self.spark, source, exclude) if isinstance(source, str) else source
-        return self.snapshots.publish(compile_documents(docs, X.digest_of(config or {})), config, KEYS)
+        while True:
+            at = self.snapshots.current()
+            reusable = at is not None and not whole and set(REUSED) <= self.snapshots.manifest(at)["tables"].keys()
+            previous = (lambda name, at=at: self.snapshots.read(name, at)) if reusable else None
+            try:
+                return self.snapshots.publish(compile_documents(docs, X.digest_of(config or {}), previous=previous), config, KEYS, base=at)
+            except Conflict:
+                continue
 
     def plan(self, source: str | DataFrame, exclude: tuple[str, ...] = (), config: dict | None = None) -> DataFrame:
         """path, doc_id, action: what a build would do to each document."""

@@ -43,6 +43,18 @@ def source_stem(uri: Column) -> Column:
 RELATIVE = ("markdown_link", "frontmatter")
 
 
+def link_keys(links: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """links with the names by which their targets may be known: bare, exact_key, rel_key, base_key, alias_key and src_key."""
+    folder = F.regexp_replace("path", r"[^/]*$", "")
+    rows = links.withColumn("bare", F.regexp_replace("target", r"#.*$", "")).withColumn("exact_key", F.regexp_replace("bare", "^/+", ""))
+    rows = rows.withColumn("rel_key", X.folded_path(F.concat(folder, F.col("bare")))).withColumn("base_key", stem(F.col("bare"))).withColumn("alias_key", F.lower("bare"))
+    if sources is None:
+        return rows.withColumn("src_key", F.lit(None).cast("string"))
+    rows = rows.join(sources.select("path", source_stem(F.col("source_uri")).alias("_stem")).filter("_stem <> ''"), "path", "left")
+    beside = source_stem(F.concat(F.coalesce(F.regexp_extract("_stem", "^(.*/)[^/]*$", 1), F.lit("")), "bare"))
+    return rows.withColumn("src_key", F.when(F.col("_stem").isNotNull(), beside))
+
+
 def resolve(links: DataFrame, docs: DataFrame, aliases: DataFrame | None = None, sources: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """links (path, target, perhaps kind) with to_path and reason.
 
@@ -53,10 +65,7 @@ def resolve(links: DataFrame, docs: DataFrame, aliases: DataFrame | None = None,
     sources: path, source_uri of documents that came from elsewhere; files: path of what lies beside the documents, to which
     a link isn't unresolved but no edge either.
     """
-    bare = F.regexp_replace("target", r"#.*$", "")
-    folder = F.regexp_replace("path", r"[^/]*$", "")
-    rows = links if "kind" in links.columns else links.withColumn("kind", F.lit("markdown_link"))
-    rows = rows.withColumn("bare", bare).withColumn("exact_key", F.regexp_replace("bare", "^/+", "")).withColumn("rel_key", X.folded_path(F.concat(folder, F.col("bare")))).withColumn("base_key", stem(F.col("bare")))
+    rows = link_keys(links if "kind" in links.columns else links.withColumn("kind", F.lit("markdown_link")), sources)
     plain = docs.withColumn("path", F.regexp_replace("path", "^/+", ""))
     exact = plain.select(F.col("path").alias("exact_key"), F.lit(True).alias("is_exact")).distinct()
     near = exact.withColumnsRenamed({"exact_key": "rel_key", "is_exact": "is_rel"})
@@ -66,14 +75,12 @@ def resolve(links: DataFrame, docs: DataFrame, aliases: DataFrame | None = None,
         got = got.withColumn("src_path", F.lit(None).cast("string"))
     else:
         stems = sources.select("path", source_stem(F.col("source_uri")).alias("_stem")).filter("_stem <> ''")
-        got = got.join(stems, "path", "left")
-        beside = source_stem(F.concat(F.coalesce(F.regexp_extract("_stem", "^(.*/)[^/]*$", 1), F.lit("")), "bare"))
         known = stems.groupBy(F.col("_stem").alias("src_key")).agg(F.min("path").alias("src_path"))
-        got = got.withColumn("src_key", F.when(F.col("_stem").isNotNull(), beside)).join(known, "src_key", "left")
+        got = got.join(known, "src_key", "left")
     if aliases is None:
         got = got.withColumn("alias_path", F.lit(None).cast("string")).withColumn("alias_n", F.lit(None).cast("long"))
     else:
-        got = got.withColumn("alias_key", F.lower("bare")).join(unique_keys(aliases, F.lower("alias"), "alias"), "alias_key", "left")
+        got = got.join(unique_keys(aliases, F.lower("alias"), "alias"), "alias_key", "left")
     if files is None:
         got = got.withColumn("is_file", F.lit(False))
     else:

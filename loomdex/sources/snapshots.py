@@ -221,10 +221,11 @@ class Snapshots:
         path = f"data/{place}/{name}"
         rows.write.option("compression", "zstd").parquet(f"{self.root}/{path}")
         got = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{path}")
-        depth, key = depth_for(got.count()), key or rows.columns
-        leaves(got, key, depth).write.parquet(f"{self.root}/data/{place}/_leaves/{name}")
-        top = root(self.spark.read.parquet(f"{self.root}/data/{place}/_leaves/{name}"), depth).first()
-        return {"path": path, "leaves": f"data/{place}/_leaves/{name}", "rows": top.rows if top else 0, "digest": top.digest if top else "", "depth": depth, "key": key}
+        depth, key, at = depth_for(got.count()), key or rows.columns, f"data/{place}/_leaves/{name}"
+        if depth:  # a tree of one leaf is its root
+            leaves(got, key, depth).write.parquet(f"{self.root}/{at}")
+        top = root(self.spark.read.parquet(f"{self.root}/{at}") if depth else leaves(got, key, 0), depth).first()
+        return {"path": path, "leaves": at if depth else None, "rows": top.rows if top else 0, "digest": top.digest if top else "", "depth": depth, "key": key}
 
     def publish(self, tables: dict[str, DataFrame], config: dict | None = None, keys: dict[str, list[str]] | None = None, keep: Iterable[str] = (), base: str | None = "") -> str:
         """A new version on top of the current one, and its id.
@@ -285,9 +286,9 @@ class Snapshots:
 
     def _leaves(self, name: str, snapshot: str, depth: int) -> DataFrame:
         t = self.manifest(snapshot)["tables"][name]
-        if t["depth"] == depth:
+        if t["depth"] == depth and t["leaves"]:
             return self.spark.read.parquet(f"{self.root}/{t['leaves']}")
-        return leaves(self.read(name, snapshot), t["key"], depth)  # the table has since outgrown its tree
+        return leaves(self.read(name, snapshot), t["key"], depth)  # of one leaf, or the table has since outgrown its tree
 
     def changed_ranges(self, name: str, old: str, new: str) -> DataFrame:
         """range of each part of a table's keys that differs between two versions."""
