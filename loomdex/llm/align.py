@@ -28,15 +28,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import arrow_map, batch, materialize, settled
+from loomdex.llm.common import arrow_map, batch, bucket_count, bucketed, settled
 
 VOCABULARIES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A space at which both tokenizers cut.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 MARK = "▁"
+#: Bytes of texts in a batch of documents, if no text is longer: the more, the fewer parts are in several dictionaries.
+LOT = 12 << 20
 
 
 def default_paths() -> tuple[str, str]:
@@ -101,6 +103,7 @@ CODED = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("c
 def code(texts: pa.Array, parts: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(number of parts of each text, their codes one after another, the parts by code). parts: else each text is one."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     lists = pc.split_pattern(texts, " ") if parts else pa.LargeListArray.from_arrays(np.arange(len(texts) + 1), texts)
     counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
     known = pc.dictionary_encode(lists.flatten())
@@ -131,12 +134,22 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths
     how = paths or default_paths()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        parts = pair(*how).parts
-        for n, b in enumerate(batches):
-            if b.num_rows:
-                counts, codes, found = code(b.column(1), parts)
-                yield batch(CODED, [task.partitionId() << 32 | n], [b.column(0).to_pylist()], [counts.tolist()], [packed(codes)], [found])
+        task, parts, seen = TaskContext.get(), pair(*how).parts, 0
+        held: list[pa.RecordBatch] = []
+
+        def lot() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            counts, codes, found = code(table.column(1), parts)
+            return batch(CODED, [task.partitionId() << 32 | seen], [table.column(0).to_pylist()], [counts.tolist()], [packed(codes)], [found])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.nbytes for x in held) >= LOT:
+                yield lot()
+                seen += 1
+        if sum(x.num_rows for x in held):
+            yield lot()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, "batch long, doc_ids array<long>, counts array<int>, codes binary, parts array<string>")
 
@@ -189,33 +202,40 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
         spark.conf.set(name, old) if old is not None else spark.conf.unset(name)
 
 
-def linked(a: Column, b: Column) -> Column:
-    """Every pair of the two arrays of ids as one long, the first id above."""
-    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long")))))
-
-
-def described(tokenized: DataFrame) -> DataFrame:
-    """part, same, n_a, n_b, n_groups, listed, links: of each row of tokens(). listed: its groups as text; links: pairs of ids."""
-    spark = tokenized.sparkSession
-    keyed = materialize(tokenized.withColumn("key", F.monotonically_increasing_id()), "tokens")
-    dealt = keyed.filter("same").repartition("key")  # all that follows keeps this partitioning
+def listed(keyed: DataFrame) -> DataFrame:
+    """key, listed (the groups as text) of rows (key, a, a_bytes, b, b_bytes). All of it keeps the partitioning of keyed by key, if it
+    has one and clusters of more columns may be held by fewer (see alignment)."""
 
     def side(name: str) -> DataFrame:
-        return dealt.select("key", F.posexplode(F.arrays_zip(F.col(name).alias("id"), F.col(f"{name}_bytes").alias("bytes")))).select("key", "pos", "col.id", "col.bytes")
-
-    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
-        found = groups(side("a"), side("b"), "key")
-        listed = F.concat(F.array_join("a", ","), F.lit("|"), F.array_join("b", ","))
-        by = found.select("key", "group", listed.alias("listed"), linked(F.col("a"), F.col("b")).alias("links")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("group", "listed", "links"))).alias("g"))
-        of = materialize(
-            by.select("key", F.size("g").alias("n_groups"), F.array_join(F.transform("g", lambda x: x["listed"]), ";").alias("listed"), F.flatten(F.transform("g", lambda x: x["links"])).alias("links")), "groups"
-        )
-    return keyed.select("part", "same", F.size("a").alias("n_a"), F.size("b").alias("n_b"), "key").join(of, "key", "left").drop("key")
+        return keyed.select("key", F.posexplode(F.arrays_zip(F.col(name).alias("id"), F.col(f"{name}_bytes").alias("bytes")))).select("key", "pos", "col.id", "col.bytes")
+
+    text = F.concat(F.array_join("a", ","), F.lit("|"), F.array_join("b", ","))
+    by = groups(side("a"), side("b"), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("group", text.alias("text")))).alias("g"))
+    return by.select("key", F.array_join(F.transform("g", lambda x: x["text"]), ";").alias("listed"))
+
+
+def links_of(texts: list[str | None]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(n_a, n_b, n_groups and n_links of each listed text, the links one after another): every id of a group's first side with
+    every one of its second, as one long, the first id above."""
+    known: dict[str, tuple[int, int, list[int]]] = {}
+    flat: list[int] = []
+    rows = np.zeros((len(texts), 4), np.int64)
+    for k, text in enumerate(texts):
+        n_a = n_b = n = 0
+        began = len(flat)
+        for g in text.split(";") if text else ():
+            if (of := known.get(g)) is None:
+                a, b = (side.split(",") for side in g.split("|"))
+                of = known[g] = len(a), len(b), [int(x) << 32 | int(y) for x in a for y in b]
+            n_a, n_b, n = n_a + of[0], n_b + of[1], n + 1
+            flat += of[2]
+        rows[k] = n_a, n_b, n, len(flat) - began
+    return dict(zip(("n_a", "n_b", "n_groups", "n_links"), rows.T, strict=True)), np.array(flat, np.int64)
 
 
 LONGS = pa.list_(pa.int64())
-CARRIED = pa.schema([("batch", pa.int64()), ("doc_ids", LONGS), *((n, LONGS) for n in ("counts", "n_a", "n_b", "n_groups", "n_links")), ("sha", pa.list_(pa.string())), ("codes", pa.binary()), ("starts", LONGS), ("at", pa.binary()), ("pair", pa.int64()), ("n", pa.int64())])
-CARRIED_SQL = "batch long, doc_ids array<long>, counts array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, codes binary, starts array<long>, at binary, pair long, n long"
+CARRIED = pa.schema([("batch", pa.int64()), *((n, LONGS) for n in ("n_a", "n_b", "n_groups", "n_links")), ("sha", pa.list_(pa.string())), ("links", pa.list_(pa.int32())), ("at", pa.binary()), ("pair", pa.int64()), ("n", pa.int64())])
+CARRIED_SQL = "batch long, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, links array<int>, at binary, pair long, n long"
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -230,26 +250,25 @@ def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
     counts = np.array(row["counts"], np.int64)
     bounds = np.concatenate([[0], np.cumsum(counts)])
     codes = unpacked(row["codes"], int(bounds[-1]))
-    same, listed = right["same"].to_numpy(zero_copy_only=False).astype(bool), right["listed"].to_pylist()
-    links = right["links"].combine_chunks()
-    n_links = pc.fill_null(pc.list_value_length(links), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    texts = right["listed"].to_pylist()
+    of_part, flat = links_of(texts)
+    same, n_links = of_part["n_groups"] > 0, of_part["n_links"]  # a part with tokens has a group
     starts = np.concatenate([[0], np.cumsum(n_links)])
-    pairs, at = np.unique(links.flatten().to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
+    pairs, at = np.unique(flat, return_inverse=True)
     good = (counts > 0) & (sums(~same[codes], bounds) == 0)
-    figures = {n: sums(pc.fill_null(right[n], 0).to_numpy().astype(np.int64)[codes], bounds) * good for n in ("n_a", "n_b", "n_groups")}
-    figures["n_links"] = sums(n_links[codes], bounds) * good
+    figures = {n: sums(of[codes], bounds) * good for n, of in of_part.items()}
     docs_of, sha = np.zeros(len(pairs), np.int64), []
     for d in range(len(counts)):
         if not good[d]:
             sha.append("")
             continue
         own = codes[bounds[d] : bounds[d + 1]]
-        sha.append(hashlib.sha256(";".join([listed[c] for c in own.tolist()]).encode()).hexdigest())
+        sha.append(hashlib.sha256(";".join([texts[c] for c in own.tolist()]).encode()).hexdigest())
         kinds = np.unique(own)
         n = n_links[kinds]
         spots = np.arange(n.sum()) + np.repeat(starts[kinds] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         docs_of[np.unique(at[spots])] += 1
-    one = [row["batch"], row["doc_ids"], counts.tolist(), *(figures[n].tolist() for n in ("n_a", "n_b", "n_groups", "n_links")), sha, row["codes"], starts.tolist(), packed(at), None, None]
+    one = [row["batch"], *(figures[n].tolist() for n in ("n_a", "n_b", "n_groups", "n_links")), sha, n_links.tolist(), packed(at), None, None]
     head = pa.Table.from_pylist([dict(zip(CARRIED.names, one, strict=True))], schema=CARRIED)
     tail = {n: pa.nulls(len(pairs), CARRIED.field(n).type) for n in CARRIED.names} | {"batch": pa.array(np.full(len(pairs), row["batch"])), "pair": pa.array(pairs), "n": pa.array(docs_of)}
     return pa.concat_tables([head, pa.table(tail, schema=CARRIED)])
@@ -263,7 +282,7 @@ def counted(left: pa.Table, right: pa.Table) -> pa.Table:
     """The rows of a batch's documents, from what assembled() says of it and the corpus's counts of its pairs."""
     row, right = left.to_pylist()[0], right.sort_by("pair")
     bounds = np.concatenate([[0], np.cumsum(np.array(row["counts"], np.int64))])
-    codes, starts = unpacked(row["codes"], int(bounds[-1])), np.array(row["starts"], np.int64)
+    codes, starts = unpacked(row["codes"], int(bounds[-1])), np.concatenate([[0], np.cumsum(np.array(row["links"], np.int64))])
     at, good = unpacked(row["at"], int(starts[-1])), np.array(row["n_groups"], np.int64) > 0
     by_part = {n: sums(right[n].to_numpy().astype(np.int64)[at], starts) for n in ("best", "count")}
     best, total = (sums(by_part[n][codes], bounds) * good for n in ("best", "count"))
@@ -280,14 +299,23 @@ def counts_of(pairs: DataFrame) -> DataFrame:
 
 def alignment(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row of docs (doc_id, text)."""
-    batches = materialize(coded(docs, paths=paths), "coded")
+    spark, buckets = docs.sparkSession, bucket_count(docs)
+    batches = bucketed(coded(docs, paths=paths), "coded", "batch", buckets)
     held = batches.select(F.col("batch").alias("of"), F.posexplode("parts").alias("code", "part"))
-    known = described(tokens(held.select("part").distinct(), paths))
-    of_batch = held.join(known, "part").drop("part")
-    carried = materialize(batches.drop("parts").groupBy("batch").cogroup(of_batch.groupBy("of")).applyInArrow(assembled, CARRIED_SQL), "assembled")
+    coded_docs = batches.drop("parts")
+
+    def assembly() -> DataFrame:
+        keyed = bucketed(tokens(held.select("part").distinct(), paths).withColumn("key", F.monotonically_increasing_id()), "tokens", "key", buckets)
+        of_key = listed(keyed.filter("same").select("key", "a", "a_bytes", "b", "b_bytes"))
+        of_batch = held.join(keyed.select("part", "key"), "part").drop("part").join(of_key, "key", "left").select("of", "code", "listed")
+        return coded_docs.groupBy("batch").cogroup(of_batch.groupBy("of")).applyInArrow(assembled, CARRIED_SQL)
+
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # joins by key and end keep the partitioning by key
+        carried = settled(assembly, "assembled", lambda df, tag: bucketed(df, tag, "batch", buckets))
     pairs = carried.filter("pair is not null").select(F.col("batch").alias("of"), "pair", "n")
     figures = pairs.drop("n").join(counts_of(pairs), "pair")
-    return carried.filter("pair is null").drop("pair", "n").groupBy("batch").cogroup(figures.groupBy("of")).applyInArrow(counted, RESULT_SQL)
+    rows = coded_docs.join(carried.filter("pair is null").drop("pair", "n"), "batch")
+    return rows.groupBy("batch").cogroup(figures.groupBy("of")).applyInArrow(counted, RESULT_SQL)
 
 
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
