@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import arrow_map, batch, bucket_count, bucketed, settled
+from loomdex.llm.common import arrow_map, batch, bucket_count, bucketed, give_back, settled
 
 VOCABULARIES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A space at which both tokenizers cut.
@@ -69,8 +69,6 @@ class Pair:
             self.bytes_a[k] = bytes(letters[c] for c in token) if letters.keys() >= set(token) else b""
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace(MARK, " ").encode() for p in pieces]
-        #: Whether a text falls into parts for the second tokenizer.
-        self.parts = not any(MARK in p.lstrip(MARK) for p in pieces)
 
     def tokens(self, parts: list[str]) -> list[tuple[bool, list[int], list[int], list[int], list[int]]]:
         """For each part, read with a space before it: whether both give its bytes, ids and byte lengths of the first, and of the second."""
@@ -84,6 +82,15 @@ class Pair:
         return out
 
 
+@cache
+def falls_into_parts(path_b: str) -> bool:
+    """Whether no piece of the second tokenizer goes over a space mark behind another character."""
+    from sentencepiece import SentencePieceProcessor
+
+    b = SentencePieceProcessor(model_file=path_b)
+    return not any(MARK in b.id_to_piece(k).lstrip(MARK) for k in range(b.get_piece_size()))
+
+
 @cache
 def pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
@@ -131,10 +138,10 @@ def code(texts: pa.Array, parts: bool) -> tuple[np.ndarray, np.ndarray, list[str
 
 def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None) -> DataFrame:
     """batch, doc_ids, counts, codes, parts: documents in batches of bounded size, as sequences of codes of the batch's distinct parts."""
-    how = paths or default_paths()
+    parts = falls_into_parts((paths or default_paths())[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, parts, seen = TaskContext.get(), pair(*how).parts, 0
+        task, seen = TaskContext.get(), 0
         held: list[pa.RecordBatch] = []
 
         def lot() -> pa.RecordBatch:
@@ -166,6 +173,8 @@ def tokens(parts: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
             for at in range(0, b.num_rows, 1024):
                 some = b.column(0).slice(at, 1024)
                 yield batch(schema, some, *zip(*both.tokens(some.to_pylist()), strict=True))
+        del both
+        pair.cache_clear()  # a worker outlives its task, and other work needs the memory meanwhile
 
     return parts.select("part").transform(arrow_map, run, "part string, same boolean, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
 
@@ -271,7 +280,9 @@ def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
     one = [row["batch"], *(figures[n].tolist() for n in ("n_a", "n_b", "n_groups", "n_links")), sha, n_links.tolist(), packed(at), None, None]
     head = pa.Table.from_pylist([dict(zip(CARRIED.names, one, strict=True))], schema=CARRIED)
     tail = {n: pa.nulls(len(pairs), CARRIED.field(n).type) for n in CARRIED.names} | {"batch": pa.array(np.full(len(pairs), row["batch"])), "pair": pa.array(pairs), "n": pa.array(docs_of)}
-    return pa.concat_tables([head, pa.table(tail, schema=CARRIED)])
+    out = pa.concat_tables([head, pa.table(tail, schema=CARRIED)])
+    give_back()
+    return out
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), ("groups_sha256", pa.string())])
@@ -286,6 +297,7 @@ def counted(left: pa.Table, right: pa.Table) -> pa.Table:
     at, good = unpacked(row["at"], int(starts[-1])), np.array(row["n_groups"], np.int64) > 0
     by_part = {n: sums(right[n].to_numpy().astype(np.int64)[at], starts) for n in ("best", "count")}
     best, total = (sums(by_part[n][codes], bounds) * good for n in ("best", "count"))
+    give_back()
     return pa.table([row["doc_ids"], row["n_a"], row["n_b"], row["n_groups"], row["n_links"], best.tolist(), total.tolist(), row["sha"]], schema=RESULT)
 
 
