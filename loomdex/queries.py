@@ -16,7 +16,7 @@ from loomdex.plans import planner
 from loomdex.plans.search import Settings, search
 from loomdex.sources import html, markdown, tables
 from loomdex.sources.tables import table
-from loomdex.streaming import watch
+from loomdex.streaming import debounce, watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -577,10 +577,13 @@ def quarantine_first_last_seen(spark, sf_dir):
     return lifecycle.quarantine(e.select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("source_uri"), F.col("event_id").alias("seq"), F.col("ts").alias("seen"), (F.col("event_type") != "error").alias("ok"), F.col("event_type").alias("reason")))
 
 
-@query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > 21600000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+_DEBOUNCED = """WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > 21600000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM g),
 p AS (SELECT *, CAST(floor((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id, session)) / 86400000000) AS BIGINT) AS part FROM s)
-SELECT user_id, session, part, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM p GROUP BY user_id, session, part""")
+SELECT user_id, session, part, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM p GROUP BY user_id, session, part"""
+
+
+@query(_DEBOUNCED)
 def debounced_sessions(spark, sf_dir):
     return watch.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 6 * 3600, 86400, tie="event_id")
 
@@ -702,7 +705,9 @@ def custody_merge(spark, sf_dir):
     return lifecycle.merge_custody(rows.limit(0), rows).withColumn("sources", F.array_join("sources", ","))
 
 
-@query()
+@query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 21600000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS closes, count(*) AS events FROM s GROUP BY user_id, session""")
 def stream_sessions(spark, sf_dir):
     """The sessions of a stream that has read all of the events table, from the stream's own state."""
     at = f"{work.folder(spark)}/sessions-{uuid.uuid4().hex}"
@@ -720,6 +725,27 @@ def stream_sessions(spark, sf_dir):
     return spark.read.schema(out.schema).parquet(f"{at}/rows")
 
 
+@query(_DEBOUNCED)
+def stream_debounced(spark, sf_dir):
+    """Debounced batches with a ceiling, from keyed state with timers: the stream reads all of the events table, and a tick after
+    it closes what is still open."""
+    at = f"{work.folder(spark)}/debounced-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("user_id", "ts", F.lit(False).alias("tick"))
+    spark.sql("SELECT -1L AS user_id, TIMESTAMP_NTZ '2200-01-01' AS ts, true AS tick").write.parquet(f"{at}/ticks/last")
+    ticks = spark.readStream.schema(stream.schema).parquet(f"{at}/ticks/*")
+    out = debounce.debounced(stream.unionByName(ticks), "user_id", "ts", 6 * 3600, 86400, "0 seconds", tick="tick")
+    old = spark.conf.get(debounce.STORE_CONF)
+    try:
+        spark.conf.set(debounce.STORE_CONF, debounce.STORE)
+        run = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows")
+    finally:
+        spark.conf.set(debounce.STORE_CONF, old)
+    run.awaitTermination()
+    rows = spark.read.schema(out.schema).parquet(f"{at}/rows")
+    return rows.withColumn("started", F.col("started").cast("timestamp_ntz")).withColumn("ended", F.col("ended").cast("timestamp_ntz"))
+
+
 def _expanded(sql: str) -> str:
     for name, text in (("@EVAL@", EVAL), ("@LINKS@", LINKS), ("@CORPUS@", CORPUS), ("@STOP@", ", ".join(f"'{w}'" for w in X.STOPWORDS))):
         sql = sql.replace(name, text)

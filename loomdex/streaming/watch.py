@@ -1,7 +1,9 @@
-"""Watching: events to debounced batches, and continuous upserts of document state."""
+"""Watching: events to debounced batches, and document state that grows by what each look at a folder saw."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,47 +37,46 @@ def streamed_sessions(events: DataFrame, key: str, ts: str, quiet: str, late: st
 
 
 def watch_folder(spark: SparkSession, folder: str, pattern: str, state: str, checkpoint: str, seconds: float | None = None) -> StreamingQuery:
-    """Follow new files of a folder; each micro-batch upserts (path, source_digest, length) into the state table's next
-    version. Without seconds, all that is there is read and the query ends."""
+    """Follow new files of a folder; each micro-batch appends what it saw (path, source_digest, length, modified) to the state,
+    as a part of its own. Without seconds, all that is there is read and the query ends."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     found = files.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("source_digest"), "length", F.col("modificationTime").alias("modified"))
 
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        """Idempotent by epoch: a retried batch writes the same version again."""
-        newest = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("modified"), "source_digest"))
-        rows = batch.withColumn("_n", newest).filter("_n = 1").drop("_n")
-        old = f"{state}/v={epoch - 1}"
-        if epoch and _exists(spark, old):
-            rows = rows.unionByName(spark.read.parquet(old).join(rows.select("path"), "path", "left_anti"))
-        rows.write.mode("overwrite").parquet(f"{state}/v={epoch}")
+    def append(batch: DataFrame, epoch: int) -> None:
+        """Idempotent by epoch: a retried batch writes the same part again."""
+        _seen(batch).write.mode("overwrite").parquet(f"{state}/part=epoch-{epoch:09d}")
 
-    out = found.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    out = found.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=f"{seconds} seconds") if seconds else out.trigger(availableNow=True)).start()
 
 
+def _seen(rows: DataFrame, *more: str) -> DataFrame:
+    """rows as a part of the state: with the time at which they were seen, by which a later part wins over an earlier one."""
+    return rows.select("path", "source_digest", "length", "modified", F.current_timestamp().alias("seen"), *more)
+
+
 def rescan(spark: SparkSession, folder: str, pattern: str, state: str) -> DataFrame:
-    """path, action of the files that are new, edited or gone since the state table's newest version, and a next version: a
+    """path, action of the files that are new, edited or gone since the state was last written, which become a part of it: a
     stream sees a path once, so edits are found by another look at the folder. A file of the same length and time isn't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     old = latest(spark, state).select("path", F.col("source_digest").alias("_digest"), F.col("length").alias("_length"), F.col("modified").alias("_modified"))
     stat = files.select("path", "length", F.col("modificationTime").alias("modified"))
     both = stat.join(old, "path", "full_outer")
     same = (F.col("length") == F.col("_length")) & (F.col("modified") == F.col("_modified"))
-    changed = both.filter(F.col("length").isNotNull() & ~F.coalesce(same, F.lit(False))).select("path")
-    read = files.join(changed, "path", "left_semi").select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("source_digest"))
-    rows = both.join(read, "path", "left").withColumn("source_digest", F.coalesce("source_digest", "_digest"))
+    changed = both.filter(~F.coalesce(same, F.lit(False)))
+    read = files.join(changed.filter("length is not null").select("path"), "path", "left_semi").select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("source_digest"))
+    rows = changed.join(read, "path", "left")
     action = F.when(F.col("length").isNull(), "removed").when(F.col("_digest").isNull(), "new").when(F.col("source_digest") != F.col("_digest"), "edited")
-    versions = spark.read.option("basePath", state).parquet(state).agg(F.max("v")).first()[0]
-    rows.filter("length is not null").select("path", "source_digest", "length", "modified").write.mode("overwrite").parquet(f"{state}/v={versions + 1}")
-    return rows.withColumn("action", action).filter("action is not null").select("path", "action")
+    at = f"{state}/part=scan-{uuid.uuid4().hex}"
+    _seen(rows.withColumn("action", action), "action").write.parquet(at)
+    return spark.read.parquet(at).filter("action is not null").select("path", "action")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+STATE = "path string, source_digest string, length long, modified timestamp, seen timestamp"
 
 
 def latest(spark: SparkSession, state: str) -> DataFrame:
-    """The newest version of the state table."""
-    versions = spark.read.option("basePath", state).parquet(state)
-    return versions.filter(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
+    """path, source_digest, length, modified of the files that are there, by what was last seen of each."""
+    rows = spark.read.schema(STATE).parquet(f"{state}/part=*")
+    last = F.max(F.struct("seen", "modified", "source_digest", "length")).alias("last")  # partial before it moves
+    return rows.groupBy("path").agg(last).filter("last.length is not null").select("path", "last.source_digest", "last.length", "last.modified")
