@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
 from loomdex.operators import citations, evaluation, graph, lifecycle, store
+from loomdex.operators.inverted import Index
 from loomdex.plans import search as searching
 from loomdex.plans.build import KEYS, REUSED, compile_documents
 from loomdex.sources import files, frontmatter, snapshots
@@ -18,6 +19,7 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.snapshots = spark, snapshots.Snapshots(spark, root)
+        self.index = Index(spark, f"{root.rstrip('/')}/index", list(searching.Settings().weights))
 
     def table(self, name: str) -> DataFrame:
         return self.snapshots.read(name)
@@ -44,9 +46,28 @@ class Corpus:
         cur = docs.join(ids, "path").select("path", "doc_id", "source_digest", F.lit(X.digest_of(config or {})).alias("env_digest"))
         return lifecycle.incremental_plan(cur, self.table("documents").select("path", "doc_id", F.col("content_digest").alias("source_digest"), "env_digest"))
 
+    def reindex(self) -> str:
+        """Bring the stored index to the current version: the chunks that differ from the version it was at, by the digest trees of
+        chunks and documents, and no others. The index's version."""
+        at, was = self.snapshots.current(), self.index.note().get("corpus")
+        titles = self.table("documents").select("path", "title")
+        rows = self.table("chunks").join(titles, "path").select("anchor", "path", "text", "title")
+        if was not in self.snapshots.listed():  # nothing to compare with
+            held = self.index.versions.current() and self.index._all("rows", self.index.versions.current()).select("key")
+            return self.index.update(rows, held or None, note={"corpus": at})
+        changed = self.snapshots.changes("chunks", was, at)
+        docs = self.snapshots.changes("documents", was, at).filter("change <> 'removed'").select("path")
+        some = rows.join(docs, "path", "left_semi").unionByName(rows.join(changed.filter("change <> 'removed'").select("anchor"), "anchor", "left_semi").select(*rows.columns)).dropDuplicates(["anchor"])
+        return self.index.update(some, changed.filter("change = 'removed'").select(F.col("anchor").alias("key")), note={"corpus": at})
+
+    def _index(self) -> Index | None:
+        """The stored index, if it is at the current version."""
+        return self.index if self.index.note().get("corpus") == self.snapshots.current() else None
+
     def search(self, queries: DataFrame, related: Column | None = None, vector_hits: DataFrame | None = None, **settings) -> DataFrame:
+        """query_id, rank, anchor, score, ...; by the stored index where reindex() has brought it to the current version."""
         chosen = searching.Settings(**settings)
-        return searching.search(queries, self.table("documents"), self.table("chunks"), chosen, vector_hits, self.table("symbols"), self.table("edges"), related)
+        return searching.search(queries, self.table("documents"), self.table("chunks"), chosen, vector_hits, self.table("symbols"), self.table("edges"), related, self._index())
 
     def explain(self, queries: DataFrame, **settings) -> DataFrame:
         return searching.explain(queries, self.table("documents"), self.table("chunks"), searching.Settings(**settings), symbols=self.table("symbols"), edges=self.table("edges"))

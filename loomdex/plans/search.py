@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
 from loomdex.operators import citations, graph, lexical, retrieval
+from loomdex.operators.inverted import Index
 from loomdex.plans import planner
 
 #: The weights of the derived legs, the seeds of the graph leg, and the most passages of either leg.
@@ -73,9 +74,10 @@ def add_only(candidates: DataFrame, legs: DataFrame) -> DataFrame:
 
 def search(
     queries: DataFrame, docs: DataFrame, chunks: DataFrame, settings: Settings = Settings(), vector_hits: DataFrame | None = None,
-    symbols: DataFrame | None = None, edges: DataFrame | None = None, related: Column | None = None,
+    symbols: DataFrame | None = None, edges: DataFrame | None = None, related: Column | None = None, index: Index | None = None,
 ) -> DataFrame:
-    """query_id, rank, anchor, score, n_legs, legs, ranks, via, path, status, snippet, tokens.
+    """query_id, rank, anchor, score, n_legs, legs, ranks, via, path, status, snippet, tokens. index: a stored one of these chunks, which is
+    read instead of their texts if it serves the settings.
 
     docs: path, doc_id, title, namespace, collection, trust, status; chunks: anchor, doc_id, text, tokens. The filter is on
     documents, before ranking, for every leg. Each query's plan says which legs it asks for, and settings which of
@@ -89,8 +91,10 @@ def search(
     keep = retrieval.search_filter(status=status, **settings.filters)
     of_docs = ("path", "title", "namespace", "collection", "trust", "status")
     rows = chunks.drop(*of_docs).join(docs.select("doc_id", *of_docs), "doc_id")
-    found = lexical.index(rows, list(settings.weights), settings.stems)
-    scorer = lexical.scorer(queries, found, settings.weights, settings.stems)
+    if index is not None and index.serves(settings.weights, settings.stems):
+        scorer = index.scorer(queries, settings.weights)
+    else:
+        scorer = lexical.scorer(queries, lexical.index(rows, list(settings.weights), settings.stems), settings.weights, settings.stems)
     allowed = rows.filter(keep).select("anchor", "path")
     words = lexical.top(scorer.scores(allowed.select(F.col("anchor").alias("key"))).withColumnRenamed("key", "anchor"), max(settings.limit, retrieval.DEPTH))
     legs = words.select("query_id", F.lit("lexical").alias("leg"), "anchor", "rank")

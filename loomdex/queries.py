@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
 from loomdex.functions import work
-from loomdex.operators import chats, citations, evaluation, graph, lexical, lifecycle, retrieval
+from loomdex.operators import chats, citations, evaluation, graph, inverted, lexical, lifecycle, retrieval
 from loomdex.plans import planner
 from loomdex.plans.search import Settings, search
 from loomdex.sources import html, markdown, tables
@@ -163,6 +163,20 @@ def bm25_fielded_repeated_arms(spark, sf_dir):
     return lexical.bm25(_asked(spark, sf_dir), _rows(spark, sf_dir), {"text": 1.0, "title": 3.0}, 10)
 
 
+@query(_bm25_sql(True))
+def bm25_stored_index(spark, sf_dir):
+    """The same from a stored index of three segments: half of the rows, then the others with some of the first brought again, and
+    rows that were in it for a while deleted."""
+    rows = _rows(spark, sf_dir)
+    found = inverted.Index(spark, f"{work.folder(spark)}/index-{uuid.uuid4().hex}", ["text", "title"], stemmed=False)
+    wrong = rows.filter("doc_id % 4 = 0").withColumn("text", F.concat("text", F.lit(" "), "text"))
+    stray = rows.filter("doc_id % 8 = 1").withColumn("anchor", F.concat(F.lit("stray/"), "anchor"))
+    found.update(rows.filter("doc_id % 4 = 2").unionByName(wrong).unionByName(stray))
+    found.update(rows.filter("doc_id % 4 <> 2"))
+    found.update(void=stray.select(F.col("anchor").alias("key")))
+    return found.bm25(_asked(spark, sf_dir), {"text": 1.0, "title": 3.0}, 10)
+
+
 @query()
 def bm25_with_stems(spark, sf_dir):
     return lexical.bm25(_asked(spark, sf_dir), _rows(spark, sf_dir), {"text": 1.0, "title": 3.0}, 10, stemmed=True)

@@ -217,9 +217,9 @@ class Snapshots:
         state = self.state()
         return state.versions[snapshot] if snapshot in state.kept() else {}
 
-    def _write(self, name: str, rows: DataFrame, place: str, key: list[str] | None) -> dict:
+    def _write(self, name: str, rows: DataFrame, place: str, key: list[str] | None, by: list[str]) -> dict:
         path = f"data/{place}/{name}"
-        rows.write.option("compression", "zstd").parquet(f"{self.root}/{path}")
+        rows.write.option("compression", "zstd").partitionBy(*by).parquet(f"{self.root}/{path}")
         got = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{path}")
         depth, key, at = depth_for(got.count()), key or rows.columns, f"data/{place}/_leaves/{name}"
         if depth:  # a tree of one leaf is its root
@@ -227,12 +227,13 @@ class Snapshots:
         top = root(self.spark.read.parquet(f"{self.root}/{at}") if depth else leaves(got, key, 0), depth).first()
         return {"path": path, "leaves": at if depth else None, "rows": top.rows if top else 0, "digest": top.digest if top else "", "depth": depth, "key": key}
 
-    def publish(self, tables: dict[str, DataFrame], config: dict | None = None, keys: dict[str, list[str]] | None = None, keep: Iterable[str] = (), base: str | None = "") -> str:
+    def publish(self, tables: dict[str, DataFrame], config: dict | None = None, keys: dict[str, list[str]] | None = None, keep: Iterable[str] = (), base: str | None = "", partitions: dict[str, list[str]] | None = None, note: dict | None = None) -> str:
         """A new version on top of the current one, and its id.
 
         keep: tables that the version shares with base, by reference. base: the version that the tables were made from (or
         None, where there was none); if another writer has moved on from it, Conflict is raised and nothing is published.
-        Without a base the version goes on top of whatever is current then.
+        Without a base the version goes on top of whatever is current then. partitions: the columns by which a table's files lie
+        in folders; note: what the log is to say of the version.
         """
         if list(keep) and not base:
             raise ValueError("tables can be kept of a base only")
@@ -240,14 +241,14 @@ class Snapshots:
         self._put(f"intents/{place}", json.dumps({"began": time.time()}))
         done = False
         try:
-            held = {n: self._write(n, rows, place, (keys or {}).get(n)) for n, rows in sorted(tables.items())}
+            held = {n: self._write(n, rows, place, (keys or {}).get(n), (partitions or {}).get(n, [])) for n, rows in sorted(tables.items())}
 
             def entry(state: State) -> dict:
                 if base != "" and state.current != base:
                     raise Conflict(f"{base} was read, {state.current} is current")
                 made = held | {n: state.versions[base]["tables"][n] for n in keep}
-                manifest = {"parent": state.current, "tables": {n: {k: t[k] for k in ("rows", "digest")} for n, t in sorted(made.items())}, "config": X.digest_of(config or {})}
-                return {"action": "publish", "snapshot": X.digest_of(manifest)[7:23], "parent": state.current, "config": manifest["config"], "tables": made}
+                manifest = {"parent": state.current, "tables": {n: {k: t[k] for k in ("rows", "digest")} for n, t in sorted(made.items())}, "config": X.digest_of(config or {}), "note": note}
+                return {"action": "publish", "snapshot": X.digest_of(manifest)[7:23], "parent": state.current, "config": manifest["config"], "tables": made, "note": note}
 
             snapshot = self._commit(entry)["snapshot"]
             done = True
