@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions.text import percentile
+from loomdex.functions.work import written
 
 
 def credited(results: DataFrame, judged: DataFrame) -> DataFrame:
@@ -44,13 +45,19 @@ def metrics(results: DataFrame, judged: DataFrame, cases: DataFrame, k: int = 10
     )
 
 
+def in_slices(cases: DataFrame, slices: DataFrame | None) -> DataFrame:
+    """cases with slice: a row of each for ALL and for each of its slices. Cases are computed once, however they come about."""
+    everywhere = F.array(F.lit("ALL"))
+    if slices is None:
+        return cases.withColumn("slice", F.explode(everywhere))
+    own = slices.groupBy("case_id").agg(F.collect_list("slice").alias("_own"))
+    return cases.join(own, "case_id", "left").withColumn("slice", F.explode(F.concat(everywhere, F.coalesce("_own", F.array().cast("array<string>"))))).drop("_own")
+
+
 def summary(case_metrics: DataFrame, slices: DataFrame | None = None) -> DataFrame:
     """slice, cases and the mean of each metric; slices: case_id, slice (a case may be in several); ALL is every case."""
-    rows = case_metrics.withColumn("slice", F.lit("ALL"))
-    if slices is not None:
-        rows = rows.unionByName(case_metrics.join(slices, "case_id").select(rows.columns))
     mean = lambda c: F.round(F.avg(F.col(c).cast("decimal(18,6)")).cast("double"), 6).alias(c)
-    return rows.groupBy("slice").agg(F.count("*").alias("cases"), *[mean(c) for c in ("ndcg", "recall", "rr")])
+    return in_slices(case_metrics, slices).groupBy("slice").agg(F.count("*").alias("cases"), *[mean(c) for c in ("ndcg", "recall", "rr")])
 
 
 def latency(times: DataFrame, group: str, value: str, parts: int = 1024) -> DataFrame:
@@ -206,7 +213,7 @@ def incumbent(ours: DataFrame, theirs: DataFrame, slices: DataFrame) -> DataFram
     """slice, ours, theirs, lead, conceded: means by slice, ALL first; a slice is conceded where theirs is higher. Both:
     case_id, ndcg; slices: case_id, slice."""
     both = ours.select("case_id", F.col("ndcg").alias("o")).join(theirs.select("case_id", F.col("ndcg").alias("t")), "case_id")
-    rows = both.withColumn("slice", F.lit("ALL")).unionByName(both.join(slices, "case_id").select("case_id", "o", "t", "slice"))
+    rows = in_slices(both, slices)
     mean = lambda c: F.round(F.avg(F.col(c).cast("decimal(18,6)")).cast("double"), 6)
     by = rows.groupBy("slice").agg(mean("o").alias("ours"), mean("t").alias("theirs"))
     return by.withColumn("lead", F.round(F.col("ours") - F.col("theirs"), 6)).withColumn("conceded", F.col("theirs") > F.col("ours"))
@@ -214,6 +221,7 @@ def incumbent(ours: DataFrame, theirs: DataFrame, slices: DataFrame) -> DataFram
 
 def losses(ours: DataFrame, theirs: DataFrame, slices: DataFrame) -> DataFrame:
     """slice, case_id, ours, theirs, gap, place: the cases that lose in each conceded slice, worst first."""
+    ours, theirs = written(ours.select("case_id", "ndcg"), "ours"), written(theirs.select("case_id", "ndcg"), "theirs")  # each is asked twice
     conceded = incumbent(ours, theirs, slices).filter("conceded and slice <> 'ALL'").select("slice")
     both = ours.select("case_id", F.col("ndcg").alias("ours")).join(theirs.select("case_id", F.col("ndcg").alias("theirs")), "case_id").filter("theirs > ours")
     rows = both.join(slices.join(conceded, "slice", "left_semi"), "case_id").withColumn("gap", F.round(F.col("ours") - F.col("theirs"), 6))
