@@ -616,6 +616,15 @@ def symbol_table(spark, sf_dir):
     return symbols.fold(symbols.extract(markdown.nodes(_notes_text(spark, sf_dir)))).select("symbol", "kind", "defined_in")
 
 
+@query(r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1)) AS code FROM pages), c AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(code, '"[^"]*"', '""', 'g'), '([A-Za-z_$][A-Za-z_0-9$]*)\(', 1)) AS name FROM s)
+SELECT DISTINCT page_id, 'javascript' AS lang, name, 'use' AS role FROM c""")
+def page_script_calls(spark, sf_dir):
+    """What the scripts of whole pages define and call."""
+    codes = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), 1)
+    nodes = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.posexplode(codes).alias("first", "text")).withColumn("kind", F.lit("code_block")).withColumn("lang", F.lit("js"))
+    return symbols.extract(nodes).select(F.col("path").cast("long").alias("page_id"), "lang", "name", "role").distinct()
+
+
 @query("""SELECT 'doc:a' || p_partkey || '.md' AS source, 'sym:python:lib.f_' || (p_partkey % 9) AS target FROM part WHERE p_partkey % 9 <> 4""")
 def symbol_uses(spark, sf_dir):
     """Uses by last part; f_4 is defined twice, so its uses are ambiguous."""

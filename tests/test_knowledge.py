@@ -33,7 +33,7 @@ def test_symbols(spark):
     docs = spark.createDataFrame([("a.md", CODE), ("b.md", "```python\nhelper(1)\nput(2)\nhelper(3)\n```"), ("c.md", "```py\nnot python (\n```")], "path string, text string")
     got = symbols.extract(markdown.nodes(docs))
     rows = {(r.path, r.lang, r.name, r.kind, r.role) for r in got.collect()}
-    assert {("a.md", "python", "LIMIT", "constant", "define"), ("a.md", "python", "Store.put", "method", "define"), ("a.md", "cli", "tool lock", "command", "define"), ("a.md", "cli", "tool add", "command", "define"), ("a.md", "rust", "", "fence", "gap"), ("c.md", "py", "", "fence", "gap")} <= rows
+    assert {("a.md", "python", "LIMIT", "constant", "define"), ("a.md", "python", "Store.put", "method", "define"), ("a.md", "cli", "tool lock", "command", "define"), ("a.md", "cli", "tool add", "command", "define"), ("a.md", "rust", "main", "function", "define"), ("c.md", "py", "", "fence", "gap")} <= rows
     uses, defs = got.filter("role = 'use'"), got.filter("role = 'define'")
     assert {(r.path, r.name, r.symbol, r.line) for r in symbols.resolve(uses.select("path", "lang", "name", "line"), defs).collect()} == {("b.md", "helper", "helper", 2), ("b.md", "put", "Store.put", 3)}
     assert {r.name for r in symbols.named_commands(defs.filter("lang = 'cli'"), markdown.nodes(docs).filter("kind = 'paragraph'").select("text")).collect()} == {"tool lock"}
