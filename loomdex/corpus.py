@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from loomdex.operators import citations, evaluation, graph, lifecycle, store
 from loomdex.operators.inverted import Index
 from loomdex.plans import search as searching
 from loomdex.plans.build import KEYS, REUSED, compile_documents
+from loomdex.plans.report import measured
 from loomdex.sources import files, frontmatter, snapshots
 from loomdex.sources.snapshots import Conflict
 
@@ -69,6 +72,11 @@ class Corpus:
         chosen = searching.Settings(**settings)
         return searching.search(queries, self.table("documents"), self.table("chunks"), chosen, vector_hits, self.table("symbols"), self.table("edges"), related, self._index())
 
+    def search_measured(self, queries: DataFrame, vector_leg: Callable[[DataFrame], DataFrame] | None = None, related: Column | None = None, **settings) -> tuple[DataFrame, DataFrame]:
+        """search() run at once, and a report of its legs: rows, seconds, and why one was left out."""
+        chosen = searching.Settings(**settings)
+        return measured(queries, self.table("documents"), self.table("chunks"), chosen, vector_leg, related, symbols=self.table("symbols"), edges=self.table("edges"), index=self._index())
+
     def explain(self, queries: DataFrame, **settings) -> DataFrame:
         return searching.explain(queries, self.table("documents"), self.table("chunks"), searching.Settings(**settings), symbols=self.table("symbols"), edges=self.table("edges"))
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from loomdex.functions import text as X
 from loomdex.functions import work
 from loomdex.operators import chats, citations, evaluation, graph, lexical, lifecycle, retrieval, store, symbols
+from loomdex.plans.report import measured
 from loomdex.plans.search import Settings, add_only, graph_candidates, notes, search, symbol_candidates, tool
-from loomdex.queries import _GREP, _MSG, _SLICED, ASKED, _asked, _bm25_sql, _cases, _corpus, _labelled, _messages, _rows, _slices, query
+from loomdex.queries import _GREP, _MSG, _SLICED, ASKED, ORACLES, _asked, _bm25_sql, _cases, _corpus, _labelled, _messages, _rows, _slices, query
 from loomdex.sources import files, frontmatter, html, markdown, markup, snapshots
 from loomdex.sources.tables import table
 
@@ -96,6 +97,16 @@ def search_planned(spark, sf_dir):
     return search(_led(spark, sf_dir), docs, chunks, settings, symbols=symbols, edges=edges).select("query_id", "rank", "anchor", "score", "n_legs")
 
 
+@query(f"""WITH hits AS ({ORACLES["search_planned"]}) SELECT 'hits' AS leg, 'ok' AS state, count(*) AS rows FROM hits UNION ALL SELECT 'vector', 'failed', 0""")
+def search_degraded(spark, sf_dir):
+    """The planned search with an embedder that can't be reached: every hit of the other legs, and the failure told."""
+    docs, chunks, symbols, edges = _leg_tables(spark, sf_dir)
+    settings = Settings(limit=20, hybrid=True, symbols=True, graph=True, stems=False, include_candidate=True, weights={"text": 1.0})
+    unreachable = lambda asked: asked.select("query_id", F.col("query").alias("anchor"), F.raise_error(F.lit("no embedder")).cast("int").alias("rank"))
+    _, legs = measured(_led(spark, sf_dir), docs, chunks, settings, unreachable, symbols=symbols, edges=edges)
+    return legs.filter("leg in ('hits', 'vector')").select("leg", "state", "rows")
+
+
 _PHRASES = "w AS (SELECT *, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM benchmark), q AS (SELECT item_id AS query_id, array_to_string(ws[1:3], ' ') AS query FROM w)"
 
 
