@@ -94,9 +94,10 @@ def search(
     if index is not None and index.serves(settings.weights, settings.stems):
         scorer = index.scorer(queries, settings.weights)
     else:
-        scorer = lexical.scorer(queries, lexical.index(rows, list(settings.weights), settings.stems), settings.weights, settings.stems)
+        scorer = lexical.scorer(queries, lexical.index(rows, list(settings.weights), settings.stems, keep=False), settings.weights, settings.stems)
     allowed = rows.filter(keep).select("anchor", "path")
-    words = lexical.top(scorer.scores(allowed.select(F.col("anchor").alias("key"))).withColumnRenamed("key", "anchor"), max(settings.limit, retrieval.DEPTH))
+    depth = max(settings.limit, retrieval.DEPTH)
+    words = lexical.top(scorer.best(depth, allowed.select(F.col("anchor").alias("key"))).withColumnRenamed("key", "anchor"), depth)
     legs = words.select("query_id", F.lit("lexical").alias("leg"), "anchor", "rank")
     if settings.hybrid and vector_hits is not None:
         near = vector_hits.join(allowed, "anchor", "left_semi").join(words.select("query_id").distinct(), "query_id", "left_semi")

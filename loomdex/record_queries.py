@@ -39,8 +39,8 @@ def _leg_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[lexical.Scorer, DataFrame]:
     """(scorer of the texts, the lexical leg)."""
     rows = _corpus(spark, sf_dir)[1]
-    scorer = lexical.scorer(_led(spark, sf_dir), lexical.index(rows, ["text"]), {"text": 1.0})
-    return scorer, lexical.top(scorer.scores().withColumnRenamed("key", "anchor"), retrieval.DEPTH).withColumn("leg", F.lit("lexical"))
+    scorer = lexical.scorer(_led(spark, sf_dir), lexical.index(rows, ["text"], keep=False), {"text": 1.0})
+    return scorer, lexical.top(scorer.best(retrieval.DEPTH).withColumnRenamed("key", "anchor"), retrieval.DEPTH).withColumn("leg", F.lit("lexical"))
 
 
 _LED = ASKED.replace("FROM benchmark)", "FROM (SELECT item_id, text || CASE WHEN item_id % 3 = 0 THEN ' related to' ELSE '' END || CASE WHEN item_id % 2 = 0 THEN ' pkg.item_' || (item_id % 50) ELSE '' END AS text FROM benchmark))")
