@@ -1,10 +1,12 @@
 """What only showed on large tables: a digest of many rows, many tosses, places beyond an int."""
 
 import hashlib
+from fractions import Fraction
+from math import comb
 
 from pyspark.sql import functions as F
 
-from loomdex.operators import lifecycle
+from loomdex.operators import evaluation, lifecycle
 
 
 def test_corpus_digest_is_one_definition_at_any_size(spark):
@@ -20,3 +22,11 @@ def test_corpus_digest_is_one_definition_at_any_size(spark):
 
 def test_corpus_digest_of_nothing(spark):
     assert lifecycle.corpus_digest(spark.range(0).select("id", F.col("id").alias("c")), "id", "c").first().digest == hashlib.sha256(b"").hexdigest()
+
+
+def test_upper_tail():
+    for m, w in ((0, 0), (10, 8), (1000, 490), (1001, 500), (1001, 501), (3000, 1400), (3000, 1560), (3000, 0), (3000, 3000), (20000, 10123), (2000, 1990)):
+        exact = Fraction(sum(comb(m, k) for k in range(w, m + 1)), 2**m)
+        assert abs(evaluation.upper_tail(m, w) - float(exact)) < 1e-14
+    assert abs(evaluation.upper_tail(9_000_001, 4_500_001) - 0.5) < 1e-15  # half of an odd number of tosses, by symmetry
+    assert evaluation.upper_tail(9_000_000, 4_600_000) < 1e-100
