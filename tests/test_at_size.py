@@ -30,3 +30,10 @@ def test_upper_tail():
         assert abs(evaluation.upper_tail(m, w) - float(exact)) < 1e-14
     assert abs(evaluation.upper_tail(9_000_001, 4_500_001) - 0.5) < 1e-15  # half of an odd number of tosses, by symmetry
     assert evaluation.upper_tail(9_000_000, 4_600_000) < 1e-100
+
+
+def test_evenly_of_more_rows_than_an_int_holds_products(spark):
+    got = [r.id for r in evaluation.evenly(spark.range(3_000_000), "id", 1000).orderBy("id").collect()]
+    assert got == [i * 3_000_000 // 1000 for i in range(1000)]
+    assert [r.id for r in evaluation.evenly(spark.range(7), "id", 3).orderBy("id").collect()] == [0, 2, 4]
+    assert evaluation.evenly(spark.range(3), "id", 5).count() == 3 and evaluation.evenly(spark.range(0), "id", 5).count() == 0
