@@ -87,6 +87,12 @@ def keyed(table: DataFrame) -> DataFrame:
     return table.select("id", "word").transform(arrow_map, run, "id long, length long, keys array<long>")
 
 
+def moved(table: DataFrame) -> DataFrame:
+    """table, which is shuffled to what it is joined with: tables of words grow with the corpus, however few bytes they take
+    when compressed, and a broadcast would hold them whole in the driver."""
+    return table.hint("merge")
+
+
 def near_pairs(table: DataFrame) -> DataFrame:
     """word, other, other_n: all ordered pairs of near words of the table (word, n). Keys move with numbers of the words,
     and words meet only where two of them have met at a key."""
@@ -96,9 +102,9 @@ def near_pairs(table: DataFrame) -> DataFrame:
     right = own.select(F.col("id").alias("other_id"), F.col("length").alias("other_length"), "key", (F.col("pos") == 0).alias("other_whole"))
     # an insertion meets at the shorter word's own key, a replacement at a deletion of both
     alike = (F.col("whole") != F.col("other_whole")) | (~F.col("whole") & ~F.col("other_whole") & (F.col("length") == F.col("other_length")))
-    met = left.join(right, "key").filter(alike & (F.col("id") != F.col("other_id"))).select("id", "other_id").distinct()
+    met = left.join(moved(right), "key").filter(alike & (F.col("id") != F.col("other_id"))).select("id", "other_id").distinct()
     others = numbered.select(F.col("id").alias("other_id"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    return met.join(numbered.select("id", "word"), "id").join(others, "other_id").select("word", "other", "other_n").transform(arrow_map, verified, "word string, other string, other_n long")
+    return met.join(moved(numbered.select("id", "word")), "id").join(moved(others), "other_id").select("word", "other", "other_n").transform(arrow_map, verified, "word string, other string, other_n long")
 
 
 def one_apart(a: str, b: str) -> bool:
@@ -123,19 +129,19 @@ def variants(table: DataFrame) -> DataFrame:
     best = F.min(F.struct((-F.col("other_n")).alias("minus_n"), "other"))  # strings compare in code-point order
     near = near_pairs(table).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     is_form = -F.col("best.minus_n") >= FACTOR * F.col("n")
-    forms = table.join(near, "word", "left").select("word", F.when(is_form, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, -F.col("best.minus_n")).alias("form_n"))
+    forms = table.join(moved(near), "word", "left").select("word", F.when(is_form, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, -F.col("best.minus_n")).alias("form_n"))
     forms = materialize(forms, "forms")
     at = store(forms.filter("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:
         roots = spark.read.parquet(at)
         onward = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = store(roots.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        longer = store(roots.join(moved(onward), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         remove(spark, at)
-        at = moved
+        at = longer
         if spark.read.parquet(at).filter("moved").isEmpty():
             break
     roots = spark.read.parquet(at).select("word", "root")
-    return forms.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return forms.join(moved(roots), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:

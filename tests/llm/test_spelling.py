@@ -98,3 +98,10 @@ def test_one_apart():
 
 def test_empty_table(spark):
     assert spelling.variants(spelling.words(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_no_table_of_words_goes_through_the_driver(spark):
+    table = spark.createDataFrame([("walking", 50), ("walkin", 5), ("talking", 6)], "word string, n long")
+    for found in (spelling.near_pairs(table), spelling.variants(table)):
+        found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().toString()
