@@ -389,7 +389,8 @@ _POOL = f"""@CORPUS@, {ASKED}, {_GREP}, k AS (SELECT g.query_id, g.anchor, g.dis
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _corpus(spark, sf_dir)[1]
-    hits = lexical.grep(_asked(spark, sf_dir), chunks, 50).join(chunks.select("anchor", "ordinal", "tokens", "text", "chunk_digest"), "anchor")
+    hits = written(lexical.grep(_asked(spark, sf_dir), chunks, 50), "hits")  # so that its size is known and no text moves to meet it
+    hits = hits.join(chunks.select("anchor", "ordinal", "tokens", "text", "chunk_digest"), "anchor")
     return hits.withColumn("score", F.col("distinct_terms").cast("double")).withColumn("section", X.section_of(F.col("anchor"))).withColumn("doc", X.section_of(F.col("anchor"))).withColumn("depth", 1 + F.col("ordinal") % 4)
 
 
