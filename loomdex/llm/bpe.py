@@ -29,7 +29,7 @@ from loomdex.llm.common import arrow_map, batch, long_lists
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: How many words, and how many pre-tokens, a generation of the memo holds.
-MEMO = 100_000
+MEMO = 400_000
 #: Fixed value: the characters with the Unicode property White_Space.
 WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pattern for which a single space between others always begins a pre-token; others are matched as a whole.
@@ -120,6 +120,8 @@ class Codec:
         for x, y, r in zip(tables.left.tolist(), tables.right.tolist(), tables.merged.tolist(), strict=True):
             self.follows[x][y] = r
         self.byte_id = [ranks.get(bytes([b]), -1) for b in range(256)]
+        #: By two bytes that follow each other, as one number: what they merge into.
+        self.byte_pairs = [self.follows[a].get(b, -1) if a >= 0 else -1 for a in self.byte_id for b in self.byte_id]
         self.split = regex.compile(rust_classes(pattern)).findall
         #: Two generations of what was met lately: words with the space before them, and pre-tokens.
         self.chunks: dict[str, bytes] = {}
@@ -141,10 +143,9 @@ class Codec:
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a pre-token that is no entry: lowest rank first, then leftmost, over linked bytes."""
         n, follows, push, pop = len(piece), self.follows, heapq.heappush, heapq.heappop
-        byte_id = self.byte_id
-        ids = [byte_id[b] for b in piece]
+        ids, pairs = list(map(self.byte_id.__getitem__, piece)), self.byte_pairs
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merged = [follows[a].get(b, -1) for a, b in zip(ids, ids[1:], strict=False)]  # what a part and the next merge into
+        merged = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]  # what a part and the next merge into
         heap = [r << 32 | i for i, r in enumerate(merged) if r >= 0]
         merged.append(-1)
         heapq.heapify(heap)

@@ -442,3 +442,11 @@ def test_substring(spark, docs, none, monkeypatch):
     assert substring.remove_repeats(none).count() == 0
     whole = {(r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(docs).collect()}
     assert (7, 60_000, 60_000) in whole and (3, 0, 0) in whole
+
+
+def test_bpe_finds_pairs_of_bytes_without_a_lookup_by_part():
+    """What two bytes merge into is one place of a list, for bytes that the vocabulary lacks too."""
+    ranks = {b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"abc": 4, b"bc": 5}
+    c = bpe.Codec(ranks, bpe.SPACED)
+    assert len(c.byte_pairs) == 1 << 16 and c.byte_pairs[ord("a") << 8 | ord("b")] == 3 and c.byte_pairs[ord("x") << 8 | ord("b")] == -1
+    assert c.merge(b"abcbc") == [4, 5] and c.merge(b"cab") == [2, 3] and c.merge(b"a") == [0]
