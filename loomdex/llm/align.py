@@ -9,7 +9,9 @@ The query uses that: neither tokenizer has a token over a single space between t
 text is the sequence of its parts between such spaces, and equal parts have equal tokens, groups and links. ``coded`` writes
 documents by batches of bounded size, each with a dictionary of its parts; all distinct parts are tokenized and aligned
 once; a batch then gets what its dictionary needs, and no part, however frequent, is there twice in a batch. A text that
-has no such space is one part, so nothing bounds a part but its text.
+has no such space is one part, so nothing bounds a part but its text. Parts are known by 128 bits of their SHA-256, so
+that no row of a token carries its text, and are dealt to as many buckets as their number asks for: a task sorts the
+tokens of a bucket several times at once, which have to fit its memory.
 
 Defined results: texts null, empty, or of which either tokenizer's bytes differ from space + text have no tokens: zeros and
 an empty groups_sha256. Null and repeated doc_ids are documents of their own. An empty table gives no rows. Other columns
@@ -28,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import arrow_map, batch, bucket_count, bucketed, give_back, settled
+from loomdex.llm.common import MOST_BUCKETS, arrow_map, batch, bucket_count, bucketed, give_back, settled
 
 VOCABULARIES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A space at which both tokenizers cut.
@@ -39,6 +41,8 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 MARK = "▁"
 #: Bytes of texts in a batch of documents, if no text is longer: the more, the fewer parts are in several dictionaries.
 LOT = 12 << 20
+#: Entries of dictionaries for each bucket of parts.
+BUCKET_PARTS = 1 << 16
 
 
 def default_paths() -> tuple[str, str]:
@@ -104,7 +108,7 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.int32) if n else np.zeros(0, np.int32)
 
 
-CODED = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.binary()), ("parts", pa.list_(pa.string()))])
+CODED = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.binary()), ("n_parts", pa.int64()), ("parts", pa.list_(pa.string()))])
 
 
 def code(texts: pa.Array, parts: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -137,7 +141,7 @@ def code(texts: pa.Array, parts: bool) -> tuple[np.ndarray, np.ndarray, list[str
 
 
 def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None) -> DataFrame:
-    """batch, doc_ids, counts, codes, parts: documents in batches of bounded size, as sequences of codes of the batch's distinct parts."""
+    """batch, doc_ids, counts, codes, n_parts, parts: documents in batches of bounded size, as sequences of codes of the batch's distinct parts."""
     parts = falls_into_parts((paths or default_paths())[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +152,7 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths
             table = pa.Table.from_batches(held)
             held.clear()
             counts, codes, found = code(table.column(1), parts)
-            return batch(CODED, [task.partitionId() << 32 | seen], [table.column(0).to_pylist()], [counts.tolist()], [packed(codes)], [found])
+            return batch(CODED, [task.partitionId() << 32 | seen], [table.column(0).to_pylist()], [counts.tolist()], [packed(codes)], [len(found)], [found])
 
         for b in batches:
             held.append(b)
@@ -158,25 +162,28 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths
         if sum(x.num_rows for x in held):
             yield lot()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, "batch long, doc_ids array<long>, counts array<int>, codes binary, parts array<string>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, "batch long, doc_ids array<long>, counts array<int>, codes binary, n_parts long, parts array<string>")
+
+
+def part_key(part: str) -> Column:
+    """What a part is known by: 16 bytes."""
+    return F.substring(F.unhex(F.sha2(part, 256)), 1, 16)
 
 
 def tokens(parts: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """part, same, a, a_bytes, b, b_bytes: ids and byte lengths of each part by both tokenizers."""
+    """key, same, a, a_bytes, b, b_bytes: ids and byte lengths of each part by both tokenizers. parts: key, part."""
     how = paths or default_paths()
     lists = pa.list_(pa.int32())
-    schema = pa.schema([("part", pa.string()), ("same", pa.bool_()), ("a", lists), ("a_bytes", lists), ("b", lists), ("b_bytes", lists)])
+    schema = pa.schema([("key", pa.binary()), ("same", pa.bool_()), ("a", lists), ("a_bytes", lists), ("b", lists), ("b_bytes", lists)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = pair(*how)
+        both = pair(*how)  # kept by the worker: 40 MB, and half a second for each bucket else
         for b in batches:
             for at in range(0, b.num_rows, 1024):
-                some = b.column(0).slice(at, 1024)
-                yield batch(schema, some, *zip(*both.tokens(some.to_pylist()), strict=True))
-        del both
-        pair.cache_clear()  # a worker outlives its task, and other work needs the memory meanwhile
+                some = b.slice(at, 1024)
+                yield batch(schema, some.column(0), *zip(*both.tokens(some.column(1).to_pylist()), strict=True))
 
-    return parts.select("part").transform(arrow_map, run, "part string, same boolean, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
+    return parts.select("key", "part").transform(arrow_map, run, "key binary, same boolean, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
 
 
 def ends(side: DataFrame, key: str) -> DataFrame:
@@ -313,13 +320,16 @@ def alignment(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFram
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row of docs (doc_id, text)."""
     spark, buckets = docs.sparkSession, bucket_count(docs)
     batches = bucketed(coded(docs, paths=paths), "coded", "batch", buckets)
-    held = batches.select(F.col("batch").alias("of"), F.posexplode("parts").alias("code", "part"))
-    coded_docs = batches.drop("parts")
+    entries = batches.select(F.col("batch").alias("of"), F.posexplode("parts").alias("code", "part"))
+    coded_docs = batches.drop("n_parts", "parts")
 
     def assembly() -> DataFrame:
-        keyed = bucketed(tokens(held.select("part").distinct(), paths).withColumn("key", F.monotonically_increasing_id()), "tokens", "key", buckets)
+        n = max(buckets, min(-(-(batches.agg(F.sum("n_parts")).first()[0] or 0) // BUCKET_PARTS), MOST_BUCKETS))
+        moved = entries.repartition(n, part_key("part"))  # once: a task gets and writes one bucket
+        held = bucketed(moved.withColumn("key", part_key("part")), "held", "key", n)
+        keyed = bucketed(tokens(held.select("key", "part").distinct(), paths), "tokens", "key", n)
         of_key = listed(keyed.filter("same").select("key", "a", "a_bytes", "b", "b_bytes"))
-        of_batch = held.join(keyed.select("part", "key"), "part").drop("part").join(of_key, "key", "left").select("of", "code", "listed")
+        of_batch = held.select("of", "code", "key").join(of_key, "key", "left").select("of", "code", "listed")
         return coded_docs.groupBy("batch").cogroup(of_batch.groupBy("of")).applyInArrow(assembled, CARRIED_SQL)
 
     with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # joins by key and end keep the partitioning by key

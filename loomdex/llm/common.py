@@ -74,7 +74,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 #: Bytes of an input, as stored, for each bucket of a table; a bucket is read by one task.
-BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 1 << 17
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000  # Spark's own limit of a table
 
 
 def bucket_count(df: DataFrame) -> int:

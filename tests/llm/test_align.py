@@ -108,3 +108,20 @@ def test_parts_join_to_the_text():
     for text, n in zip(texts, counts, strict=True):
         assert " ".join(parts[c] for c in codes[at : at + n]) == (text or "")
         at += n
+
+
+def test_buckets_follow_the_number_of_parts(spark, libraries, monkeypatch):
+    """A task sorts one bucket's tokens, so buckets are as many as the parts ask for, with one file each."""
+    made = {}
+
+    def watched(df, tag, key, buckets):
+        made[tag] = buckets, (table := bucketed(df, tag, key, buckets))
+        return table
+
+    bucketed = align.bucketed
+    monkeypatch.setattr(align, "bucketed", watched)
+    monkeypatch.setattr(align, "BUCKET_PARTS", 50)
+    rows = [(k, " ".join(f"word{(k * 7 + j) % 900}" for j in range(60))) for k in range(100)]
+    got = align.alignment(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
+    assert ordered(tuple(r) for r in got) == ordered(brute(rows, libraries))
+    assert made["tokens"][0] >= 900 // 50 > made["coded"][0]
