@@ -32,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of documents that share 4/5 of their five-word shingles;
-    where rows share that id, the one with the smallest hash of its text, once. A null doc_id is the largest; texts without
+    """Keeps the document with the smallest id of each component of documents that share 4/5 of their five-word shingles,
+    by SimHash first and then by an exact search for what it leaves apart; where rows share that id, the one with the smallest hash of its text, once. A null doc_id is the largest; texts without
     a word, and null ones, are copies of each other."""
     return similar.keep_one(docs)
 

@@ -45,17 +45,25 @@ RADIUS = 2
 CUTS = 6
 
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
+def hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """The hash of each run of so many words, in order, repeats included."""
     w = text.lower().split()  # of bytes: A-Z, and the six ASCII blanks
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     grams = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    n = max(1, len(w) - words + 1)
-    h = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64, n)
+    return np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64, max(1, len(w) - words + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits, as a signed long, that are set in over half of the hashes; zero of none."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, n, 65536):
+    for k in range(0, len(h), 65536):
         ones += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little", signed=True)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little", signed=True)
+
+
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
+    return majority(hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, version: bool = False) -> DataFrame:

@@ -1,15 +1,17 @@
 """Near-duplicates by Jaccard similarity of shingles, exact.
 
-Two documents link if the sets of their five-word shingles (64-bit hashes, of which op5's fingerprints are the
-majorities) have a Jaccard similarity of 4/5 or more; a component is all that links reach. Fingerprints alone can't
-decide this: at 4/5 about 10 of 64 bits differ, give or take 3, and segments for such a radius are 3 bits wide.
+Two documents link if the sets of their five-word shingles (64-bit hashes) have a Jaccard similarity of 4/5 or more; a
+component is all that links reach. SimHash comes first: a text's fingerprint is the majority of its shingles' hashes,
+op5's pigeonring search pairs fingerprints that are equal or differ in 2 bits at most, and what it pairs is checked on
+the whole sets. Fingerprints alone can't find all: at 4/5 about 10 of 64 bits differ, give or take 3, and segments for
+such a radius are 3 bits wide. So what they leave apart is searched for pairs between their components.
 
-Candidates come from prefix filtering, which loses no pair: in any one order of all shingles, sets of similarity t or
+These candidates come from prefix filtering, which loses no pair: in any one order of all shingles, sets of similarity t or
 more meet within their first n - ceil(t * n) + 1. The order puts shingles that are common in a sample last; what the
 sample holds changes how many candidates there are, never which links. The sets that have a shingle in front are a
 group; groups of the same sets are one. A bitmap of each set travels to its groups, and there pairs fall out whose
 bitmaps differ in more bits than similar sets do in members (a bitmap never differs in more bits than its set does in
-members, so none is lost). Of the pairs left, a forest that spans them is sent on, meets once more with bitmaps in
+members, so none is lost). Of the pairs left between components of the fingerprints, a forest that spans them is sent on, meets once more with bitmaps in
 proportion to the sets, and is checked on the whole sets; where one of its edges fails, the group's other pairs between
 components are checked too. Groups of more than ``most`` sets are searched by joins instead, to the same end.
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from loomdex.llm.common import arrow_map, as_bytes, batch, id_key, materialize, settled
-from loomdex.llm.simhash import SEED, components
+from loomdex.llm.simhash import components, edges, hashes, majority
 
 WORDS = 5
 #: The most shingles that are put last, and in how many sampled documents (one of SAMPLE) they stand at least.
@@ -42,11 +44,7 @@ GROUP = 2048
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """The distinct hashes of the runs of so many words, ascending."""
-    w = text.lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    grams = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, max(1, len(w) - words + 1)))
+    return np.unique(hashes(text, words))
 
 
 def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -89,23 +87,25 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, version, fp (a hash of the set), n, bits (its bitmap), sketch, front (the prefix) of each of docs (doc_id, text, version)."""
+    """doc_id, version, fp (a hash of the set), sim (the fingerprint), n, bits (its bitmap), sketch, front (the prefix) of each of docs (doc_id, text, version)."""
     common = common_shingles(docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("sketch", pa.binary()), ("front", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("fp", pa.int64()), ("sim", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("sketch", pa.binary()), ("front", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, n, bits, wide, front = [], [], [], [], []
+            fp, sim, n, bits, wide, front = [], [], [], [], [], []
             for t in as_bytes(b.column(2)):
-                s = shingles(t or b"")
+                h = hashes(t or b"", WORDS)
+                sim.append(majority(h))
+                s = np.unique(h)
                 fp.append(xxhash.xxh3_64_intdigest(s.tobytes()))
                 n.append(len(s))
                 bits.append(parity(s, BITS))
                 wide.append(sketch(s))
                 front.append(prefix(s, common).tobytes())
-            yield batch(schema, b.column(0), b.column(1), np.array(fp, np.uint64).view(np.int64), n, bits, wide, front)
+            yield batch(schema, b.column(0), b.column(1), np.array(fp, np.uint64).view(np.int64), sim, n, bits, wide, front)
 
-    return docs.select("doc_id", "version", "text").transform(arrow_map, run, "doc_id long, version long, fp long, n int, bits binary, sketch binary, front binary")
+    return docs.select("doc_id", "version", "text").transform(arrow_map, run, "doc_id long, version long, fp long, sim long, n int, bits binary, sketch binary, front binary")
 
 
 def fronts(classes: DataFrame) -> DataFrame:
@@ -165,28 +165,29 @@ EDGES = pa.schema([("key", pa.int64()), ("f", pa.int64()), ("g", pa.int64())])
 
 
 def forest(members: DataFrame) -> DataFrame:
-    """key, f, g: of the pairs of each group that its bitmaps leave open, a forest that spans them, by searching breadth
-    first; so copies of one text cost an edge each."""
+    """key, f, g: of the pairs of each group that its bitmaps leave open, a forest that spans them and joins the members of
+    different roots, by searching breadth first; so copies of one text cost an edge each. members: key, fp, n, bits, root."""
 
-    def each(key, fp, n, bits):
-        left, edges = np.arange(len(fp)), []
+    def each(key, fp, n, bits, root):
+        left, found = np.arange(len(fp)), []
         while len(left) > 1:
             todo, left = [left[0]], left[1:]
             while todo and len(left):
                 x = todo.pop()
                 near = ~apart(bits[left], bits[x], n[left], n[x])
                 near &= 5 * np.minimum(n[left], n[x]) >= 4 * np.maximum(n[left], n[x])
-                if near.any():
-                    met = left[near]
-                    edges.append(np.column_stack([np.full(len(met), x), met]))
-                    todo += met.tolist()
-                    left = left[~near]
-        if not edges:
+                same = root[left] == root[x]
+                met = left[near & ~same]
+                if len(met):
+                    found.append(np.column_stack([np.full(len(met), x), met]))
+                todo += left[near | same].tolist()
+                left = left[~(near | same)]
+        if not found:
             return None
-        e = np.concatenate(edges)
+        e = np.concatenate(found)
         return np.full(len(e), key[0]), fp[e].min(axis=1), fp[e].max(axis=1)
 
-    return grouped(members, ["key", "fp", "n", "bits"], each, EDGES, "key long, f long, g long")
+    return grouped(members, ["key", "fp", "n", "bits", "root"], each, EDGES, "key long, f long, g long")
 
 
 def between(members: DataFrame) -> DataFrame:
@@ -255,8 +256,21 @@ def sized(a: str, b: str):
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """f, g: pairs of sets, by fp, whose fingerprints are equal or near: the first set of a fingerprint with each other of
+    it, and the first sets of two that op5's search links."""
+    sims = rows.groupBy("fp").agg(F.min("sim").alias("sim"))
+    firsts = materialize(sims.groupBy("sim").agg(F.min("fp").alias("first")), "fingerprints")
+    equal = sims.join(firsts, "sim").filter("fp <> first").select(F.col("first").alias("f"), F.col("fp").alias("g"))
+    near = edges(firsts.select(F.col("sim").alias("fp")))
+    near = near.join(firsts.toDF("f", "_f"), "f").join(firsts.toDF("g", "_g"), "g").select(F.col("_f").alias("f"), F.col("_g").alias("g"))
+    return equal.union(near).select(F.least("f", "g").alias("f"), F.greatest("f", "g").alias("g"))
+
+
 def links(rows: DataFrame, texts: DataFrame, most: int = GROUP, rounds: int = 6) -> DataFrame:
     """f, g: links that join all similar sets; rows as from hashed, texts: doc_id, version, text."""
+    pairs = materialize(alike(fingerprint_pairs(rows), rows), "fingerprint-pairs")
+    first = materialize(checked(pairs, shingle_sets(rows, texts, ends(pairs))), "similar")
     dealt = fronts(rows.select("fp", "n", "front").dropDuplicates(["fp"])).repartition("key")  # moved once for both
     sizes = dealt.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("held"), F.min("fp").alias("least")).filter("size > 1")
     listed = materialize(dealt.join(sizes, "key"), "fronts")
@@ -265,15 +279,16 @@ def links(rows: DataFrame, texts: DataFrame, most: int = GROUP, rounds: int = 6)
     members = materialize(listed.join(groups, "key").select("key", "fp", "n", "size"), "front-groups")
     maps = rows.select("fp", "n", "bits").dropDuplicates(["fp"])
     few = members.filter(F.col("size") <= most).select("key", "fp").join(maps, "fp")
+    few = few.join(components(first).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     trees = materialize(forest(few), "front-trees")
     crowded = members.filter(F.col("size") > most).select("key", "fp", "n")
     tried = trees.select("f", "g").distinct()
     left = materialize(alike(tried, rows), "alike")
-    found = materialize(checked(left, shingle_sets(rows, texts, ends(left))), "similar")
+    found = materialize(checked(left, shingle_sets(rows, texts, ends(left))), "similar").union(first)
     # where an edge of a tree fails, its group's other pairs decide
     torn = trees.join(found, ["f", "g"], "left_anti").select("key").distinct()
     roots = components(found).withColumnRenamed("node", "fp")
-    open_ = few.join(torn, "key", "left_semi").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    open_ = few.drop("root").join(torn, "key", "left_semi").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     other = between(open_).select("f", "g").distinct().join(tried, ["f", "g"], "left_anti")
     other = materialize(alike(other, rows), "alike")
     found = found.union(checked(other, shingle_sets(rows, texts, ends(other))))

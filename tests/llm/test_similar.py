@@ -69,3 +69,26 @@ def test_stage_catches_near_copies(spark):
     near = base[:100] + ["other"] + base[101:]
     docs = spark.createDataFrame([(1, " ".join(base), "en", "s", 1), (2, " ".join(near), "en", "s", 1), (3, " ".join(base[100:]), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
+def test_fingerprints_pair_first(spark, monkeypatch):
+    """The stage goes through SimHash: near fingerprints are paired by op5's search and checked, and what they miss is found beside."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(6):
+        base = [f"t{k}w{rng.randrange(10**6)}" for _ in range(3000)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join([*base[:1500], "other", *base[1501:]])), (10 * k + 2, " ".join(base).upper()), (10 * k + 3, " ".join(base[:2500]))]
+    rows += [(100, None), (101, " "), (102, "a b"), (103, "A b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, links = [], similar.fingerprint_pairs
+
+    def watched(hashed):
+        ids = {r.fp: r.doc_id for r in hashed.select("fp", "doc_id").collect() if r.doc_id % 10 != 2}
+        pairs.extend((ids[r.f], ids[r.g]) for r in links(hashed).collect())
+        return links(hashed)
+
+    monkeypatch.setattr(similar, "fingerprint_pairs", watched)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect())
+    assert got == brute(rows)
+    near = {(10 * k, 10 * k + 1) for k in range(6) if (similar.majority(similar.hashes(rows[4 * k][1].encode(), 5)) ^ similar.majority(similar.hashes(rows[4 * k + 1][1].encode(), 5))).bit_count() <= 2}
+    assert near and near <= {tuple(sorted(p)) for p in pairs}
