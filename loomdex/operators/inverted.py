@@ -8,16 +8,58 @@ row counts and lengths are those of the live rows, so scores equal those of an i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions.work import written
-from loomdex.operators import lexical
+from loomdex.operators import lexical, scan
 from loomdex.sources.snapshots import Conflict, Snapshots
 
 BUCKETS = 256
 
 
+POSTINGS = pa.schema([("key", pa.string()), ("dl", pa.int64()), ("field", pa.string()), ("term", pa.string()), ("at", pa.list_(pa.int32()))])
+
+
+def gathered(found: DataFrame, columns: list[str]) -> DataFrame:
+    """key, dl, field, term, at (its places, ascending) of each distinct term of each row's columns, gathered where the row is
+    read. found: key, dl and arrays of tokens; those of a column whose name begins with + stand for what their stem is indexed as."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meaning, memo = lexical.stem_meaning(), {}
+
+        def stands_for(word: str) -> str:
+            if len(memo) > 1 << 17:
+                memo.clear()
+            if word not in memo:
+                memo[word] = meaning(word)
+            return memo[word]
+
+        for b in batches:
+            for field, column in zip(columns, b.columns[2:], strict=True):
+                size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                each = pc.dictionary_encode(column.flatten())
+                code, names = each.indices.to_numpy(zero_copy_only=False).astype(np.int64), each.dictionary
+                if field.startswith("+"):
+                    again = pc.dictionary_encode(pa.array([stands_for(w) for w in names.to_pylist()], pa.string()))
+                    code, names = again.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code], again.dictionary
+                order = np.lexsort((place, code, row))
+                row, code, place = row[order], code[order], place[order]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])[: len(row)])
+                at = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(place, pa.int32()))
+                of = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.repeat(field, len(first)), names.take(pa.array(code[first])), at], schema=POSTINGS)
+
+    return scan.arrow_map(found.select("key", "dl", *[F.col(f"`{c}`") for c in columns]), run, "key string, dl long, field string, term string, at array<int>")
+
+
 class Index:
     """The index under root of rows with these fields, and with the stems of their words if stemmed."""
 
@@ -41,18 +83,9 @@ class Index:
 
     def _postings(self, found: DataFrame) -> DataFrame:
         """found: as from lexical.index."""
-        out = None
-        for f in self.fields:
-            at = found.select("key", "dl", F.lit(f).alias("field"), F.posexplode(F.col(f"`{f}`")).alias("pos", "term"))
-            out = at if out is None else out.unionByName(at)
-        if self.stemmed:
-            known = written(lexical.vocabulary(found, self.fields), "stems")
-            for f in self.fields:
-                at = found.select("key", "dl", F.lit(f"+{f}").alias("field"), F.posexplode(F.col(f"`+{f}`")).alias("pos", "word")).join(known, "word").drop("word")
-                out = out.unionByName(at)
-        held = out.groupBy("key", "dl", "field", "term").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+        columns = [*self.fields, *[f"+{f}" for f in self.fields if self.stemmed]]
         # a bucket with a frequent term is dealt over several tasks, and a file's terms come in order
-        return held.withColumn("bucket", self._bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+        return gathered(found, columns).withColumn("bucket", self._bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
 
     def update(self, rows: DataFrame | None = None, void: DataFrame | None = None, key: str = "anchor", note: dict | None = None) -> str:
         """Bring rows in, in place of those with the same key, and take the keys of void (key) out: one segment, one version."""

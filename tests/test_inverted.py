@@ -70,3 +70,13 @@ def test_the_corpus_keeps_its_index(spark, tmp_path):
     assert c._index() is not None and sorted(map(str, c.search(asked).collect())) == want
     new = c.index.versions.read(c.index._tables("rows")[2]).collect()
     assert {r.key.split("#")[0] for r in new} == {"notes/plain.md"}
+
+
+def test_postings_are_gathered_where_rows_are_read(spark, tmp_path):
+    """Of an update only the finished postings move, once: to their buckets."""
+    found = Index(spark, str(tmp_path / "i"), ["text", "title"], True)
+    index = lexical.index(table(spark, "abcdefg"), found.fields, True)
+    plan = found._postings(index)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan and plan.count("RebalancePartitions") == 1
+    got = {(r.key, r.field, r.term): r.at for r in found._postings(index).collect()}
+    assert got["f", "text", "queue"] == [0, 1, 2] and got["a", "+text", "retri"] == [0, 4] and ("g", "text", "") not in got
