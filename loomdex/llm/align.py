@@ -1,8 +1,9 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes of a text.
 
-The alignment is relational: tokens by posexplode, their ends by a window over lengths, cuts by an equi-join on text and
-end, groups by a running count of cuts, links by a join on text and group (``aligned``, ``groups``). Its texts may be whole
-documents or any parts at which both tokenizers cut anyway.
+The alignment is relational: tokens by posexplode, cuts by an equi-join on text and end, groups by a running count of cuts
+(``aligned``), links by a join of both sides. For tables of tokens ends come from a window over lengths and sides are joined
+on text and group (``groups``); for the query ends come with a part's tokens, and sides are joined on the part, in order of
+their groups (``listed``). Texts may be whole documents or any parts at which both tokenizers cut anyway.
 
 The query uses that: neither tokenizer has a token over a single space between two characters that are no white space
 (the first by its pattern; the second because no piece has a space mark behind another character, which is checked), so a
@@ -25,6 +26,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,24 +70,48 @@ class Pair:
         self.a.encode_special_tokens = True
         letters = byte_letters()
         vocabulary = self.a.get_vocab(with_added_tokens=False)
-        self.bytes_a = [b""] * (max(vocabulary.values(), default=-1) + 1)
+        in_a = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for token, k in vocabulary.items():
-            self.bytes_a[k] = bytes(letters[c] for c in token) if letters.keys() >= set(token) else b""
+            in_a[k] = bytes(letters[c] for c in token) if letters.keys() >= set(token) else b""
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace(MARK, " ").encode() for p in pieces]
-
-    def tokens(self, parts: list[str]) -> list[tuple[bool, list[int], list[int], list[int], list[int]]]:
-        """For each part, read with a space before it: whether both give its bytes, ids and byte lengths of the first, and of the second."""
-        out = []
-        for part, a, b in zip(parts, self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False), self.b.encode(parts, num_threads=1), strict=True):
-            ids = a.ids
-            in_a, in_b = [self.bytes_a[k] for k in ids], [self.bytes_b[k] for k in b]
-            whole = (" " + part).encode()
-            same = b"".join(in_a) == whole == b"".join(in_b)
-            out.append((same, ids, list(map(len, in_a)), b, list(map(len, in_b))) if same else (False, [], [], [], []))
+        in_b = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace(MARK, " ").encode() for p in pieces]
+        self.bytes_a, self.bytes_b = pa.array(in_a, pa.binary()), pa.array(in_b, pa.binary())
+
+    def tokens(self, parts: list[str]) -> list[pa.Array]:
+        """Of the parts, each read with a space before it: whether both give its bytes, the ids of the first and the bytes at which they
+        end, and of the second. Without tokens where they don't."""
+        whole = pa.array([(" " + p).encode() for p in parts], pa.binary())
+        size = pc.binary_length(whole).to_numpy(zero_copy_only=False).astype(np.int64)
+        same, sides = np.ones(len(parts), bool), []
+        in_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+        for ids, known in ((in_a, self.bytes_a), (self.b.encode(parts, num_threads=1), self.bytes_b)):
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, counts.sum())
+            got = known.take(pa.array(flat))
+            each = pc.binary_length(got).to_numpy(zero_copy_only=False).astype(np.int64)
+            fits = sums(each, np.concatenate([[0], np.cumsum(counts)])) == size
+            same &= fits & equal(got.filter(pa.array(np.repeat(fits, counts))), whole.filter(pa.array(fits)), fits, size)
+            sides.append((counts, flat, each))
+        out = [pa.array(same)]
+        for counts, flat, each in sides:
+            of = np.repeat(same, counts)
+            n, each = counts * same, each[of]
+            first = np.concatenate([[0], np.cumsum(n)])
+            run = np.concatenate([[0], np.cumsum(each)])
+            bounds = pa.array(first.astype(np.int32))
+            ends = run[1:] - np.repeat(run[first[:-1]], n)
+            out += [pa.ListArray.from_arrays(bounds, pa.array(v.astype(np.int32))) for v in (flat[of], ends)]
         return out
 
 
+def equal(got: pa.Array, whole: pa.Array, fits: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each part whether got, the bytes of its tokens, are whole: both one after another, for parts that fit, where they are of one size."""
+    one, other = (np.frombuffer(b"".join(x.to_pylist()), np.uint8) for x in (got, whole))
+    out = np.zeros(len(fits), bool)
+    out[fits] = sums(one != other, np.concatenate([[0], np.cumsum(size[fits])])) == 0
+    return out
+
+
 @cache
 def falls_into_parts(path_b: str) -> bool:
     """Whether no piece of the second tokenizer goes over a space mark behind another character."""
@@ -113,6 +139,12 @@ CODED = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("c
 
 def code(texts: pa.Array, parts: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(number of parts of each text, their codes one after another, the parts by code). parts: else each text is one."""
+    counts, codes, found = encoded(texts, parts)
+    return counts, codes, found.to_pylist()
+
+
+def encoded(texts: pa.Array, parts: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """As code, the parts as an array."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     lists = pc.split_pattern(texts, " ") if parts else pa.LargeListArray.from_arrays(np.arange(len(texts) + 1), texts)
@@ -120,7 +152,10 @@ def code(texts: pa.Array, parts: bool) -> tuple[np.ndarray, np.ndarray, list[str
     known = pc.dictionary_encode(lists.flatten())
     codes = known.indices.to_numpy().astype(np.int64)
     # a space isn't a cut beside white space: such texts, and empty ones, are cut by the rule itself
-    odd = np.array([not p or (parts and p != p.strip()) for p in known.dictionary.to_pylist()], bool)
+    odd = pc.equal(known.dictionary, "").to_numpy(zero_copy_only=False).copy()
+    if parts:  # only a part that begins or ends outside printable ASCII can have white space there
+        edge = np.flatnonzero(pc.match_substring_regex(known.dictionary, r"\A[^!-~]|[^!-~]\z").to_numpy(zero_copy_only=False))
+        odd[edge] = [p != p.strip() or not p for p in known.dictionary.take(pa.array(edge)).to_pylist()]
     owner = np.repeat(np.arange(len(counts)), counts)
     again = np.unique(owner[odd[codes]]) if len(codes) else np.zeros(0, np.int64)
     if len(again):
@@ -136,8 +171,8 @@ def code(texts: pa.Array, parts: bool) -> tuple[np.ndarray, np.ndarray, list[str
             else:
                 pieces.append(regular[starts[d] : starts[d + 1]])
         counts, codes, known = np.array([len(p) for p in pieces]), np.concatenate(pieces), more
-    used, codes = np.unique(codes, return_inverse=True)
-    return counts, codes, known.dictionary.take(pa.array(used)).to_pylist()
+    there = np.bincount(codes, minlength=len(known.dictionary)) > 0
+    return counts, (np.cumsum(there) - 1)[codes], known.dictionary.filter(pa.array(there))
 
 
 def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None) -> DataFrame:
@@ -151,8 +186,9 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths
         def lot() -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
             held.clear()
-            counts, codes, found = code(table.column(1), parts)
-            return batch(CODED, [task.partitionId() << 32 | seen], [table.column(0).to_pylist()], [counts.tolist()], [packed(codes)], [len(found)], [found])
+            counts, codes, found = encoded(table.column(1), parts)
+            found = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found.cast(pa.string()))
+            return batch(CODED, [task.partitionId() << 32 | seen], [table.column(0).to_pylist()], [counts.tolist()], [packed(codes)], [len(found.values)], found)
 
         for b in batches:
             held.append(b)
@@ -171,19 +207,19 @@ def part_key(part: str) -> Column:
 
 
 def tokens(parts: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """key, same, a, a_bytes, b, b_bytes: ids and byte lengths of each part by both tokenizers. parts: key, part."""
+    """key, same, a, a_end, b, b_end: ids of each part by both tokenizers, and the bytes at which they end. parts: key, part."""
     how = paths or default_paths()
     lists = pa.list_(pa.int32())
-    schema = pa.schema([("key", pa.binary()), ("same", pa.bool_()), ("a", lists), ("a_bytes", lists), ("b", lists), ("b_bytes", lists)])
+    schema = pa.schema([("key", pa.binary()), ("same", pa.bool_()), ("a", lists), ("a_end", lists), ("b", lists), ("b_end", lists)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(*how)  # kept by the worker: 40 MB, and half a second for each bucket else
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                some = b.slice(at, 1024)
-                yield batch(schema, some.column(0), *zip(*both.tokens(some.column(1).to_pylist()), strict=True))
+            for at in range(0, b.num_rows, 4096):
+                some = b.slice(at, 4096)
+                yield batch(schema, some.column(0), *both.tokens(some.column(1).to_pylist()))
 
-    return parts.select("key", "part").transform(arrow_map, run, "key binary, same boolean, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
+    return parts.select("key", "part").transform(arrow_map, run, "key binary, same boolean, a array<int>, a_end array<int>, b array<int>, b_end array<int>")
 
 
 def ends(side: DataFrame, key: str) -> DataFrame:
@@ -192,14 +228,16 @@ def ends(side: DataFrame, key: str) -> DataFrame:
 
 
 def aligned(side: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    """key, pos, id, group of side: a token's group is the number of cuts before its end; a cut is where tokens of both end."""
-    cut = ends(other, key).select(key, "end", F.lit(1).alias("cut"))
+    """key, pos, id, group of side (key, pos, id, end): a token's group is the number of cuts before its end; a cut is where tokens of
+    both end."""
+    cut = other.select(key, "end", F.lit(1).alias("cut"))
     before = Window.partitionBy(key).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    return ends(side, key).join(cut, [key, "end"], "left").select(key, "pos", "id", F.count("cut").over(before).alias("group"))
+    return side.select(key, "pos", "id", "end").join(cut, [key, "end"], "left").select(key, "pos", "id", F.count("cut").over(before).alias("group"))
 
 
 def groups(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """key, group, a, b: the ids of both sides in each group, in order. Within a group every id of a is linked to every one of b."""
+    a, b = ends(a, key), ends(b, key)
 
     def held(side: DataFrame, other: DataFrame, name: str) -> DataFrame:
         ids = F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
@@ -219,34 +257,45 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
 
 
 def listed(keyed: DataFrame) -> DataFrame:
-    """key, listed (the groups as text) of rows (key, a, a_bytes, b, b_bytes). All of it keeps the partitioning of keyed by key, if it
+    """key, listed (the groups as text, as groups() has them) of rows (key, a, a_end, b, b_end): a key's tokens of both sides meet in one row,
+    by group. All of it keeps the partitioning of keyed by key, if it
     has one and clusters of more columns may be held by fewer (see alignment)."""
 
     def side(name: str) -> DataFrame:
-        return keyed.select("key", F.posexplode(F.arrays_zip(F.col(name).alias("id"), F.col(f"{name}_bytes").alias("bytes")))).select("key", "pos", "col.id", "col.bytes")
+        return keyed.select("key", F.posexplode(F.arrays_zip(F.col(name).alias("id"), F.col(f"{name}_end").alias("end")))).select("key", "pos", "col.id", "col.end")
 
-    text = F.concat(F.array_join("a", ","), F.lit("|"), F.array_join("b", ","))
-    by = groups(side("a"), side("b"), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("group", text.alias("text")))).alias("g"))
-    return by.select("key", F.array_join(F.transform("g", lambda x: x["text"]), ";").alias("listed"))
+    def piece(x: Column, i: Column) -> Column:
+        before = F.col("m")[i - 1]["at"]
+        mark = F.when(i == 0, "").when(F.shiftright(before, 31) == F.shiftright(x["at"], 31), ",").when(F.shiftright(before, 32) == F.shiftright(x["at"], 32), "|").otherwise(";")
+        return F.concat(mark, x["id"].cast("string"))
 
+    def held(own: DataFrame, other: DataFrame, n: int) -> DataFrame:
+        place = F.shiftleft(F.col("group").cast("long"), 32) + F.lit(n << 31) + F.col("pos")  # by group, side and position
+        return aligned(own, other, "key").groupBy("key").agg(F.collect_list(F.struct(place.alias("at"), "id")).alias(f"m{n}"))
 
-def links_of(texts: list[str | None]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    a, b = side("a"), side("b")
+    by = held(a, b, 0).join(held(b, a, 1), "key").select("key", F.sort_array(F.concat("m0", "m1")).alias("m"))
+    return by.select("key", F.array_join(F.transform("m", piece), "").alias("listed"))
+
+
+def links_of(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """(n_a, n_b, n_groups and n_links of each listed text, the links one after another): every id of a group's first side with
-    every one of its second, as one long, the first id above."""
-    known: dict[str, tuple[int, int, list[int]]] = {}
-    flat: list[int] = []
-    rows = np.zeros((len(texts), 4), np.int64)
-    for k, text in enumerate(texts):
-        n_a = n_b = n = 0
-        began = len(flat)
-        for g in text.split(";") if text else ():
-            if (of := known.get(g)) is None:
-                a, b = (side.split(",") for side in g.split("|"))
-                of = known[g] = len(a), len(b), [int(x) << 32 | int(y) for x in a for y in b]
-            n_a, n_b, n = n_a + of[0], n_b + of[1], n + 1
-            flat += of[2]
-        rows[k] = n_a, n_b, n, len(flat) - began
-    return dict(zip(("n_a", "n_b", "n_groups", "n_links"), rows.T, strict=True)), np.array(flat, np.int64)
+    every one of its second, as one long, the first id above. Each distinct group is read once."""
+    listed = pc.split_pattern(pc.fill_null(texts, ""), ";")
+    known = pc.dictionary_encode(listed.flatten())
+    at = known.indices.to_numpy().astype(np.int64)
+    found = np.zeros((len(known.dictionary), 4), np.int64)
+    links: list[list[int]] = []
+    for k, group in enumerate(known.dictionary.to_pylist()):
+        a, b = (side.split(",") for side in group.split("|")) if group else ((), ())
+        links.append([int(x) << 32 | int(y) for x in a for y in b])
+        found[k] = len(a), len(b), group != "", len(links[k])
+    rows = np.diff(np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(found[at], axis=0)])[listed.offsets.to_numpy()], axis=0)
+    flat = np.array([x for own in links for x in own], np.int64)
+    size = found[at, 3]
+    first = (np.cumsum(found[:, 3]) - found[:, 3])[at]
+    spots = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+    return dict(zip(("n_a", "n_b", "n_groups", "n_links"), rows.T, strict=True)), flat[spots]
 
 
 LONGS = pa.list_(pa.int64())
@@ -259,6 +308,13 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)])[bounds])
 
 
+def distinct(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The distinct values, in the order of their last places, without a sort. at: room for each value there may be."""
+    place = np.arange(len(values))
+    at[values] = place
+    return values[at[values] == place]
+
+
 def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
     """The documents of a batch from its codes and what is known of its parts: a row of all their figures, and a row for each pair
     of ids with the number of documents that hold it linked."""
@@ -266,24 +322,27 @@ def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
     counts = np.array(row["counts"], np.int64)
     bounds = np.concatenate([[0], np.cumsum(counts)])
     codes = unpacked(row["codes"], int(bounds[-1]))
-    texts = right["listed"].to_pylist()
-    of_part, flat = links_of(texts)
+    listed = right["listed"].combine_chunks()
+    listed = pa.concat_arrays(listed.chunks) if isinstance(listed, pa.ChunkedArray) else listed
+    of_part, flat = links_of(listed)
+    texts = listed.to_pylist()
     same, n_links = of_part["n_groups"] > 0, of_part["n_links"]  # a part with tokens has a group
     starts = np.concatenate([[0], np.cumsum(n_links)])
     pairs, at = np.unique(flat, return_inverse=True)
     good = (counts > 0) & (sums(~same[codes], bounds) == 0)
     figures = {n: sums(of[codes], bounds) * good for n, of in of_part.items()}
     docs_of, sha = np.zeros(len(pairs), np.int64), []
+    kind_at, pair_at = np.zeros(len(same), np.int64), np.zeros(len(pairs), np.int64)
     for d in range(len(counts)):
         if not good[d]:
             sha.append("")
             continue
         own = codes[bounds[d] : bounds[d + 1]]
         sha.append(hashlib.sha256(";".join([texts[c] for c in own.tolist()]).encode()).hexdigest())
-        kinds = np.unique(own)
+        kinds = distinct(own, kind_at)
         n = n_links[kinds]
         spots = np.arange(n.sum()) + np.repeat(starts[kinds] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        docs_of[np.unique(at[spots])] += 1
+        docs_of[distinct(at[spots], pair_at)] += 1
     one = [row["batch"], *(figures[n].tolist() for n in ("n_a", "n_b", "n_groups", "n_links")), sha, n_links.tolist(), packed(at), None, None]
     head = pa.Table.from_pylist([dict(zip(CARRIED.names, one, strict=True))], schema=CARRIED)
     tail = {n: pa.nulls(len(pairs), CARRIED.field(n).type) for n in CARRIED.names} | {"batch": pa.array(np.full(len(pairs), row["batch"])), "pair": pa.array(pairs), "n": pa.array(docs_of)}
@@ -326,9 +385,9 @@ def alignment(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFram
     def assembly() -> DataFrame:
         n = max(buckets, min(-(-(batches.agg(F.sum("n_parts")).first()[0] or 0) // BUCKET_PARTS), MOST_BUCKETS))
         moved = entries.repartition(n, part_key("part"))  # once: a task gets and writes one bucket
-        held = bucketed(moved.withColumn("key", part_key("part")), "held", "key", n)
+        held = bucketed(moved.withColumn("key", part_key("part")).sortWithinPartitions("key"), "held", "key", n)  # so that later sorts find runs
         keyed = bucketed(tokens(held.select("key", "part").distinct(), paths), "tokens", "key", n)
-        of_key = listed(keyed.filter("same").select("key", "a", "a_bytes", "b", "b_bytes"))
+        of_key = listed(keyed.filter("same").select("key", "a", "a_end", "b", "b_end"))
         of_batch = held.select("of", "code", "key").join(of_key, "key", "left").select("of", "code", "listed")
         return coded_docs.groupBy("batch").cogroup(of_batch.groupBy("of")).applyInArrow(assembled, CARRIED_SQL)
 

@@ -125,3 +125,16 @@ def test_buckets_follow_the_number_of_parts(spark, libraries, monkeypatch):
     got = align.alignment(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
     assert ordered(tuple(r) for r in got) == ordered(brute(rows, libraries))
     assert made["tokens"][0] >= 900 // 50 > made["coded"][0]
+
+
+def test_a_part_meets_its_tokens_once(spark, libraries):
+    """Each side's ends meet the other's once, and groups of a part are collected in its own row: no second aggregation and join by group."""
+    pair = align.pair(*align.default_paths())
+    words = ["fox", "▁", "Überzählig", "", "x" * 50, "東京"]
+    assert [len(set(map(len, t))) for t in zip(*(x.to_pylist() for x in pair.tokens(words)[1:3]), strict=True)] == [1] * 6
+    assert pair.tokens(words)[0].to_pylist()[:3] == [True, False, True]
+    keyed = spark.createDataFrame([(bytes([1]), [10, 11, 12], [2, 5, 6], [20, 21], [5, 6]), (bytes([2]), [10, 11], [2, 4], [20, 21], [1, 4])], "key binary, a array<int>, a_end array<int>, b array<int>, b_end array<int>")
+    plan = align.listed(keyed)
+    assert {bytes(r.key)[0]: r.listed for r in plan.collect()} == {1: "10,11|20;12|21", 2: "10,11|20,21"}
+    shown = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("Join") == 3 and shown.count("Aggregate") == 2 and shown.count("Window ") == 2
