@@ -94,8 +94,10 @@ def search(
     if index is not None and index.serves(settings.weights, settings.stems):
         scorer = index.scorer(queries, settings.weights)
     else:
-        scorer = lexical.scorer(queries, lexical.index(rows, list(settings.weights), settings.stems, keep=False), settings.weights, settings.stems)
-    allowed = rows.filter(keep).select("anchor", "path")
+        own = set(settings.weights) <= set(chunks.columns) - set(of_docs)  # then texts needn't move to their documents
+        known = lexical.written(rows.select(F.col("anchor").alias("key")), "known") if own else None
+        scorer = lexical.scorer(queries, lexical.index(chunks if own else rows, list(settings.weights), settings.stems, keep=False), settings.weights, settings.stems, only=known)
+    allowed = lexical.written(rows.filter(keep).select("anchor", "path"), "allowed")  # every leg asks for it
     depth = max(settings.limit, retrieval.DEPTH)
     words = lexical.top(scorer.best(depth, allowed.select(F.col("anchor").alias("key"))).withColumnRenamed("key", "anchor"), depth)
     legs = words.select("query_id", F.lit("lexical").alias("leg"), "anchor", "rank")
@@ -106,14 +108,15 @@ def search(
     asked = planner.plan(queries, related)
     if settings.symbols and symbols is not None:
         legs = lexical.written(legs, "legs")
-        wanted = symbol_candidates(asked.filter(F.array_contains("generators", "symbol")), symbols).join(allowed, "anchor", "left_semi")
+        wanted = lexical.written(symbol_candidates(asked.filter(F.array_contains("generators", "symbol")), symbols).join(allowed, "anchor", "left_semi"), "named")
         leg = scorer.rank(add_only(wanted, legs)).filter(F.col("rank") <= PROPOSED)
         legs, via = legs.unionByName(leg.select("query_id", F.lit("symbol").alias("leg"), "anchor", "rank")), wanted.select("query_id", "anchor", "via")
     if settings.graph and edges is not None:
         legs = lexical.written(legs, "legs")
         seeds = retrieval.rrf(legs, SEEDS).join(asked.filter(F.array_contains("generators", "graph")).select("query_id"), "query_id", "left_semi")
-        wanted = graph_candidates(seeds.select("query_id", F.col("rank").alias("seed_rank"), "anchor"), edges, chunks, symbols).join(allowed, "anchor")
-        ranked = scorer.rank(add_only(wanted, legs)).join(allowed, "anchor")
+        seeds = lexical.written(seeds.select("query_id", F.col("rank").alias("seed_rank"), "anchor"), "seeds")
+        wanted = lexical.written(graph_candidates(seeds, edges, chunks, symbols).join(allowed, "anchor"), "near")
+        ranked = scorer.rank(add_only(wanted, legs)).join(wanted.select("anchor", "path").distinct(), "anchor")
         first = F.row_number().over(Window.partitionBy("query_id", "path").orderBy("rank"))
         ranked = ranked.withColumn("_n", first).filter("_n = 1").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
         legs = legs.unionByName(ranked.filter(F.col("rank") <= PROPOSED).select("query_id", F.lit("graph").alias("leg"), "anchor", "rank"))
@@ -124,7 +127,8 @@ def search(
         fused = fused.withColumn("via", F.lit(None).cast("string"))
     else:
         fused = fused.join(via.groupBy("query_id", "anchor").agg(F.min("via").alias("via")), ["query_id", "anchor"], "left").withColumn("via", F.when(derived, F.col("via")))
-    hydrated = fused.join(rows.select("anchor", "path", "status", "text", "tokens"), "anchor")
+    fused = lexical.written(fused, "fused")  # so that its size is known and no text moves to meet it
+    hydrated = fused.join(chunks.select("anchor", "doc_id", "text", "tokens"), "anchor").join(docs.select("doc_id", "path", "status"), "doc_id")
     return hydrated.select("query_id", "rank", "anchor", F.round("score", 9).alias("score"), "n_legs", "legs", "ranks", "via", "path", "status", retrieval.snippet(F.col("text"), settings.text).alias("snippet"), "tokens")
 
 

@@ -101,7 +101,9 @@ def search_planned(spark, sf_dir):
 @query(f"""WITH hits AS ({ORACLES["search_planned"]}) SELECT 'hits' AS leg, 'ok' AS state, count(*) AS rows FROM hits UNION ALL SELECT 'vector', 'failed', 0""")
 def search_degraded(spark, sf_dir):
     """The planned search with an embedder that can't be reached: every hit of the other legs, and the failure told."""
-    docs, chunks, symbols, edges = (written(t, "leg-table") for t in _leg_tables(spark, sf_dir))  # as a store holds them
+    docs, chunks, symbols, edges = _leg_tables(spark, sf_dir)
+    docs, chunks = docs.drop("text"), chunks.select("anchor", "doc_id", "text", "tokens")  # all that a search reads
+    docs, chunks, symbols, edges = (written(t, "leg-table") for t in (docs, chunks, symbols, edges))  # as a store holds them
     settings = Settings(limit=20, hybrid=True, symbols=True, graph=True, stems=False, include_candidate=True, weights={"text": 1.0})
     unreachable = lambda asked: asked.select("query_id", F.col("query").alias("anchor"), F.raise_error(F.lit("no embedder")).cast("int").alias("rank"))
     _, legs = measured(_led(spark, sf_dir), docs, chunks, settings, unreachable, symbols=symbols, edges=edges)
