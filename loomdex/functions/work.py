@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,19 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df, computed once: written to the work folder and read again."""
-    path = f"{folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    return _written(df, f"{folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def held_for(df: DataFrame, tag: str) -> Iterator[DataFrame]:
+    """As written, for what is run inside the block only: the table goes with it."""
+    path = f"{folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    try:
+        yield _written(df, path)
+    finally:
+        _remove(df.sparkSession, path)

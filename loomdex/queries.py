@@ -167,7 +167,8 @@ def bm25_fielded_repeated_arms(spark, sf_dir):
 def bm25_stored_index(spark, sf_dir):
     """The same from a stored index of three segments: half of the rows, then the others with some of the first brought again, and
     rows that were in it for a while deleted."""
-    rows = _rows(spark, sf_dir)
+    # a chunk's title is its document's own, so texts needn't meet other tables
+    rows = tables.chunks(tables.named(spark, sf_dir).filter("doc_id IS NOT NULL"), "title").select("anchor", "doc_id", "text", "title")
     found = inverted.Index(spark, f"{work.folder(spark)}/index-{uuid.uuid4().hex}", ["text", "title"], stemmed=False)
     wrong = rows.filter("doc_id % 4 = 0").withColumn("text", F.concat("text", F.lit(" "), "text"))
     stray = rows.filter("doc_id % 8 = 1").withColumn("anchor", F.concat(F.lit("stray/"), "anchor"))

@@ -58,9 +58,10 @@ def depth_for(rows: int) -> int:
 def leaves(rows: DataFrame, key: list[str], depth: int) -> DataFrame:
     """range, rows, digest: rows that repeat count once with their number, and a range's rows meet in 256 parts before they
     meet as one, so that a range which many rows share is no task's alone."""
-    each = rows.select(range_of(key, depth).alias("range"), row_digest(rows.columns).alias("d")).groupBy("range", "d").agg(F.count("*").alias("n"))
-    listed = F.array_join(F.array_sort(F.collect_list(F.concat("d", F.lit(":"), F.col("n").cast("string")))), ",")
-    part = each.groupBy("range", F.substring("d", 1, 2).alias("p")).agg(F.sum("n").alias("n"), F.sha2(listed, 256).alias("d"))
+    digest = F.unhex(row_digest(rows.columns))  # half of its digits' bytes
+    each = rows.select(range_of(key, depth).alias("range"), digest.alias("d")).groupBy("range", "d").agg(F.count("*").alias("n"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("d", "n"))), lambda x: F.concat(F.lower(F.hex(x["d"])), F.lit(":"), x["n"].cast("string")))
+    part = each.groupBy("range", F.lower(F.hex(F.substring("d", 1, 1))).alias("p")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(lines, ","), 256).alias("d"))
     whole = F.array_join(F.array_sort(F.collect_list(F.concat("p", F.lit(":"), "d"))), ",")
     return part.groupBy("range").agg(F.sum("n").alias("rows"), F.sha2(whole, 256).alias("digest"))
 
@@ -258,9 +259,10 @@ class Snapshots:
                 self._remove(f"data/{place}")
             self._remove(f"intents/{place}")
 
-    def read(self, name: str, snapshot: str | None = None) -> DataFrame:
+    def read(self, name: str, snapshot: str | None = None, schema: str | None = None) -> DataFrame:
+        """schema: the table's, where it may have been written without a row."""
         state = self.state()
-        return self.spark.read.parquet(f"{self.root}/{state.versions[snapshot or state.current]['tables'][name]['path']}")
+        return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(f"{self.root}/{state.versions[snapshot or state.current]['tables'][name]['path']}")
 
     def verify(self, snapshot: str) -> list[str]:
         """The tables of a version whose rows no longer have the digest of the log."""

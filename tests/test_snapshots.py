@@ -125,3 +125,19 @@ def test_repeated_null_and_no_rows(spark, tmp_path):
     assert s.manifest(none)["tables"]["t"]["digest"] == "" and s.verify(none) == [] == s.verify(some)
     assert {tuple(r) for r in s.changes("t", some, more).collect()} == {(None, "removed"), (0, "changed")}
     assert s.changes("t", none, some).count() == 3
+
+
+def test_leaves_move_digests_as_bytes_and_say_the_same(spark):
+    import hashlib
+
+    some = rows(spark, 50).union(rows(spark, 5))
+    each = some.select(snapshots.range_of(["id"], 1).alias("r"), snapshots.row_digest(["id", "v"]).alias("d")).collect()
+    by = {}
+    for e in each:
+        of = by.setdefault(e.r, {}).setdefault(e.d[:2], {})
+        of[e.d] = of.get(e.d, 0) + 1
+    hexed = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {r: hexed(",".join(f"{p}:" + hexed(",".join(f"{d}:{n}" for d, n in sorted(of.items()))) for p, of in sorted(ps.items()))) for r, ps in by.items()}
+    found = snapshots.leaves(some, ["id"], 1)
+    assert {x.range: x.digest for x in found.collect()} == want
+    assert "unhex" in found._jdf.queryExecution().optimizedPlan().toString()
