@@ -224,15 +224,17 @@ def nodes_of(anchor: Column) -> Column:
     return F.filter(both, lambda x: x.isNotNull())
 
 
-def round_robin(seeds: DataFrame, edge_table: DataFrame, most: int = 10) -> DataFrame:
+def round_robin(seeds: DataFrame, edge_table: DataFrame, most: int = 10, hint: str | None = None) -> DataFrame:
     """query_id, node, seed_rank, round, via: nodes one step from the seeds, taken in turn from each seed; a node counts
     once, where it is first proposed, though its further edges use up turns.
 
-    seeds: query_id, seed_rank, node, perhaps node_ord (the order of a seed's own nodes, which it doesn't propose).
+    seeds: query_id, seed_rank, node, perhaps node_ord (the order of a seed's own nodes, which it doesn't propose). hint: how
+    the edges are to be joined.
     """
+    at = incidence(edge_table)
     rows = seeds if "node_ord" in seeds.columns else seeds.withColumn("node_ord", F.lit(0))
     own = rows.select("query_id", "seed_rank", F.col("node").alias("other"))
-    met = rows.join(incidence(edge_table), "node").join(own, ["query_id", "seed_rank", "other"], "left_anti")
+    met = rows.join(at if hint is None else at.hint(hint), "node").join(own, ["query_id", "seed_rank", "other"], "left_anti")
     turn = F.row_number().over(Window.partitionBy("query_id", "seed_rank").orderBy("node_ord", F.desc("direction"), "other", "type", "edge_id"))
     numbered = met.withColumn("round", turn)
     first = numbered.groupBy("query_id", F.col("other").alias("node")).agg(F.min(F.struct("round", "seed_rank", "type")).alias("at"))

@@ -15,6 +15,9 @@ from loomdex.plans import planner
 #: The weights of the derived legs, the seeds of the graph leg, and the most passages of either leg.
 DISCOUNT = {"symbol": 0.9, "graph": 0.9}
 SEEDS, PROPOSED = 10, 10
+#: The hint for tables that grow with the corpus: by the size of their compressed files Spark would broadcast rows that are twenty
+#: times as large through the driver.
+MOVED = "merge"
 #: Results of a call, by default and at most.
 DEFAULT_K, MOST_K = 8, 50
 
@@ -45,7 +48,7 @@ def symbol_candidates(queries: DataFrame, symbols: DataFrame) -> DataFrame:
     passages that other legs found as well. symbols: symbol (sym:language:name), doc_refs."""
     named = queries.select("query_id", F.explode(F.array_distinct(planner.identifiers(F.col("query")))).alias("name"), F.lit(False).alias("cli"))
     phrase = queries.select("query_id", planner.command(F.col("query")).alias("name"), F.lit(True).alias("cli")).filter("name is not null")
-    known = symbols.select("symbol", F.regexp_extract("symbol", "^sym:[^:]+:(.*)$", 1).alias("name"), (F.split_part("symbol", F.lit(":"), F.lit(2)) == "cli").alias("cli"), "doc_refs")
+    known = symbols.select("symbol", F.regexp_extract("symbol", "^sym:[^:]+:(.*)$", 1).alias("name"), (F.split_part("symbol", F.lit(":"), F.lit(2)) == "cli").alias("cli"), "doc_refs").hint(MOVED)
     met = named.unionByName(phrase).join(known, ["name", "cli"]).select("query_id", "cli", "symbol", F.explode("doc_refs").alias("anchor"))
     return met.groupBy("query_id", "anchor").agg(F.max("cli").alias("promoted"), F.concat(F.lit("defines "), F.array_join(F.array_sort(F.collect_set("symbol")), ", ")).alias("via"))
 
@@ -53,12 +56,12 @@ def symbol_candidates(queries: DataFrame, symbols: DataFrame) -> DataFrame:
 def graph_candidates(seeds: DataFrame, edge_table: DataFrame, chunks: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """query_id, anchor, via: the passages of the nodes one step from the seeds (query_id, seed_rank, anchor)."""
     nodes = seeds.select("query_id", "seed_rank", F.posexplode(graph.nodes_of(F.col("anchor"))).alias("node_ord", "node"))
-    near = graph.round_robin(nodes, edge_table, PROPOSED)
-    place = chunks.select("anchor", F.concat(F.lit("doc:"), X.document_of(F.col("anchor"))).alias("doc"), F.regexp_extract("anchor", "#(.*)/[^/]*$", 1).alias("slug"))
+    near = graph.round_robin(nodes, edge_table, PROPOSED, MOVED)
+    place = chunks.select("anchor", F.concat(F.lit("doc:"), X.document_of(F.col("anchor"))).alias("doc"), F.regexp_extract("anchor", "#(.*)/[^/]*$", 1).alias("slug")).hint(MOVED)
     met = near.withColumn("doc", F.split_part("node", F.lit("#"), F.lit(1))).withColumn("part", F.regexp_extract("node", "#(.*)$", 1)).join(place, "doc").filter("part = '' or part = slug")
     met = met.select("query_id", "anchor", "round", "seed_rank", "via")
     if symbols is not None:
-        refs = symbols.select(F.col("symbol").alias("node"), F.explode("doc_refs").alias("anchor"))
+        refs = symbols.select(F.col("symbol").alias("node"), F.explode("doc_refs").alias("anchor")).hint(MOVED)
         met = met.unionByName(near.join(refs, "node").select("query_id", "anchor", "round", "seed_rank", "via"))
     first = met.groupBy("query_id", "anchor").agg(F.min(F.struct("round", "seed_rank", "via")).alias("f"))
     return first.select("query_id", "anchor", F.concat_ws(" ", "f.via", F.lit("of seed"), F.col("f.seed_rank").cast("string")).alias("via"))
@@ -90,14 +93,16 @@ def search(
         return search(queries.limit(0), docs, chunks, Settings(include_candidate=True))
     keep = retrieval.search_filter(status=status, **settings.filters)
     of_docs = ("path", "title", "namespace", "collection", "trust", "status")
+    docs = docs.hint(MOVED)
     rows = chunks.drop(*of_docs).join(docs.select("doc_id", *of_docs), "doc_id")
+    placed = lexical.written(rows.select("anchor", "path", keep.alias("_keep")), "placed").hint(MOVED)
+    allowed = placed.filter("_keep").select("anchor", "path")  # every leg asks for it
     if index is not None and index.serves(settings.weights, settings.stems):
         scorer = index.scorer(queries, settings.weights)
     else:
         own = set(settings.weights) <= set(chunks.columns) - set(of_docs)  # then texts needn't move to their documents
-        known = lexical.written(rows.select(F.col("anchor").alias("key")), "known") if own else None
+        known = placed.select(F.col("anchor").alias("key")) if own else None
         scorer = lexical.scorer(queries, lexical.index(chunks if own else rows, list(settings.weights), settings.stems, keep=False), settings.weights, settings.stems, only=known)
-    allowed = lexical.written(rows.filter(keep).select("anchor", "path"), "allowed")  # every leg asks for it
     depth = max(settings.limit, retrieval.DEPTH)
     words = lexical.top(scorer.best(depth, allowed.select(F.col("anchor").alias("key"))).withColumnRenamed("key", "anchor"), depth)
     legs = words.select("query_id", F.lit("lexical").alias("leg"), "anchor", "rank")
@@ -109,7 +114,8 @@ def search(
     if settings.symbols and symbols is not None:
         legs = lexical.written(legs, "legs")
         wanted = lexical.written(symbol_candidates(asked.filter(F.array_contains("generators", "symbol")), symbols).join(allowed, "anchor", "left_semi"), "named")
-        leg = scorer.rank(add_only(wanted, legs)).filter(F.col("rank") <= PROPOSED)
+        new = lexical.written(add_only(wanted, legs), "new").hint(MOVED)  # a name may be defined in a part of all documents
+        leg = scorer.rank(new).filter(F.col("rank") <= PROPOSED)
         legs, via = legs.unionByName(leg.select("query_id", F.lit("symbol").alias("leg"), "anchor", "rank")), wanted.select("query_id", "anchor", "via")
     if settings.graph and edges is not None:
         legs = lexical.written(legs, "legs")
